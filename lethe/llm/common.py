@@ -5,9 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word, in Java's, Python's and DuckDB's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,3 +68,27 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Rows of an Arrow batch that Python code works on at a time.
+SLICE = 256
+
+
+def append_columns(df: DataFrame, inputs: list[str], fields: T.StructType, make: Callable[..., list[pa.Array]]) -> DataFrame:
+    """``df`` and the columns ``fields``, which ``make`` computes from Arrow arrays of the columns ``inputs``.
+
+    Works on ``SLICE`` rows at a time, so that the memory of a Python worker
+    follows the longest rows and not the batch size.
+    """
+    at = [df.columns.index(c) for c in inputs]
+    arrow = to_arrow_schema(T.StructType([*df.schema.fields, *fields.fields]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                columns = [*batch.columns, *make(*(batch.column(k) for k in at))]
+                yield pa.RecordBatch.from_arrays(
+                    [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields.fields]))

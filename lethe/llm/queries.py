@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, mixing, quality_rules
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op6_bpe": bpe.op6_bpe,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLE_SQL = {

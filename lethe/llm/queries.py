@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules
+from . import bpe, mixing, quality_rules, secret_scan, transport_stream
 
 QUERIES = {
+    "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_transport_stream": transport_stream.op10_transport_stream,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op6_bpe": bpe.op6_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op9_secret_scan": secret_scan.OP9_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, secret_scan, transport_stream
+from . import bpe, mixing, quality_classifier, quality_rules, secret_scan, toxicity, transport_stream
 
 QUERIES = {
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_transport_stream": transport_stream.op10_transport_stream,
     "op2_mix_sources": mixing.op2_mix_sources,

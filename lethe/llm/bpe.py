@@ -150,17 +150,25 @@ class Codec:
             out.extend(ids)
         return out
 
+    def pretoken(self, word: str) -> array:
+        """The ids of a pre-token that isn't in the cache; short ones enter it."""
+        ids = self.encode_pretoken(word)
+        if len(word) <= 64:
+            if len(self.pretokens) >= CACHE:
+                self.pretokens.clear()
+            self.pretokens[word] = ids
+        return ids
+
     def encode_ordinary(self, text: str, out: array) -> None:
-        get, kept = self.pretokens.get, self.pretokens
+        get, new = self.pretokens.get, self.pretoken
         for word in self.split.findall(text):
             ids = get(word)
-            if ids is None:
-                ids = self.encode_pretoken(word)
-                if len(word) <= 64:
-                    if len(kept) >= CACHE:
-                        kept.clear()
-                    kept[word] = ids
-            out.extend(ids)
+            out.extend(new(word) if ids is None else ids)
+
+    def counts(self, words: list[str]) -> list[int]:
+        """Numbers of tokens of pre-tokens."""
+        get, new = self.pretokens.get, self.pretoken
+        return [len(new(w) if (ids := get(w)) is None else ids) for w in words]
 
     def encode(self, text: str, special: bool = True) -> array:
         """The ids of a text. special: the strings of added tokens stand for those tokens."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_classifier, quality_rules, secret_scan, toxicity, transport_stream
+from . import bpe, mixing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, transport_stream
 
 QUERIES = {
+    "op7_token_counts": token_counts.op7_token_counts,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_toxicity": toxicity.op5_toxicity,
     "op9_secret_scan": secret_scan.op9_secret_scan,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, transport_stream
+from . import bpe, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, transport_stream
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,

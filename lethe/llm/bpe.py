@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,10 +227,14 @@ def decode_column(encoded: DataFrame, path: str | None = None, ids: str = "ids",
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     coded = decode_column(encode_column(docs.select("doc_id", "text"), path).drop("text"), path)
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", *digest_columns())
+
+
+def digest_columns() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 from the columns ids and decoded."""
+    return [F.size("ids").cast("long").alias("n_tokens"),
+            F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+            F.sha2("decoded", 256).alias("decoded_sha256")]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,5 +2,350 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..engine import apply, learn
+from ..functions import entities as E
+from ..functions import ipv4
+from ..functions import ipv6 as v6
+from ..operators import allocate, discover, domains, names, report, rewrite, verify
+from ..sources import files as sources
+from ..sources.config import Config
+from ..sources.naming import output_path
+from ..sources.tables import materialize
+from . import fixtures
+
+FULL = Config(obfuscate_private_ip=True)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+
+
+def fixture(spark: SparkSession, _: str = "") -> DataFrame:
+    return spark.createDataFrame(list(fixtures.ROWS), "path string, text string")
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("path", F.col("pos").cast("long").alias("pos"), "real")
+
+
+def _discover(entity: E.Entity, files=documents):
+    return lambda s, d: _found(discover.candidates(files(s, d), entity))
+
+
+def _scrub(expression, files=documents):
+    return lambda s, d: files(s, d).select("path", expression(F.col("text"), F.col("path")).alias("text"))
+
+
+def email_mapping_hash(s, d):
+    found = discover.candidates(documents(s, d), E.EMAIL_ENTITY)
+    return allocate.hash_mapping(found, [E.EMAIL_ENTITY]).select("category", "real", "fake")
+
+
+def email_mapping_serial(s, d):
+    found = discover.candidates(documents(s, d), E.EMAIL_ENTITY)
+    return allocate.serial_mapping(found, lambda _, n: F.concat(F.lit("email_"), n, F.lit("@scrubbed.local"))).select("real", "fake")
+
+
+def email_scrub_serial(s, d):
+    files = documents(s, d)
+    found = discover.candidates(files, E.EMAIL_ENTITY)
+    mapping = allocate.serial_mapping(found, lambda _, n: F.concat(F.lit("email_"), n, F.lit("@scrubbed.local")))
+    return rewrite.by_mapping(files, E.EMAIL_ENTITY, mapping)
+
+
+def ipv4_discover(s, d):
+    return _found(discover.ipv4_candidates(documents(s, d)))
+
+
+def ipv4_classify(s, d):
+    n = F.col("address")
+    return discover.ipv4_candidates(documents(s, d)).select("real", n, ipv4.category(n).alias("category"), ipv4.kept(n, F.col("real")).alias("kept")).distinct()
+
+
+def ipv4_subnets(s, d):
+    t = allocate.subnet_table(discover.ipv4_candidates(documents(s, d)))
+    return t.select(F.concat(ipv4.dotted(F.col("real_net")), F.lit("/24")).alias("real_net"), "category", F.concat(ipv4.dotted(F.col("fake_net")), F.lit("/24")).alias("fake_net"))
+
+
+def ipv4_mapping(s, d):
+    found = discover.ipv4_candidates(documents(s, d)).filter(~ipv4.kept(F.col("address"), F.col("real"))).select("real", "address").distinct()
+    nets = allocate.subnet_table(discover.ipv4_candidates(documents(s, d))).select(F.lit(24).alias("prefixlen"), "real_net", "fake_net")
+    met = allocate.longest_prefix(found, nets, [24])
+    return met.select("real", ipv4.dotted(F.col("fake_net") + F.col("address") - F.col("real_net")).alias("fake"))
+
+
+def ipv4_scrub(s, d):
+    files = documents(s, d)
+    subnets = allocate.allocate_subnets(discover.ipv4_candidates(files))
+    return files.select("path", rewrite.addresses(F.col("text"), subnets).alias("text"))
+
+
+#: Networks for the longest-prefix join.
+NETS = (("0.0.0.0", 1), ("128.0.0.0", 1), ("64.0.0.0", 2), ("192.0.0.0", 3), ("192.0.0.0", 2), ("16.0.0.0", 4), ("100.0.0.0", 8))
+
+
+def ipv4_lpm_join(s, d):
+    nets = s.createDataFrame(list(NETS), "net string, prefixlen int").select("prefixlen", ipv4.number(F.col("net")).alias("real_net"), ipv4.number(F.col("net")).alias("fake_net"))
+    found = discover.ipv4_candidates(documents(s, d)).select("real", "address").distinct()
+    met = allocate.longest_prefix(found, nets, sorted({p for _, p in NETS}))
+    return met.select("real", F.concat_ws("/", ipv4.dotted(F.col("real_net")), F.col("prefixlen").cast("string")).alias("net"))
+
+
+def domain_extract(s, d):
+    return domains.extract(documents(s, d)).groupBy("real").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
+
+
+def domain_extract_pages(s, d):
+    pages = sources.from_table(s.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("url").alias("text")), "page_id")
+    return domains.extract(pages).groupBy("real").agg(F.count(F.lit(1)).alias("n"))
+
+
+def domain_hierarchy(s, d):
+    return domains.hierarchy(discover.first_seen(domains.extract(documents(s, d)), "real")).select("real", "fake")
+
+
+#: Keywords and host names for constant dictionaries.
+KEYWORDS = {"license": "keyword_1", "rights": "keyword_2", "public license": "keyword_3"}
+HOSTS = {"license": "hostname_0", "the": "hostname_1", "that": "hostname_2"}
+
+
+def keyword_scrub(s, d):
+    return documents(s, d).select("path", rewrite.keywords(F.col("text"), KEYWORDS).alias("text"))
+
+
+def hostname_scrub(s, d):
+    talk = s.read.parquet(f"{d}/conversations.parquet")
+    return talk.select("conv_id", "turn", rewrite.hostnames(F.col("text"), HOSTS).alias("text"))
+
+
+def mac_scrub(s, d):
+    files = fixture(s)
+    return files.select("path", F.when(sources.basename(F.col("path")).isin(*E.MAC_SKIP_FILES), F.col("text")).otherwise(E.MAC_ENTITY.apply(F.col("text"))).alias("text"))
+
+
+def cloud_scrub(s, d):
+    out = fixture(s)
+    for e in E.CLOUD_ENTITIES:
+        out = out.withColumn("text", e.apply(F.col("text")))
+    return out.filter("path = 'b/cloud.txt'")
+
+
+def full_chain_scrub(s, d):
+    files = documents(s, d)
+    return apply(files, learn(files, FULL), FULL)
+
+
+def full_chain_fixture(s, d):
+    files = fixture(s)
+    return apply(files, learn(files, FULL, from_text=True), FULL)
+
+
+def verify_ip_allowlist(s, d):
+    return verify.unlisted_addresses(verify.lines_of(documents(s, d))).select("file", F.col("line").cast("long").alias("line"), "value")
+
+
+def verify_emails(s, d):
+    return verify.emails(verify.lines_of(documents(s, d))).select("file", F.col("line").cast("long").alias("line"), "value")
+
+
+def verify_secrets(s, d):
+    return verify.secrets(verify.lines_of(fixture(s))).select("file", F.col("line").cast("long").alias("line"), "category")
+
+
+def verify_mapping_leaks(s, d):
+    """Before rewriting, every mapped address and domain leaks."""
+    files = documents(s, d)
+    ips = discover.ipv4_candidates(files).filter(~ipv4.kept(F.col("address"), F.col("real"))).select(F.lit("ip").alias("category"), "real").distinct()
+    mapping = ips.withColumn("fake", F.lit("198.16.0.1"))
+    return verify.mapping_leaks(verify.lines_of(files), mapping).distinct().select("file", F.col("line").cast("long").alias("line"), "category", "value")
+
+
+def verify_after_scrub(s, d):
+    files = documents(s, d)
+    return verify.verify(materialize(apply(files, learn(files, FULL), FULL), "rewritten"))
+
+
+def _typed(s, d):
+    files = documents(s, d)
+    found = discover.all_candidates(files, [E.EMAIL_ENTITY, E.CLOUD_ENTITIES[8]])
+    ips = discover.ipv4_candidates(files).select(F.lit("ip").alias("category"), F.lit("ip").alias("kind"), "real", "path", "pos")
+    return found.unionByName(ips)
+
+
+def counts_by_category(s, d):
+    return report.counts_by_category(_typed(s, d))
+
+
+def coverage_first_seen(s, d):
+    return report.coverage_first_seen(_typed(s, d))
+
+
+def topk_docs_by_hits(s, d):
+    return report.top_files(_typed(s, d))
+
+
+def tcprewrite_rules(s, d):
+    return report.tcprewrite_rules(ipv4_subnets(s, d).select("real_net", "fake_net"))
+
+
+def naming_contract(s, d):
+    return fixture(s).select("path", output_path(F.col("path")).alias("output"))
+
+
+def audit_sha256(s, d):
+    return report.sha256_of(documents(s, d), "text")
+
+
+def sections_query(s, d):
+    lines = "# /etc/hosts\n10.0.0.1 web01.lab.local web01\n# /bin/true\n#==[ x ]==\nnothing\n# /etc/resolv.conf\nsearch lab.local"
+    return discover.sections(s.createDataFrame([("n/network.txt", lines)], "path string, text string")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+QUERIES = {
+    "email_discover": _discover(E.EMAIL_ENTITY),
+    "email_mapping_hash": email_mapping_hash,
+    "email_mapping_serial": email_mapping_serial,
+    "email_scrub": _scrub(lambda t, _: E.EMAIL_ENTITY.apply(t)),
+    "email_scrub_serial": email_scrub_serial,
+    "bearer_discover": _discover(E.CLOUD_ENTITIES[8]),
+    "bearer_scrub": _scrub(lambda t, _: E.CLOUD_ENTITIES[8].apply(t)),
+    "ipv4_discover": ipv4_discover, "ipv4_classify": ipv4_classify, "ipv4_subnets": ipv4_subnets, "ipv4_mapping": ipv4_mapping,
+    "ipv4_scrub": ipv4_scrub, "ipv4_lpm_join": ipv4_lpm_join,
+    "domain_extract": domain_extract, "domain_extract_pages": domain_extract_pages, "domain_hierarchy": domain_hierarchy,
+    "keyword_scrub": keyword_scrub, "hostname_scrub": hostname_scrub,
+    "username_log_patterns": lambda s, d: _found(names.users_from_text(fixture(s))),
+    "host_count_having": lambda s, d: _found(names.hosts_from_text(fixture(s))),
+    "serial_discover": lambda s, d: _found(names.serials_in(fixture(s))),
+    "sid_discover": lambda s, d: names.system_ids_in(fixture(s)).select("path", "real").distinct(),
+    "ldap_discover": _discover(E.LDAP_ENTITY, fixture),
+    "ldap_scrub": _scrub(lambda t, _: E.apply_ldap(t), fixture),
+    "mac_scrub": mac_scrub,
+    "password_scrub": _scrub(lambda t, _: E.PASSWORD_ENTITY.apply(t), fixture),
+    "cloud_scrub": cloud_scrub,
+    "ipv6_scrub": _scrub(lambda t, _: v6.rewrite(t, True), fixture),
+    "sections": sections_query,
+    "full_chain_scrub": full_chain_scrub, "full_chain_fixture": full_chain_fixture,
+    "verify_ip_allowlist": verify_ip_allowlist, "verify_emails": verify_emails, "verify_secrets": verify_secrets,
+    "verify_mapping_leaks": verify_mapping_leaks, "verify_after_scrub": verify_after_scrub,
+    "counts_by_category": counts_by_category, "coverage_first_seen": coverage_first_seen, "topk_docs_by_hits": topk_docs_by_hits,
+    "tcprewrite_rules": tcprewrite_rules, "naming_contract": naming_contract, "audit_sha256": audit_sha256,
+}
+
+# --- the same in DuckDB, whose patterns have no look-around: boundaries are consumed and doubled where they may be shared ---
+
+_DOCS = "docs AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, text FROM documents)"
+_FIX = f"docs AS (SELECT * FROM {fixtures.sql_rows()})"
+_MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
+_MAIL_ALL = rf"(?:^|[^A-Za-z0-9._%+-])({_MAIL})(?:$|[^A-Za-z0-9._%+-])"
+_KEEP_MAIL = ("(lower(split_part(real, '@', 2)) IN (" + ", ".join(f"'{x}'" for x in (*E.SAFE_EMAIL_DOMAINS, "scrubbed.local")) + ") OR "
+              + " OR ".join(f"suffix(real, '{x}')" for x in E.UNIT_SUFFIXES) + ")")
+_ALL_MAIL = f"raw AS (SELECT path, unnest(regexp_extract_all(text, '{_MAIL_ALL}', 1)) AS real FROM docs)"
+
+
+def _hits(pattern: str, group: int, keep: str = "false", name: str = "hits", text: str = "text") -> str:
+    return f"""{name} AS (
+  SELECT path, (row_number() OVER (PARTITION BY path ORDER BY i) - 1)::BIGINT AS pos, real FROM (
+    SELECT path, unnest(range(len(h))) AS i, unnest(h) AS real FROM (SELECT path, regexp_extract_all({text}, '{pattern.replace("'", "''")}', {group}) AS h FROM docs))
+  WHERE NOT ({keep}))"""
+
+
+def _marked(pattern: str, replace: str, source: str = "text") -> str:
+    """A rewrite: pattern has three groups, before, value and after; ``replace`` is SQL over x, the value."""
+    cut = f"string_split(regexp_replace({source}, '{pattern.replace(chr(39), chr(39) * 2)}', concat('\\1', chr(1), '\\2', chr(1), '\\3'), 'g'), chr(1))"
+    return f"array_to_string(list_transform({cut}, lambda x, i: CASE WHEN i % 2 = 0 THEN {replace} ELSE x END), '')"
+
+
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IP = rf"{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}"
+_IP_BODY = rf"(?:^|[^A-Za-z0-9.\-])({_IP})(?:$|[^A-Za-z0-9.\-+])"
+_IP_HITS = _hits(_IP_BODY, 1, "real LIKE '0.%'")
+_NUM = "list_reduce(list_transform(string_split({0}, '.'), lambda o: o::BIGINT), lambda a, b: a * 256 + b)"
+_DOT = "concat_ws('.', ({0} >> 24) & 255, ({0} >> 16) & 255, ({0} >> 8) & 255, {0} & 255)"
+
+
+def _in(n: str, *cidrs: str) -> str:
+    return "(" + " OR ".join(f"{n} BETWEEN {lo} AND {hi}" for lo, hi in map(ipv4.bounds, cidrs)) + ")"
+
+
+_CATEGORY = "CASE " + " ".join(f"WHEN {_in('n', c)} THEN '{k}'" for k, c in ipv4.PRIVATE.items()) + " ELSE 'public' END"
+_KEPT = (_in("n", "0.0.0.0/8", "127.0.0.0/8", "224.0.0.0/4", *ipv4.POOLS.values()) + " OR real IN (" + ", ".join(f"'{m}'" for m in ("255.255.255.255", *ipv4.NETMASKS)) + ")")
+_IPS = f"{_DOCS}, {_IP_HITS}, ips AS (SELECT path, pos, real, {_NUM.format('real')} AS n FROM hits)"
+_NETS = (f"{_IPS}, seen AS (SELECT n >> 8 << 8 AS net, min((path, pos)) AS first FROM (SELECT * FROM ips WHERE NOT ({_KEPT})) GROUP BY 1), "
+         f"cat AS (SELECT *, {_CATEGORY.replace('n BETWEEN', 'net BETWEEN')} AS category FROM seen), "
+         "pool(category, base) AS (VALUES " + ", ".join(f"('{k}', {ipv4.bounds(c)[0]}::BIGINT)" for k, c in ipv4.POOLS.items()) + "), "
+         "nets AS (SELECT net, cat.category, base + 256 * (row_number() OVER (PARTITION BY cat.category ORDER BY first, net::VARCHAR) - 1) AS fake FROM cat JOIN pool USING (category))")
+_BEARER = r"(?i)((?:Bearer|X-Auth-Token)\s+|(?:Authorization|token)\s*[:=]\s*(?:Bearer\s+)?[\"']?)([A-Za-z0-9._+/=-]{40,})"
+_OWN_TOKEN = "contains(real, 'SCRUBBED_')"
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+
+
+def _domain_sql(docs: str) -> str:
+    tops = ", ".join(f"'{x}'" for x in domains.GENERIC)
+    return f"""WITH {docs},
+raw AS (SELECT path, unnest(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9.-])', '\\1\\1', 'g'),
+                                               '(?:^|[^A-Za-z0-9-])({_LABEL}(?:\\.{_LABEL})+)(?:$|[^A-Za-z0-9-])', 1)) AS d FROM docs),
+ok AS (SELECT path, lower(d) AS d FROM raw WHERE (split_part(lower(d), '.', -1) IN ({tops}) OR regexp_full_match(lower(d), '.*\\.[a-z]{{2}}'))),
+each AS (SELECT path, unnest(list_transform(range(1, len(string_split(d, '.'))), lambda i: array_to_string(string_split(d, '.')[i:], '.'))) AS real FROM ok)"""
+
+
+def _lines(docs: str = _DOCS) -> str:
+    return f"{docs}, lines AS (SELECT path AS file, unnest(range(1, len(s) + 1))::BIGINT AS line, unnest(s) AS text FROM (SELECT path, string_split(text, chr(10)) AS s FROM docs))"
+
+
+def _line_hits(pattern: str) -> str:
+    return f"found AS (SELECT file, line, unnest(regexp_extract_all(text, '{pattern}', 1)) AS real FROM lines)"
+
+
+_VERSIONED = r"(?i)(?:^|[^A-Za-z0-9]|_)(?:ver|version|rev|build|release)[\s:=]*$"
+_TYPED = f"""WITH {_DOCS}, {_hits(_MAIL_ALL, 1, _KEEP_MAIL, 'mails')}, {_hits(_BEARER, 2, "contains(real, 'SCRUBBED_')", 'tokens')}, {_IP_HITS},
+typed AS (SELECT 'email' AS category, * FROM mails UNION ALL SELECT 'cloud_token', * FROM tokens UNION ALL SELECT 'ip', * FROM hits)"""
+
+ORACLE_SQL = {
+    "email_discover": f"WITH {_DOCS}, {_hits(_MAIL_ALL, 1, _KEEP_MAIL)} SELECT * FROM hits",
+    "email_mapping_hash": f"WITH {_DOCS}, {_ALL_MAIL} SELECT DISTINCT 'email' AS category, real, 'email_' || left(sha256(real), 12) || '@scrubbed.local' AS fake FROM raw WHERE NOT {_KEEP_MAIL}",
+    "email_mapping_serial": f"""WITH {_DOCS}, {_hits(_MAIL_ALL, 1, _KEEP_MAIL)}, seen AS (SELECT real, min((path, pos)) AS first FROM hits GROUP BY real)
+SELECT real, 'email_' || row_number() OVER (ORDER BY first, real) || '@scrubbed.local' AS fake FROM seen""",
+    "email_scrub": f"WITH {_DOCS} SELECT path, " + _marked(rf"(^|[^A-Za-z0-9._%+-])({_MAIL})($|[^A-Za-z0-9._%+-])", f"CASE WHEN {_KEEP_MAIL.replace('real', 'x')} THEN x ELSE 'email_' || left(sha256(x), 12) || '@scrubbed.local' END") + " AS text FROM docs",
+    "email_scrub_serial": f"""WITH {_DOCS}, {_hits(_MAIL_ALL, 1, _KEEP_MAIL)}, seen AS (SELECT real, min((path, pos)) AS first FROM hits GROUP BY real),
+m AS (SELECT map_from_entries(list((real, 'email_' || n || '@scrubbed.local'))) AS m FROM (SELECT real, row_number() OVER (ORDER BY first, real) AS n FROM seen))
+SELECT path, """ + _marked(rf"(^|[^A-Za-z0-9._%+-])({_MAIL})($|[^A-Za-z0-9._%+-])", "coalesce(m[x], x)") + " AS text FROM docs, m",
+    "bearer_discover": f"WITH {_DOCS}, {_hits(_BEARER, 2, _OWN_TOKEN)} SELECT * FROM hits",
+    "bearer_scrub": f"WITH {_DOCS} SELECT path, " + _marked(_BEARER + "()", "CASE WHEN contains(x, 'SCRUBBED_') THEN x ELSE 'SCRUBBED_BEARER_' || left(sha256(x), 12) END") + " AS text FROM docs",
+    "ipv4_discover": f"WITH {_DOCS}, {_IP_HITS} SELECT * FROM hits",
+    "ipv4_classify": f"WITH {_IPS} SELECT DISTINCT real, n AS address, {_CATEGORY} AS category, ({_KEPT}) AS kept FROM ips",
+    "ipv4_subnets": f"WITH {_NETS} SELECT {_DOT.format('net')} || '/24' AS real_net, category, {_DOT.format('fake')} || '/24' AS fake_net FROM nets",
+    "ipv4_mapping": f"WITH {_NETS} SELECT DISTINCT real, {_DOT.format('(fake + n - net)')} AS fake FROM ips JOIN nets ON n >> 8 << 8 = net WHERE NOT ({_KEPT})",
+    "ipv4_scrub": f"""WITH {_NETS}, m AS (SELECT map_from_entries(list((real, fake))) AS m FROM (SELECT DISTINCT real, {_DOT.format('(fake + n - net)')} AS fake FROM ips JOIN nets ON n >> 8 << 8 = net WHERE NOT ({_KEPT})))
+SELECT path, """ + _marked(rf"(^|[^A-Za-z0-9.\-])({_IP})($|[^A-Za-z0-9.\-+])", "coalesce(m[x], x)") + " AS text FROM docs, m",
+    "ipv4_lpm_join": f"""WITH {_IPS}, net(a, p) AS (VALUES {', '.join(f"('{a}', {p})" for a, p in NETS)}), nums AS (SELECT {_NUM.format('a')} AS b, a, p FROM net)
+SELECT real, coalesce(max((p, a || '/' || p))[2], '') AS net FROM (SELECT DISTINCT real, n FROM ips) LEFT JOIN nums ON n BETWEEN b AND b + (1::BIGINT << (32 - p)) - 1 GROUP BY real""",
+    "domain_extract": _domain_sql(_DOCS) + " SELECT real, count(*)::BIGINT AS n, min(path) AS first_path FROM each GROUP BY real",
+    "domain_extract_pages": _domain_sql("docs AS (SELECT page_id::VARCHAR AS path, url AS text FROM pages)") + " SELECT real, count(*)::BIGINT AS n FROM each GROUP BY real",
+    "keyword_scrub": f"WITH {_DOCS} SELECT path, " + _marked(r"(?i)()(public license|license|rights)()", "map {'license': 'keyword_1', 'rights': 'keyword_2', 'public license': 'keyword_3'}[lower(x)]") + " AS text FROM docs",
+    "username_log_patterns": f"""WITH {_FIX}, lines AS (SELECT path, unnest(range(len(s)))::BIGINT AS pos, unnest(s) AS line FROM (SELECT path, string_split(text, chr(10)) AS s FROM docs)),
+each AS (SELECT path, pos, unnest([{', '.join("regexp_extract(line, '" + p + "', 1)" for p in names.LOG_PATTERNS)}]) AS real FROM lines)
+SELECT path, pos, real FROM each WHERE real <> '' AND len(real) >= 3 AND NOT (len(real) = 6 AND suffix(real, 'adm')) AND real NOT IN ({', '.join(f"'{u}'" for u in names.SYSTEM_USERS)})""",
+    "host_count_having": f"""WITH {_FIX}, log AS (SELECT path, unnest(regexp_extract_all(text, '(?m)^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9:.+-]+\\s+(\\w[\\w-]*)\\b', 1)) AS real FROM docs),
+nfs AS (SELECT path, split_part(unnest(regexp_extract_all(text, 'nfs: server (\\w[\\w.-]*)', 1)), '.', 1) AS real FROM docs)
+SELECT path, 0::BIGINT AS pos, real FROM log WHERE len(real) >= 3 GROUP BY path, real HAVING count(*) >= 3 UNION SELECT path, 0, real FROM nfs WHERE len(real) >= 3""",
+    "serial_discover": f"""WITH {_FIX}, {_hits(names.SERIAL.replace('(?im)', '(?im)').replace('(\\s*', '([ \\t]*'), 2)} SELECT path, pos, trim(real) AS real FROM hits
+WHERE lower(trim(real)) NOT IN ({', '.join(f"'{x}'" for x in names.EMPTY_SERIALS)}) AND len(regexp_replace(real, '[^A-Za-z0-9]', '', 'g')) >= 4""",
+    "password_scrub": f"WITH {_FIX} SELECT path, " + _marked(r"""(?i)(\b(?:password|passwd)\s*[:=]\s*["']?)([A-Za-z0-9+/]{8,})()""", "CASE WHEN x = 'scrubbed' THEN x ELSE 'scrubbed_pass_' || left(sha256(x), 12) END") + " AS text FROM docs",
+    "mac_scrub": f"WITH {_FIX} SELECT path, CASE WHEN path = 'b/modules.txt' THEN text ELSE " + _marked(
+        r"(^|[^0-9A-Fa-f:])((?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2})($|[^0-9A-Fa-f:])",
+        "CASE WHEN lower(x) IN ('ff:ff:ff:ff:ff:ff', '00:00:00:00:00:00') THEN x ELSE '00:1A:2B:' || upper(substr(sha256(lower(x)), 1, 2) || ':' || substr(sha256(lower(x)), 3, 2) || ':' || substr(sha256(lower(x)), 5, 2)) END") + " END AS text FROM docs",
+    "verify_ip_allowlist": f"WITH {_lines()}, {_line_hits(_IP_BODY)} SELECT file, line, real AS value FROM (SELECT *, {_NUM.format('real')} AS n FROM found) WHERE NOT {_in('n', *ipv4.SAFE, *ipv4.POOLS.values())}",
+    "verify_emails": f"WITH {_lines()}, {_line_hits(_MAIL_ALL)} SELECT file, line, real AS value FROM found WHERE NOT ({' OR '.join(f'''suffix(real, '{x}')''' for x in E.UNIT_SUFFIXES)}) AND lower(split_part(real, '@', 2)) NOT IN ({', '.join(f"'{x}'" for x in verify.SAFE_MAIL)}) AND split_part(lower(real), '.', -1) NOT IN ('mo', 'po', 'gmo')",
+    "verify_mapping_leaks": f"WITH {_lines()}, {_line_hits(_IP_BODY)} SELECT DISTINCT file, line, 'IPv4 address' AS category, real AS value FROM (SELECT *, {_NUM.format('real')} AS n FROM found) WHERE NOT ({_KEPT}) AND len(real) >= 6 AND real NOT LIKE '0.%' AND real <> '198.16.0.1'",
+    "counts_by_category": _TYPED + " SELECT category, count(DISTINCT (category, real))::BIGINT AS n FROM typed GROUP BY ROLLUP (category)",
+    "coverage_first_seen": _TYPED + ", f AS (SELECT category, real, arg_min(path, (path, pos)) AS path FROM typed GROUP BY category, real) SELECT path, category, count(*)::BIGINT AS n FROM f GROUP BY path, category",
+    "topk_docs_by_hits": _TYPED + " SELECT path, count(*)::BIGINT AS hits FROM typed GROUP BY path ORDER BY hits DESC, path LIMIT 10",
+    "tcprewrite_rules": f"WITH {_NETS}, t AS (SELECT {_DOT.format('net')} || '/24' AS r, {_DOT.format('fake')} || '/24' AS f FROM nets) SELECT row_number() OVER (ORDER BY r DESC, f DESC)::BIGINT AS rank, r || ':' || f AS rule FROM t WHERE split_part(r, '.', 1)::INT <> 127",
+    "naming_contract": f"""WITH {_FIX}, e AS (SELECT path, CASE WHEN regexp_matches(path, '(?i)\\.(gz|xz|bz2)$') AND NOT regexp_matches(path, '(?i)\\.(txz|tgz|tbz|tbz2|tar|tar\\.(gz|xz|bz2))$') THEN regexp_extract(path, '(?i)\\.(?:gz|xz|bz2)$') ELSE '' END AS ext FROM docs),
+s AS (SELECT *, left(path, len(path) - len(ext)) AS stem FROM e), r AS (SELECT *, regexp_extract(regexp_extract(stem, '[^/]*$'), '[^.](\\.[^.]*)$', 1) AS x FROM s)
+SELECT path, CASE WHEN suffix(lower(left(stem, len(stem) - len(x))), '_scrubbed') THEN path ELSE left(stem, len(stem) - len(x)) || '_scrubbed' || x || ext END AS output FROM r""",
+    "audit_sha256": f"WITH {_DOCS} SELECT path, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256 FROM docs",
+}

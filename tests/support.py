@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -12,7 +13,7 @@ TESTDATA = "/root/testdata/sf0.001"
 
 
 def session() -> SparkSession:
-    spark = (SparkSession.builder.master("local[4]").appName("lethe-tests")
+    spark = (SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', 4)}]").appName("lethe-tests")
              .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())

@@ -35,12 +35,25 @@ SALTS = 16
 BLOCK = 256
 
 
+def let(value: Column, body) -> Column:
+    """``body(x)`` with x bound to ``value``, which is evaluated once; a lambda would evaluate it again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_sums(numbers: Column) -> Column:
     """Inclusive running sums of an array, block by block: quadratic in no array's length."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")), lambda j: _sum(F.slice(numbers, j * BLOCK + 1, F.lit(BLOCK))))
-    starts = F.transform(blocks, lambda _, j: _sum(F.slice(blocks, F.lit(1), j)))
-    return F.transform(numbers, lambda _, i: F.element_at(starts, F.floor(i / BLOCK).cast("int") + 1)
-                       + _sum(F.slice(numbers, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)))
+    def sums(x: Column, starts: Column) -> Column:
+        return F.transform(x, lambda _, i: F.element_at(starts, F.floor(i / BLOCK).cast("int") + 1)
+                           + _sum(F.slice(x, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)))
+
+    def blocks(x: Column) -> Column:
+        last = F.floor((F.size(x) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda j: _sum(F.slice(x, j * BLOCK + 1, F.lit(BLOCK))))
+
+    def starts(x: Column) -> Column:
+        return let(blocks(x), lambda b: F.transform(b, lambda _, j: _sum(F.slice(b, F.lit(1), j))))
+
+    return let(numbers, lambda x: let(starts(x), lambda s: sums(x, s)))
 
 
 def _sum(numbers: Column) -> Column:
@@ -50,14 +63,19 @@ def _sum(numbers: Column) -> Column:
 def spans(text: Column, kind: int) -> Column:
     """The matches of a kind: array of (start, kind, end, value), leftmost first, in code points."""
     name, pattern, group, least = KINDS[kind]
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(hits, lambda h, i: F.char_length(F.element_at(gaps, i + 1)) + F.when(i > 0, F.char_length(F.get(hits, i - 1))).otherwise(0))
-    starts = prefix_sums(steps)
-    found = F.transform(hits, lambda h, i: F.struct(
-        F.get(starts, i).alias("start"), F.lit(kind).alias("kind"), (F.get(starts, i) + F.char_length(h)).alias("end"),
-        (F.regexp_extract(h, pattern, group) if group else h).alias("value")))
-    return F.filter(found, lambda s: F.char_length(s["value"]) >= least)
+
+    def starts(hits: Column, gaps: Column) -> Column:
+        return prefix_sums(F.transform(hits, lambda h, i: F.char_length(F.element_at(gaps, i + 1))
+                                       + F.when(i > 0, F.char_length(F.get(hits, i - 1))).otherwise(0)))
+
+    def found(hits: Column, at: Column) -> Column:
+        return F.transform(hits, lambda h, i: F.struct(
+            F.get(at, i).alias("start"), F.lit(kind).alias("kind"), (F.get(at, i) + F.char_length(h)).alias("end"),
+            (F.regexp_extract(h, pattern, group) if group else h).alias("value")))
+
+    everything = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: let(
+        F.split(text, pattern, -1), lambda gaps: let(starts(hits, gaps), lambda at: found(hits, at))))
+    return F.filter(everything, lambda s: F.char_length(s["value"]) >= least)
 
 
 def candidates(text: Column) -> Column:

@@ -36,11 +36,11 @@ def log_count_ratios(rows: Sequence[np.ndarray], positive: np.ndarray, least: in
 
 def scaled(row: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Columns and values of one row, scaled and of length 1; columns of scale 0 are left out."""
-    v = scale[row].astype(np.float64)
+    v = scale[row]
     on = v != 0
     row, v = row[on], v[on]
-    norm = np.sqrt((v * v).sum())
-    return row, v / norm if norm else v
+    norm = np.sqrt((v.astype(np.float64) ** 2).sum())
+    return row, (v / norm).astype(np.float32) if norm else v
 
 
 def dual_descent(rows: Sequence[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, extra: np.ndarray, cost: float = 1.0,

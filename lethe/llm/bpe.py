@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ from .common import append_columns, free_name, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens and fragments that a worker's caches hold at most, each.
-CACHE = 300_000
+CACHE = 400_000
 NO_MERGE = 1 << 60
 
 
@@ -70,7 +71,17 @@ class Codec:
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.never = frozenset(map(tuple, np.argwhere(~self.inside).tolist()))
         self.pretokens: dict[str, array] = {}
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[str, array] = {}
+        self.fragments: dict[bytes, list[int]] = {}
+        self.core = self._core()
+
+    def _core(self):
+        """A compiled encoder of single pieces, where a token's id follows from its merge's rank; else None."""
+        base = len(self.single)
+        if sorted(self.single) != list(range(base)) or any((v & 0xFFFFFFFF) != base + (v >> 32) for v in self.merges.values()):
+            return None
+        ranks = {t: i for i, t in self.bytes_of.items() if i < base + len(self.merges)}
+        return tiktoken.Encoding("fragments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def cuts(self, piece: bytes) -> list[bytes]:
         """The fragments of a pre-token between forced boundaries."""
@@ -85,7 +96,13 @@ class Codec:
         out.append(piece[start:])
         return out
 
-    def merge(self, fragment: bytes) -> tuple[int, ...]:
+    def encode_fragment(self, fragment: bytes) -> list[int]:
+        """The ids of one fragment."""
+        if self.core is not None and len(fragment) <= 64:
+            return self.core.encode_single_piece(fragment)
+        return self.merge(fragment)
+
+    def merge(self, fragment: bytes) -> list[int]:
         """The ids of one fragment: the lowest merge first, leftmost among equals."""
         ids = [self.single[b] for b in fragment]
         n = len(ids) - 1
@@ -105,9 +122,9 @@ class Codec:
                 found[i - 1] = get((ids[i - 1], ids[i]), NO_MERGE)
             if i < n:
                 found[i] = get((ids[i], ids[i + 1]), NO_MERGE)
-        return tuple(ids)
+        return ids
 
-    def merge_long(self, ids: list[int]) -> tuple[int, ...]:
+    def merge_long(self, ids: list[int]) -> list[int]:
         """As merge(), in n log n steps: a heap of merges over a linked list."""
         n = len(ids)
         after, before, ids = list(range(1, n + 1)), list(range(-1, n - 1)), [*ids]
@@ -132,17 +149,17 @@ class Codec:
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        return tuple(t for t in ids if t >= 0)
+        return [t for t in ids if t >= 0]
 
     def encode_pretoken(self, word: str) -> array:
         fragments = self.cuts(word.encode("utf-8", "surrogatepass"))
         if len(fragments) == 1:  # kept as a pre-token already
-            return array("i", self.merge(fragments[0]))
+            return array("i", self.encode_fragment(fragments[0]))
         out = array("i")
         for fragment in fragments:
             ids = self.fragments.get(fragment)
             if ids is None:
-                ids = self.merge(fragment)
+                ids = self.encode_fragment(fragment)
                 if len(fragment) <= 64:
                     if len(self.fragments) >= CACHE:
                         self.fragments.clear()
@@ -151,12 +168,15 @@ class Codec:
         return out
 
     def pretoken(self, word: str) -> array:
-        """The ids of a pre-token that isn't in the cache; short ones enter it."""
-        ids = self.encode_pretoken(word)
+        """The ids of a pre-token that isn't among the newer half of the cache; short ones enter it."""
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode_pretoken(word)
         if len(word) <= 64:
-            if len(self.pretokens) >= CACHE:
-                self.pretokens.clear()
             self.pretokens[word] = ids
+            if len(self.pretokens) >= CACHE // 2:
+                self.older = dict(self.pretokens)
+                self.pretokens.clear()
         return ids
 
     def encode_ordinary(self, text: str, out: array) -> None:

@@ -5,9 +5,9 @@ doc_id, then line number) has a Jaccard similarity of at least the threshold.
 
 Candidates come from prefix filtering: words are ordered by rarity, and two
 similar lines must share one of their first n - ceil(t n) + 1 words.  Pairs that
-share such a word pass the length filter and the positional filter (enough words
-can follow the shared one) inside the join, and are then verified on their whole
-sets.  Equal sets are one class from the start, represented by its first line,
+share such a word pass the length filter, the positional filter (enough words
+can follow the shared one) and a parity filter (a few bits bound how far two
+sets differ) inside the join, and are then verified on their whole sets.  Equal sets are one class from the start, represented by its first line,
 so that a line in a third of all documents enters the join once.
 
 Rarity: counts of all words of the corpus in 2**15 hash buckets.  Replacing the
@@ -33,6 +33,8 @@ THRESHOLD = Fraction(4, 5)
 #: Lines of fewer words stay.
 MIN_WORDS = 3
 RANK_BITS = 15
+#: Sets of more words have parities of four times 64 bits besides, as 64 tell little of them.
+WIDE = 80
 #: Size of the bitmap that thins documents before they move to be verified.
 THIN_BITS = 20
 
@@ -82,53 +84,75 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.hash("text").alias("tag"), "text").filter(F.col("text").isNotNull())
 
 
+def parity(keys: str, part: int = 0, parts: int = 1) -> Column:
+    """64 bits: which of the 64 classes of words in this part of ``parts`` a set has an odd number of.
+
+    Two sets differ in at least as many words as their parities differ in bits.
+    """
+    own = "true" if parts == 1 else f"(shiftright(k, 6) & {parts - 1}) = {part}"
+    return F.expr(f"aggregate({keys}, 0L, (bits, k) -> if({own}, bits ^ shiftleft(1L, cast(k & 63 as int)), bits))")
+
+
 def representatives(docs: DataFrame, ranks: list[int], threshold: Fraction, min_words: int) -> DataFrame:
-    """The first line of each set of words: place, n (words in the set) and its prefix; a table of its own."""
+    """The first line of each set of words; a table of its own.
+
+    Columns: id (a digest of the set), its place, n (words in the set), parity,
+    wide (parities of sets over WIDE words), and prefix, the upper 40 bits of its
+    rarest words.
+    """
     lines = _tagged(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     keyed = lines.filter(eligible(F.col("line"), min_words)).select(*_PLACE, word_keys(F.col("line"), ranks).alias("keys"))
     n = F.size("keys")
-    prefix = F.slice("keys", F.lit(1), n - _ceil(n, threshold) + 1)
-    rows = keyed.select(F.xxhash64("keys").alias("s1"), F.hash("keys", F.lit(1)).alias("s2"), F.struct(*_PLACE).alias("place"), n.alias("n"), prefix.alias("prefix"))
-    first = rows.groupBy("s1", "s2").agg(F.min(F.struct("place", "n", "prefix")).alias("m"))
-    return materialize(first.select("m.place.*", "m.n", "m.prefix"), "lines-first")
+    prefix = F.transform(F.slice("keys", F.lit(1), n - _ceil(n, threshold) + 1), lambda k: F.shiftright(k, 24))
+    rows = keyed.select(F.xxhash64("keys").alias("id"), F.hash("keys", F.lit(1)).alias("id2"), F.struct(*_PLACE).alias("place"),
+                        n.alias("n"), parity("keys").alias("parity"),
+                        F.when(n > WIDE, F.array(*[parity("keys", j, 4) for j in range(4)])).alias("wide"), prefix.alias("prefix"))
+    first = rows.groupBy("id", "id2").agg(F.min(F.struct("place", "n", "parity", "wide", "prefix")).alias("m"))
+    return materialize(first.select("id", "m.place.*", "m.n", "m.parity", "m.wide", "m.prefix"), "lines-first")
 
 
 def candidate_pairs(reps: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of places (a the shorter set) that pass the prefix, length and positional filters; a table of its own."""
-    rows = reps.select(*_PLACE, "n", F.posexplode("prefix").alias("pos", "word"))
+    """Pairs of ids (a the smaller set) that share a word of their prefixes and pass the
+    length, positional and parity filters, all inside the join; a table of its own."""
+    rows = reps.select("id", "n", "parity", "wide", F.posexplode("prefix").alias("pos", "word"))
     a, b = rows.alias("a"), rows.alias("b")
-    an, bn, ap, bp = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
-    place_a, place_b = (F.struct(*[F.col(f"{s}.{c}").alias(c) for c in _PLACE]) for s in "ab")
-    once = (an < bn) | ((an == bn) & (place_a < place_b))
+    an, bn = F.col("a.n"), F.col("b.n")
+    once = (an < bn) | ((an == bn) & (F.col("a.id") < F.col("b.id")))
     needed = _ceil(an + bn, threshold / (1 + threshold))
+    most = an + bn - 2 * needed  # words in which the two may differ
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    wide = F.aggregate(F.zip_with("a.wide", "b.wide", apart), F.lit(0), lambda n, x: n + x)
     joined = a.join(b, (F.col("a.word") == F.col("b.word")) & once & (an * threshold.denominator >= bn * threshold.numerator)
-                    & (F.least(an - ap, bn - bp) >= needed))
-    return materialize(joined.select(place_a.alias("a"), place_b.alias("b")).distinct(), "lines-pairs")
+                    & (F.least(an - F.col("a.pos"), bn - F.col("b.pos")) >= needed)
+                    & (apart(F.col("a.parity"), F.col("b.parity")) <= most) & (F.coalesce(wide, F.lit(0)) <= most))
+    return materialize(joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "lines-pairs")
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, ranks: list[int], threshold: Fraction) -> DataFrame:
-    """The pairs whose sets of words have at least the threshold's Jaccard similarity; a table of its own."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("p")).select("p.*").groupBy("doc_id", "tag").agg(F.collect_set("line_no").alias("wanted"))
-    needed = materialize(needed, "lines-needed")
+def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, ranks: list[int], threshold: Fraction) -> DataFrame:
+    """Places (a, b) of lines whose sets of words have at least the threshold's Jaccard similarity; a table of its own."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = reps.select("id", *_PLACE).join(ids, "id").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
+    wanted = materialize(wanted, "lines-wanted")
     bits = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(1 << THIN_BITS)).cast("int")
-    thin = F.broadcast(needed.select(bits.alias("bit")).distinct())  # at most 2**THIN_BITS rows
+    thin = F.broadcast(wanted.select(bits.alias("bit")).distinct())  # at most 2**THIN_BITS rows
     texts = _tagged(docs).withColumn("bit", bits).join(thin, "bit", "left_semi").drop("bit").alias("t")
-    found = texts.join(needed.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.tag") == F.col("w.tag")))
-    found = found.select("t.doc_id", "t.tag", F.explode("wanted").alias("line_no"), F.split("text", "\n").alias("lines"))
-    sets = found.select(F.struct(*_PLACE).alias("place"), word_keys(F.get("lines", F.col("line_no")), ranks).alias("keys"))
-    sets = materialize(sets, "lines-sets").dropDuplicates(["place"])
-    both = pairs.join(sets.select(F.col("place").alias("a"), F.col("keys").alias("ka")), "a").join(
-        sets.select(F.col("place").alias("b"), F.col("keys").alias("kb")), "b")
+    found = texts.join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.tag") == F.col("w.tag")))
+    found = found.select("t.doc_id", "t.tag", F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
+    found = found.select("w.id", F.struct("doc_id", "tag", "w.line_no").alias("place"), F.get("lines", F.col("w.line_no")).alias("line"))
+    sets = materialize(found.select("id", "place", word_keys(F.col("line"), ranks).alias("keys")), "lines-sets").dropDuplicates(["place"])
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("keys").alias("ka")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("keys").alias("kb")), "b")
     common = F.size(F.array_intersect("ka", "kb"))
     union = F.size("ka") + F.size("kb") - common
-    return materialize(both.filter(common * threshold.denominator >= union * threshold.numerator).select("a", "b"), "lines-similar")
+    alike = both.filter(common * threshold.denominator >= union * threshold.numerator)
+    return materialize(alike.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "lines-similar")
 
 
 def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, tag and kept, the numbers of a document's lines (from 0) that are eligible and stay."""
     ranks = rarity_ranks(docs)
     reps = representatives(docs, ranks, threshold, min_words)
-    similar = similar_pairs(docs, candidate_pairs(reps, threshold), ranks, threshold)
+    similar = similar_pairs(docs, reps, candidate_pairs(reps, threshold), ranks, threshold)
     gone = similar.select(F.greatest("a", "b").alias("p")).distinct().select(*[F.col("p")[c].alias(f"{c}_") for c in _PLACE])
     same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("tag") == F.col("tag_")) & (F.col("line_no") == F.col("line_no_"))
     left = reps.select(*_PLACE).join(gone, same, "left_anti")

@@ -11,16 +11,19 @@ links of 0.8 or more are closed into classes.
 
 Scale: texts give signatures in one narrow pass; equal texts are one node from
 then on.  A band's bucket is compared against one centre at a time, never pair
-by pair: what fails against the centre stays for a next round with a new centre,
-and from the third round on under a finer key (a further band), so that large
-buckets of unlike documents fall apart.  Classes come from alternating large-
+by pair: what fails against the centre stays for a second round with a new
+centre.  All members of buckets that hold more than one class after that, linked
+ones too, go through an exact prefix-filter join, which finds every pair of
+different classes that is similar enough.  Classes come from alternating large-
 and small-star steps.  Every step is an aggregation or an equi-join; each round
 is cut into the shared folder; nothing is collected.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,12 @@ from .linear import mix64
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
-#: Rounds in which a bucket's members are compared under the same key, before keys become finer.
-PLAIN_ROUNDS = 2
+#: Rounds in which a bucket's members are compared with one centre, before the exact join.
+CENTRE_ROUNDS = 2
+#: Upper bits of a shingle's hash by which its rarity is counted; the sketch has 2**RANK_BITS counts, however large the corpus.
+RANK_BITS = 16
+#: Bounds are loosened by this much, so that rounding loses no pair.
+SLACK = 1e-6
 CACHE = 300_000
 
 _word = re.compile(WORD)
@@ -136,21 +143,21 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -
     return append_columns(both, ["a", "b"], T.StructType([T.StructField("linked", T.BooleanType())]), make).select("centre", "node", "linked")
 
 
-def find_links(docs: DataFrame, nodes: DataFrame, similarity: float, bands: int, width: int) -> DataFrame | None:
-    """Links (centre, node) between different texts; None if there are none.
+def find_roots(docs: DataFrame, nodes: DataFrame, similarity: float, width: int) -> DataFrame | None:
+    """node, root (see close_links()) for the texts that are linked to others; None if there are none.
 
     nodes: node, rep_id, keys.
     """
     members = nodes.select("node", F.explode("keys").alias("key"))
-    texts = done = None
-    turn = 0
-    while True:
+    texts = done = first = None
+    for _ in range(CENTRE_ROUNDS):
         centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         open_ = materialize(members.join(centres, "key").filter("node <> centre"), "dedup-buckets")
         if open_.isEmpty():
             break
         pairs = open_.select("centre", "node").distinct()
         if texts is None:  # of all that share a bucket; later rounds compare the same nodes
+            first = open_
             wanted = open_.select("node").union(open_.select(F.col("centre").alias("node"))).distinct()
             wanted = wanted.join(nodes.select("node", "rep_id"), "node")
             own = docs.select(F.col("doc_id").alias("rep_id"), "text").withColumn("node", node_of("text"))
@@ -159,14 +166,96 @@ def find_links(docs: DataFrame, nodes: DataFrame, similarity: float, bands: int,
         judged = materialize(compare(pairs, texts, similarity, width), "dedup-judged")
         links = judged.filter("linked").select("centre", "node")
         done = links if done is None else done.union(links)
-        left = open_.join(judged.filter("not linked"), ["centre", "node"])
-        turn += 1
-        if PLAIN_ROUNDS <= turn < PLAIN_ROUNDS + bands:
-            left = left.join(nodes.select("node", "keys"), "node")
-            members = left.select("node", F.xxhash64("key", F.get("keys", F.lit(turn % bands))).alias("key"))
-        else:
-            members = left.select("node", "key")
-    return done
+        members = open_.join(judged.filter("not linked"), ["centre", "node"]).select("node", "key")
+    if first is None:
+        return None
+    roots = close_links(done)
+    undecided = materialize(mixed_members(first, roots), "dedup-undecided")
+    if not undecided.isEmpty():
+        pairs = prefix_pairs(texts, undecided, similarity, width)
+        more = materialize(compare(pairs, texts, similarity, width).filter("linked").select("centre", "node"), "dedup-links")
+        if not more.isEmpty():
+            roots = close_links(done.union(more))
+    return roots
+
+
+def mixed_members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root for all members of the buckets (key, centre, node) that hold more than one root."""
+    own = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    other = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
+    both = own.join(other, "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
+    mixed = both.filter("root <> centre_root").select("key").distinct()
+    held = both.join(mixed, "key", "left_semi")
+    return held.select("node", "root").union(held.select("centre", "centre_root")).distinct()
+
+
+def _part(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - RANK_BITS)).astype(np.int64)
+
+
+def rarity_ranks(texts: DataFrame, width: int) -> np.ndarray:
+    """The rank by count of each of 2**RANK_BITS parts of the shingles' hashes, rarest first."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << RANK_BITS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                n += np.bincount(_part(np.unique(shingles(t.as_py(), width))), minlength=len(n))
+        part = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], names=["part", "n"])
+
+    found = texts.select("text").mapInArrow(count, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << RANK_BITS, np.int64)
+    total[found["part"].to_numpy()] = found["n"].to_numpy()
+    ranks = np.empty(len(total), np.uint64)
+    ranks[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
+    return ranks
+
+
+def rarest_first(text: str | None, ranks: np.ndarray, width: int) -> np.ndarray:
+    """The distinct shingles of a text as numbers whose order is one by rarity."""
+    low = np.uint64(64 - RANK_BITS)
+    found = np.unique(shingles(text, width))
+    return np.sort((ranks[_part(found)] << low) | (found & np.uint64((1 << (64 - RANK_BITS)) - 1)))
+
+
+def prefix_pairs(texts: DataFrame, undecided: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Pairs (centre, node) of ``undecided`` nodes of different roots, all those of the similarity among them.
+
+    An exact prefix-filter join: two sets that are similar enough share one of
+    their first n - ceil(similarity n) + 1 shingles in any order, here by rarity.
+    Sizes and positions are compared inside the join. Of each shingle, the root
+    that most nodes have is only met from the other roots' side, so that the
+    pairs looked at are at most twice those of different roots.
+    """
+    own = texts.join(undecided, "node").select("node", "root", "text")
+    own = materialize(own.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"), "text"), "dedup-undecided-texts")
+    ranks = rarity_ranks(own, width)
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        sizes, prefixes = [], []
+        for t in column:
+            ordered = rarest_first(t.as_py(), ranks, width)
+            sizes.append(n := len(ordered))
+            prefixes.append(ordered[:n - math.ceil(n * similarity - SLACK) + 1].astype(np.int64))
+        return [pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+
+    fields = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    rows = append_columns(own, ["text"], fields, make).select("id", "root", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    rows = materialize(rows, "dedup-prefixes")
+    held = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(
+        F.max_by("root", "m").alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("shingle", "most")
+    shared = materialize(rows.join(held, "shingle"), "dedup-shared")
+    a, b = shared.filter("root <> most").alias("a"), shared.alias("b")
+    an, bn = F.col("a.n"), F.col("b.n")
+    once = (F.col("b.root") == F.col("b.most")) | (F.col("a.id") < F.col("b.id"))
+    needed = (an + bn) * (similarity / (1 + similarity)) - SLACK
+    joined = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & once
+                    & (F.least(an, bn) >= F.greatest(an, bn) * similarity - SLACK)
+                    & (F.least(an - F.col("a.pos"), bn - F.col("b.pos")) >= needed))
+    pairs = materialize(joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "dedup-pairs")
+    ids = undecided.select("node", F.xxhash64("node").alias("id"))
+    return pairs.join(ids.select(F.col("id").alias("a"), F.col("node").alias("centre")), "a").join(
+        ids.select(F.col("id").alias("b"), "node"), "b").select("centre", "node")
 
 
 def close_links(links: DataFrame) -> DataFrame:
@@ -202,12 +291,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     worded = keyed.filter(F.col("node").isNotNull())
     nodes = worded.groupBy("node").agg(F.min(F.struct("doc_id", "keys"))["doc_id"].alias("rep_id"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "dedup-nodes")
-    links = find_links(docs, nodes, similarity, bands, width)
+    roots = find_roots(docs, nodes, similarity, width)
     own = nodes.select("node", "rep_id")
-    if links is None:
+    if roots is None:
         named = own.withColumnRenamed("rep_id", "class_id")
     else:
-        rooted = own.join(close_links(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = rooted.groupBy("root").agg(F.min(F.struct("rep_id", "root"))["rep_id"].alias("class_id"))
         named = rooted.join(least, "root").select("node", "class_id")
     named = materialize(named, "dedup-classes")

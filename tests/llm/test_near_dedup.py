@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lethe.llm import near_dedup as N
 from lethe.llm.common import table
@@ -76,3 +77,29 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(x for x in ids if x is not None) == [1, 4, 5, 6, 7, 8, 9, 10, 11, 12] and ids.count(None) == 1
+
+
+def test_chains_of_copies_where_only_neighbours_are_similar(spark):
+    rng = random.Random(11)
+    rows = []
+    for chain in range(12):
+        words = [f"c{chain}w{i}" for i in range(120)]
+        for step in range(10):
+            rows.append((len(rows), " ".join(words), "en", "s", 1))
+            words = words[11:] + [f"c{chain}s{step}x{i}" for i in range(11)]  # 105 of 127 shingles stay: 0.83; 0.68 two steps on
+    rng.shuffle(rows)
+    want = brute([(r[0], r[1]) for r in rows])
+    assert len(set(want.values())) == 12
+    docs = frame(spark, rows)
+    # one band, and that of all shingles alike: every document of the corpus is in one bucket
+    keyed = N.signatures(docs).withColumn("keys", F.array(F.lit(1).cast("long")))
+    nodes = N.materialize(keyed.select("node", F.col("doc_id").alias("rep_id"), "keys"), "test-nodes")
+    roots = {r.node: r.root for r in N.find_roots(docs, nodes, 0.8, 5).collect()}
+    by_node = {r.node: r.rep_id for r in nodes.collect()}
+    got = {}
+    for node, i in by_node.items():
+        got.setdefault(roots.get(node, node), set()).add(i)
+    classes = {}
+    for i, c in want.items():
+        classes.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))

@@ -1,10 +1,10 @@
 """MinHash near-dedup with ProbMinHash signatures.
 
-Shingles of five words weigh 1 + ln(their count in the document).  Every shingle
-is a Poisson process whose rate is its weight; each arrival falls into one of
-the signature's slots, and a slot keeps the shingle that arrives first.  Two
-documents agree in a slot with the probability Jaccard similarity of their
-weights.  Arrivals are drawn until the next would be later than the latest slot,
+Shingles of five words weigh the same, however often a document repeats them, as
+links are decided by the similarity of sets.  Every shingle is a Poisson process
+whose rate is its weight; each arrival falls into one of the signature's slots,
+and a slot keeps the shingle that arrives first.  Two documents agree in a slot
+with the probability Jaccard similarity of their weights, here that of the sets.  Arrivals are drawn until the next would be later than the latest slot,
 so most shingles are drawn once.  Slots are hashed in bands; documents that
 share a band are compared exactly (Jaccard similarity of the shingle sets), and
 links of 0.8 or more are closed into classes.
@@ -99,8 +99,8 @@ def band_keys(text: str | None, bands: int = BANDS, rows: int = ROWS, width: int
     found = shingles(text, width)
     if not len(found):
         return None
-    elements, counts = np.unique(found, return_counts=True)
-    sig = signature(elements, 1 + np.log(counts), bands * rows).reshape(bands, rows)
+    elements = np.unique(found)  # links are decided by sets, so every shingle weighs the same
+    sig = signature(elements, np.ones(len(elements)), bands * rows).reshape(bands, rows)
     key = np.arange(1, bands + 1, dtype=np.uint64)
     for j in range(rows):
         key = mix64(key * _A + sig[:, j])

@@ -103,3 +103,24 @@ def test_chains_of_copies_where_only_neighbours_are_similar(spark):
     for i, c in want.items():
         classes.setdefault(c, set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))
+
+
+def test_repeated_passages_change_no_band():
+    first, second = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    short, long = " ".join([first] * 2 + [second]), " ".join([first] * 40 + [second])
+    assert set(N.shingles(short).tolist()) == set(N.shingles(long).tolist())
+    assert N.band_keys(short) == N.band_keys(long)
+
+
+def test_recall_of_pairs_with_repeated_passages():
+    shared = 0
+    for k in range(300):
+        first = [f"p{k}a{i}" for i in range(40)]
+        tail = [f"p{k}b{i}" for i in range(160)]
+        a = first * 2 + tail
+        b = first * 40 + tail[:138]  # 178 of 200 shingles and 14 others
+        b += [f"p{k}c{i}" for i in range(14)]
+        x, y = " ".join(a), " ".join(b)
+        assert 0.8 <= N.jaccard(np.unique(N.shingles(x)), np.unique(N.shingles(y))) < 0.85
+        shared += bool(set(N.band_keys(x)) & set(N.band_keys(y)))
+    assert shared >= 299

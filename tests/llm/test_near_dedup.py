@@ -124,3 +124,21 @@ def test_recall_of_pairs_with_repeated_passages():
         assert 0.8 <= N.jaccard(np.unique(N.shingles(x)), np.unique(N.shingles(y))) < 0.85
         shared += bool(set(N.band_keys(x)) & set(N.band_keys(y)))
     assert shared >= 299
+
+
+def test_several_groups_of_near_copies_in_one_bucket(spark):
+    rng = random.Random(3)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for group in range(6):
+        base = passage + [f"g{group}w{i}" for i in range(40)]
+        for copy in range(2):
+            rows.append((len(rows), " ".join(base[:-1] + [f"g{group}c{copy}"]), "en", "s", 1))
+    rng.shuffle(rows)
+    docs = frame(spark, rows)
+    keyed = N.signatures(docs).withColumn("keys", F.array(F.lit(1).cast("long")))
+    nodes = N.materialize(keyed.select("node", F.col("doc_id").alias("rep_id"), "keys"), "test-nodes")
+    roots = {r.node: r.root for r in N.find_roots(docs, nodes, 0.8, 5).collect()}
+    root_of = {r.rep_id: roots.get(r.node, r.node) for r in nodes.collect()}
+    want = brute([(r[0], r[1]) for r in rows])
+    assert all((root_of[i] == root_of[j]) == (want[i] == want[j]) for i in want for j in want)
+    assert len(set(want.values())) == 6

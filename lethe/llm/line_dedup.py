@@ -4,20 +4,30 @@ Lines are sets of words.  A line goes if an earlier line of the corpus (by
 doc_id, then line number) has a Jaccard similarity of at least the threshold.
 
 Candidates come from prefix filtering: words are ordered by rarity, and two
-similar lines must share one of their first n - ceil(t n) + 1 words.  Pairs that
-share such a word pass the length filter, the positional filter (enough words
-can follow the shared one) and a parity filter (a few bits bound how far two
-sets differ) inside the join, and are then verified on their whole sets.  Equal sets are one class from the start, represented by its first line,
-so that a line in a third of all documents enters the join once.
-
-Rarity: counts of all words of the corpus in 2**15 hash buckets.  Replacing the
-upper 15 bits of a word's 64-bit hash by its bucket's rank keeps hashes distinct
-and makes their numeric order an order by rarity; prefix filtering is exact
-under any total order.  Words are compared by these hashes.
+similar lines must share one of their first n - ceil(t n) + 1 words; of the
+smaller of the two, fewer do.  Pairs that share such a word pass the length
+filter, the positional filter (enough words can follow the shared one) and a
+parity filter (a few bits bound how far two sets differ) inside the join, and
+are then verified on their whole sets.  Equal sets are one class from the start,
+represented by its first line, so that a line in a third of all documents enters
+the join once.
+
+A line goes for one earlier match, so a group of near copies needs no pairs of
+all its lines.  Before the join, lines that share a key (the least of their
+prefix under some hash) with many others are verified against the earliest of
+these; those that match are settled.  Settled lines stay in the join as the
+earlier side, for what is open, but are never met with each other, so the join's
+work follows the open lines.  This only saves work: the join decides for every
+open line, exactly.
+
+Rarity: counts of all words of the corpus in 2**LEVEL_BITS hash buckets, by their
+logarithm.  A word's number is its bucket's level before the lower 56 bits of
+its hash, so that numeric order is an order by rarity; prefix filtering is exact
+under any total order.  Words are compared by these numbers.
 
 Scale: lines leave the documents as narrow rows (a place, a digest, the prefix);
-texts move twice at most: for the lines to verify, thinned by a bitmap of fixed
-size, and for the result.
+texts move once, for the result, and lines to verify only if they are more than
+a broadcast of bounded size holds.
 """
 
 from __future__ import annotations
@@ -27,51 +37,67 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, free_name, materialize, table
+from .common import GAP, materialize, table
 
 THRESHOLD = Fraction(4, 5)
 #: Lines of fewer words stay.
-MIN_WORDS = 3
-RANK_BITS = 15
+MIN_WORDS = 1
+#: Buckets of the word counts, and steps of their logarithm an octave.
+LEVEL_BITS, STEPS = 18, 4
 #: Sets of more words have parities of four times 64 bits besides, as 64 tell little of them.
 WIDE = 80
-#: Size of the bitmap that thins documents before they move to be verified.
-THIN_BITS = 20
+#: Keys of a line in the rounds before the join; lines of one key from which these compare them with the earliest; most such rounds.
+KEYS, LARGE, ROUNDS = 4, 16, 3
+#: Most rows that are broadcast; a join with more shuffles.
+MOST_BROADCAST = 200_000
 
 _PLACE = ("doc_id", "tag", "line_no")
+_ODD = "\t\x0b\x0c\r\n"
+
 
+def _words(text: Column, odd: str = _ODD) -> Column:
+    """The words of a text, empty strings among them; plain spaces, the usual case, are split without a pattern."""
+    strange = F.lit(False)
+    for c in odd:
+        strange = strange | text.contains(c)
+    return F.when(strange, F.split(text, GAP)).otherwise(F.split(text, " "))
 
-def rarity_ranks(docs: DataFrame) -> list[int]:
-    """The rank by count of each of 2**RANK_BITS buckets of word hashes, rarest first; ties by bucket."""
-    words = docs.select(F.explode(F.split("text", GAP)).alias("w")).filter("w <> ''")
-    counts = dict(words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count().collect())
-    order = sorted(range(1 << RANK_BITS), key=lambda b: (counts.get(b, 0), b))
-    ranks = [0] * len(order)
-    for rank, b in enumerate(order):
-        ranks[b] = rank
-    return ranks
+
+def rarity_levels(docs: DataFrame) -> list[int]:
+    """The logarithm of the count of each of 2**LEVEL_BITS buckets of word hashes, in steps from 0 to 127."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    words = lines.select(F.explode(_words(F.col("line"), _ODD[:-1])).alias("w")).filter("w <> ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * STEPS) + 1).cast("int")
+    packed = counts.select(F.struct("b", level.alias("level")).alias("s")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.concat_ws(":", s["b"].cast("string"), s["level"].cast("string"))), ","))
+    levels = [0] * (1 << LEVEL_BITS)
+    for pair in filter(None, (packed.first()[0] or "").split(",")):
+        b, _, n = pair.partition(":")
+        levels[int(b)] = int(n)
+    return levels
 
 
 def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - RANK_BITS).cast("int")
+    return F.shiftrightunsigned(h, 64 - LEVEL_BITS).cast("int")
 
 
-def word_keys(line: Column, ranks: list[int]) -> Column:
-    """The distinct words of a line as numbers, rarest first."""
-    half, low = 1 << (RANK_BITS - 1), (1 << (64 - RANK_BITS)) - 1
-    rank = F.expr(f"cast(split('{','.join(str(r - half) for r in ranks)}', ',') as array<bigint>)")
-    words = F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), GAP)
+def word_keys(line: Column, levels: list[int]) -> Column:
+    """The distinct words of a line (without line breaks) as numbers, rarest first."""
+    level = F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<tinyint>)")
+    low = F.lit((1 << 56) - 1)
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
-        return F.shiftleft(F.get(rank, _bucket(h)), 64 - RANK_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
+        return F.shiftleft(F.get(level, _bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
 
-    return F.sort_array(F.array_distinct(F.transform(words, key)))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line, _ODD[:-1]), ""), key)))
 
 
 def eligible(line: Column, min_words: int = MIN_WORDS) -> Column:
     """Whether a line has ``min_words`` words."""
-    return line.rlike(GAP.join([WORD] * max(1, min_words)))
+    word = r"[^\x20\x09-\x0D]"
+    return line.rlike(rf"{word}+{GAP}" * (max(1, min_words) - 1) + word)
 
 
 def _ceil(numerator: Column, fraction: Fraction) -> Column:
@@ -80,8 +106,12 @@ def _ceil(numerator: Column, fraction: Fraction) -> Column:
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (a hash of the text, which tells rows of one doc_id apart) and text."""
-    return docs.select("doc_id", F.hash("text").alias("tag"), "text").filter(F.col("text").isNotNull())
+    """doc_id, tag (a digest of the text, which tells rows of one doc_id apart) and text."""
+    return docs.select("doc_id", tag_of("text").alias("tag"), "text").filter(F.col("text").isNotNull())
+
+
+def tag_of(text: str) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def parity(keys: str, part: int = 0, parts: int = 1) -> Column:
@@ -93,53 +123,107 @@ def parity(keys: str, part: int = 0, parts: int = 1) -> Column:
     return F.expr(f"aggregate({keys}, 0L, (bits, k) -> if({own}, bits ^ shiftleft(1L, cast(k & 63 as int)), bits))")
 
 
-def representatives(docs: DataFrame, ranks: list[int], threshold: Fraction, min_words: int) -> DataFrame:
+def representatives(docs: DataFrame, levels: list[int], threshold: Fraction, min_words: int) -> DataFrame:
     """The first line of each set of words; a table of its own.
 
     Columns: id (a digest of the set), its place, n (words in the set), parity,
-    wide (parities of sets over WIDE words), and prefix, the upper 40 bits of its
-    rarest words.
+    wide (parities of sets over WIDE words), and prefix, its rarest words.
     """
     lines = _tagged(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    keyed = lines.filter(eligible(F.col("line"), min_words)).select(*_PLACE, word_keys(F.col("line"), ranks).alias("keys"))
+    keyed = lines.filter(eligible(F.col("line"), min_words)).select(*_PLACE, word_keys(F.col("line"), levels).alias("keys"))
     n = F.size("keys")
-    prefix = F.transform(F.slice("keys", F.lit(1), n - _ceil(n, threshold) + 1), lambda k: F.shiftright(k, 24))
+    keyed = keyed.withColumn("wide", F.when(n > WIDE, F.array(*[parity("keys", j, 4) for j in range(4)])))
+    folded = F.get("wide", F.lit(0))
+    for j in range(1, 4):
+        folded = folded.bitwiseXOR(F.get("wide", F.lit(j)))
     rows = keyed.select(F.xxhash64("keys").alias("id"), F.hash("keys", F.lit(1)).alias("id2"), F.struct(*_PLACE).alias("place"),
-                        n.alias("n"), parity("keys").alias("parity"),
-                        F.when(n > WIDE, F.array(*[parity("keys", j, 4) for j in range(4)])).alias("wide"), prefix.alias("prefix"))
+                        n.alias("n"), F.when(n > WIDE, folded).otherwise(parity("keys")).alias("parity"), "wide",
+                        F.slice("keys", F.lit(1), n - _ceil(n, threshold) + 1).alias("prefix"))
     first = rows.groupBy("id", "id2").agg(F.min(F.struct("place", "n", "parity", "wide", "prefix")).alias("m"))
     return materialize(first.select("id", "m.place.*", "m.n", "m.parity", "m.wide", "m.prefix"), "lines-first")
 
 
-def candidate_pairs(reps: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of ids (a the smaller set) that share a word of their prefixes and pass the
-    length, positional and parity filters, all inside the join; a table of its own."""
-    rows = reps.select("id", "n", "parity", "wide", F.posexplode("prefix").alias("pos", "word"))
-    a, b = rows.alias("a"), rows.alias("b")
+def _apart(a: str, b: str, an: Column, bn: Column, threshold: Fraction) -> Column:
+    """Whether sizes and parities of two sets (aliases a and b) leave room for the threshold."""
+    most = an + bn - 2 * _ceil(an + bn, threshold / (1 + threshold))  # words in which the two may differ
+    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    wide = F.lit(0)
+    for j in range(4):
+        wide = wide + bits(F.get(f"{a}.wide", F.lit(j)), F.get(f"{b}.wide", F.lit(j)))
+    return ((F.least(an, bn) * threshold.denominator >= F.greatest(an, bn) * threshold.numerator)
+            & (bits(F.col(f"{a}.parity"), F.col(f"{b}.parity")) <= most) & (F.coalesce(wide, F.lit(0)) <= most))
+
+
+def _least_key(words: str, number: int) -> Column:
+    """The least of an array of word numbers under the ``number``-th of a family of hashes."""
+    low = (1 << 56) - 1
+    mask = F.lit(0x9E3779B97F4A7C15 * number & low)
+    return F.array_min(F.transform(words, lambda w: w.bitwiseAND(F.lit(low)).bitwiseXOR(mask)))
+
+
+def settle_large_groups(docs: DataFrame, reps: DataFrame, levels: list[int], threshold: Fraction, large: int = LARGE) -> DataFrame | None:
+    """Places of lines that share a key with ``large`` open lines or more and match the earliest of these; None if there are none.
+
+    Every round looks at the lines that are open after the one before, under other hashes.
+    """
+    settled = None
+    for turn in range(ROUNDS):
+        own = reps.select("id", *_PLACE, "n", "parity", "wide", "prefix")
+        if settled is not None:
+            own = own.join(settled, _same_place(own, settled), "left_anti")
+        least = F.array(*[_least_key("prefix", turn * KEYS + k + 1) for k in range(KEYS)])
+        keyed = own.select("id", *_PLACE, "n", "parity", "wide", F.explode(least).alias("key"))
+        hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= large).select("key"), "lines-hot")
+        many = hot.count()
+        if not many:
+            break
+        shared = materialize(keyed.join(F.broadcast(hot) if many <= MOST_BROADCAST else hot, "key"), "lines-shared")
+        first = shared.groupBy("key").agg(F.min(F.struct(*_PLACE, "id", "n", "parity", "wide")).alias("b")).select("key", "b.id", "b.n", "b.parity", "b.wide")
+        a, b = shared.alias("a"), (F.broadcast(first) if many <= MOST_BROADCAST else first).alias("b")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id"))
+                     & _apart("a", "b", F.col("a.n"), F.col("b.n"), threshold))
+        pairs = materialize(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "lines-met")
+        gone = later_places(similar_pairs(docs, reps, pairs, levels, threshold))
+        if gone.isEmpty():
+            break
+        settled = gone if settled is None else materialize(settled.unionByName(gone), "lines-settled")
+    return settled
+
+
+def candidate_pairs(reps: DataFrame, threshold: Fraction, settled: DataFrame | None = None) -> DataFrame:
+    """Pairs of ids that share a word of their prefixes and pass the length, positional
+    and parity filters, all inside the join, but for pairs of settled lines; a table of its own.
+
+    Every pair of open lines is met once, the smaller set on the left with the
+    shorter prefix that suffices there; settled lines are on the left only.
+    """
+    open_ = F.lit(True)
+    if settled is not None:
+        known = settled.withColumn("done", F.lit(True))
+        reps = reps.join(known, _same_place(reps, known), "left").select(reps["*"], "done")
+        open_ = F.col("done").isNull()
+    rows = reps.select("id", "n", "parity", "wide", open_.alias("open"), F.posexplode("prefix").alias("pos", "word"))
+    shorter = F.col("n") - _ceil(F.col("n"), 2 * threshold / (1 + threshold)) + 1
+    a, b = rows.filter(~F.col("open") | (F.col("pos") < shorter)).alias("a"), rows.filter("open").drop("open").alias("b")
     an, bn = F.col("a.n"), F.col("b.n")
-    once = (an < bn) | ((an == bn) & (F.col("a.id") < F.col("b.id")))
+    once = ~F.col("a.open") | (an < bn) | ((an == bn) & (F.col("a.id") < F.col("b.id")))
     needed = _ceil(an + bn, threshold / (1 + threshold))
-    most = an + bn - 2 * needed  # words in which the two may differ
-    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    wide = F.aggregate(F.zip_with("a.wide", "b.wide", apart), F.lit(0), lambda n, x: n + x)
-    joined = a.join(b, (F.col("a.word") == F.col("b.word")) & once & (an * threshold.denominator >= bn * threshold.numerator)
-                    & (F.least(an - F.col("a.pos"), bn - F.col("b.pos")) >= needed)
-                    & (apart(F.col("a.parity"), F.col("b.parity")) <= most) & (F.coalesce(wide, F.lit(0)) <= most))
+    joined = a.join(b, (F.col("a.word") == F.col("b.word")) & once & (F.least(an - F.col("a.pos"), bn - F.col("b.pos")) >= needed)
+                    & _apart("a", "b", an, bn, threshold))
     return materialize(joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "lines-pairs")
 
 
-def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, ranks: list[int], threshold: Fraction) -> DataFrame:
-    """Places (a, b) of lines whose sets of words have at least the threshold's Jaccard similarity; a table of its own."""
+def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, levels: list[int], threshold: Fraction) -> DataFrame:
+    """Places (a, b) of the pairs of ids whose sets of words have at least the threshold's Jaccard similarity; a table of its own."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = reps.select("id", *_PLACE).join(ids, "id").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
     wanted = materialize(wanted, "lines-wanted")
-    bits = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(1 << THIN_BITS)).cast("int")
-    thin = F.broadcast(wanted.select(bits.alias("bit")).distinct())  # at most 2**THIN_BITS rows
-    texts = _tagged(docs).withColumn("bit", bits).join(thin, "bit", "left_semi").drop("bit").alias("t")
-    found = texts.join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.tag") == F.col("w.tag")))
+    small = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] <= MOST_BROADCAST
+    w = (F.broadcast(wanted) if small else wanted).alias("w")
+    found = _tagged(docs).alias("t").join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.tag") == F.col("w.tag")))
     found = found.select("t.doc_id", "t.tag", F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
     found = found.select("w.id", F.struct("doc_id", "tag", "w.line_no").alias("place"), F.get("lines", F.col("w.line_no")).alias("line"))
-    sets = materialize(found.select("id", "place", word_keys(F.col("line"), ranks).alias("keys")), "lines-sets").dropDuplicates(["place"])
+    sets = materialize(found.select("id", "place", word_keys(F.col("line"), levels).alias("keys")), "lines-sets").dropDuplicates(["place"])
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("keys").alias("ka")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("keys").alias("kb")), "b")
     common = F.size(F.array_intersect("ka", "kb"))
@@ -148,41 +232,50 @@ def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, ranks: lis
     return materialize(alike.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "lines-similar")
 
 
-def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def later_places(similar: DataFrame) -> DataFrame:
+    """The later place of each pair, once each; a table of its own."""
+    return materialize(similar.select(F.greatest("a", "b").alias("p")).distinct().select("p.*"), "lines-gone")
+
+
+def _same_place(x: DataFrame, y: DataFrame) -> Column:
+    return x["doc_id"].eqNullSafe(y["doc_id"]) & (x["tag"] == y["tag"]) & (x["line_no"] == y["line_no"])
+
+
+def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, min_words: int = MIN_WORDS, large: int = LARGE) -> DataFrame:
     """doc_id, tag and kept, the numbers of a document's lines (from 0) that are eligible and stay."""
-    ranks = rarity_ranks(docs)
-    reps = representatives(docs, ranks, threshold, min_words)
-    similar = similar_pairs(docs, reps, candidate_pairs(reps, threshold), ranks, threshold)
-    gone = similar.select(F.greatest("a", "b").alias("p")).distinct().select(*[F.col("p")[c].alias(f"{c}_") for c in _PLACE])
-    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("tag") == F.col("tag_")) & (F.col("line_no") == F.col("line_no_"))
-    left = reps.select(*_PLACE).join(gone, same, "left_anti")
+    levels = rarity_levels(docs)
+    reps = representatives(docs, levels, threshold, min_words)
+    settled = settle_large_groups(docs, reps, levels, threshold, large)
+    gone = later_places(similar_pairs(docs, reps, candidate_pairs(reps, threshold, settled), levels, threshold))
+    gone = gone if settled is None else gone.unionByName(settled)
+    left = reps.select(*_PLACE).join(gone, _same_place(reps, gone), "left_anti")
     return left.groupBy("doc_id", "tag").agg(F.collect_list("line_no").alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, min_words: int = MIN_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, min_words: int = MIN_WORDS, counts: tuple[str, str] | None = None,
+                large: int = LARGE) -> DataFrame:
     """``docs`` with the lines that repeat earlier ones taken out of ``text``.
 
     counts: names of two more columns, the numbers of lines before and after.
 
-    Lines of fewer than ``min_words`` words stay, empty ones among them. All
+    Lines of fewer than ``min_words`` words stay, those without words always. All
     documents stay, though texts may become empty. Null texts stay null and
     have 0 lines. A null doc_id comes before all others; rows of one doc_id
-    come in the order of a hash of their texts, and fully repeated rows count as
+    come in the order of a digest of their texts, and fully repeated rows count as
     one and keep the same lines. An empty table gives no rows; other columns
     pass through, whatever their names.
     """
-    tag, lines, kept = (free_name(docs, n) for n in ("tag_", "lines_", "kept_"))
-    found = kept_lines(docs, threshold, min_words).select(F.col("doc_id").alias(f"{tag}id"), F.col("tag").alias(f"{tag}tag"), F.col("kept").alias(kept))
-    marked = docs.withColumn(tag, F.hash("text"))
-    out = marked.join(found, F.col("doc_id").eqNullSafe(F.col(f"{tag}id")) & (F.col(tag) == F.col(f"{tag}tag")), "left")
-    out = out.withColumn(lines, F.split("text", "\n"))
-    short = F.filter(F.transform(lines, lambda line, i: F.when(~eligible(line, min_words), i)), lambda i: i.isNotNull())
-    stay = F.sort_array(F.concat(short, F.coalesce(kept, F.expr("cast(array() as array<int>)"))))
-    out = out.withColumn(kept, stay)
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    extra = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(n) for c, n in zip((lines, kept), counts)] if counts else []
-    sizes = [F.when(F.col("text").isNotNull(), e).otherwise(F.lit(0).cast("long")).alias(n) for e, n in zip(extra, counts or ())]
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *sizes)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row"))
+    found = kept_lines(docs, threshold, min_words, large).alias("k")
+    marked = named.withColumn("tag", tag_of("text")).alias("d")
+    out = marked.join(found, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.tag") == F.col("k.tag")), "left")
+    out = out.select("d.doc_id", "row", "text", "kept", F.split("text", "\n").alias("lines"))
+    short = F.filter(F.transform("lines", lambda line, i: F.when(~eligible(line, min_words), i)), lambda i: i.isNotNull())
+    out = out.withColumn("kept", F.sort_array(F.concat(short, F.coalesce("kept", F.expr("cast(array() as array<int>)")))))
+    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n"))
+    sizes = [F.when(F.col("text").isNotNull(), F.size(c).cast("long")).otherwise(F.lit(0).cast("long")).alias(n) for c, n in zip(("lines", "kept"), counts or ())]
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns], *sizes)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

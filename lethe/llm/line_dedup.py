@@ -13,8 +13,8 @@ represented by its first line, so that a line in a third of all documents enters
 the join once.
 
 A line goes for one earlier match, so a group of near copies needs no pairs of
-all its lines.  Before the join, lines that share a key (the least of their
-prefix under some hash) with many others are verified against the earliest of
+all its lines.  Before the join, lines that share a key (their least word
+under some hash) with many others are verified against the earliest of
 these; those that match are settled.  Settled lines stay in the join as the
 earlier side, for what is open, but are never met with each other, so the join's
 work follows the open lines.  This only saves work: the join decides for every
@@ -44,10 +44,11 @@ THRESHOLD = Fraction(4, 5)
 MIN_WORDS = 1
 #: Buckets of the word counts, and steps of their logarithm an octave.
 LEVEL_BITS, STEPS = 18, 4
-#: Sets of more words have parities of four times 64 bits besides, as 64 tell little of them.
-WIDE = 80
-#: Keys of a line in the rounds before the join; lines of one key from which these compare them with the earliest; most such rounds.
-KEYS, LARGE, ROUNDS = 4, 16, 3
+#: Sets of more words have parities of twice 64 bits, as 64 tell little of them.
+WIDE = 64
+#: Keys of a line in the rounds before the join; lines of one key from which these compare them with the earliest;
+#: lines that a round settles from which another follows (a copy escapes a round once in some 50 times).
+KEYS, LARGE, AGAIN = 2, 32, 2_000
 #: Most rows that are broadcast; a join with more shuffles.
 MOST_BROADCAST = 200_000
 
@@ -114,12 +115,12 @@ def tag_of(text: str) -> Column:
     return F.unhex(F.md5(text))
 
 
-def parity(keys: str, part: int = 0, parts: int = 1) -> Column:
-    """64 bits: which of the 64 classes of words in this part of ``parts`` a set has an odd number of.
+def parity(keys: str, half: bool = False) -> Column:
+    """64 bits: which of 64 classes of words a set has an odd number of. half: of one half of the words only.
 
     Two sets differ in at least as many words as their parities differ in bits.
     """
-    own = "true" if parts == 1 else f"(shiftright(k, 6) & {parts - 1}) = {part}"
+    own = "(k & 64) = 0" if half else "true"
     return F.expr(f"aggregate({keys}, 0L, (bits, k) -> if({own}, bits ^ shiftleft(1L, cast(k & 63 as int)), bits))")
 
 
@@ -127,67 +128,66 @@ def representatives(docs: DataFrame, levels: list[int], threshold: Fraction, min
     """The first line of each set of words; a table of its own.
 
     Columns: id (a digest of the set), its place, n (words in the set), parity,
-    wide (parities of sets over WIDE words), and prefix, its rarest words.
+    half (in sets over WIDE words, the parity of one half of the classes), marks (its least
+    words under KEYS hashes), and prefix, its rarest words.
     """
     lines = _tagged(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     keyed = lines.filter(eligible(F.col("line"), min_words)).select(*_PLACE, word_keys(F.col("line"), levels).alias("keys"))
     n = F.size("keys")
-    keyed = keyed.withColumn("wide", F.when(n > WIDE, F.array(*[parity("keys", j, 4) for j in range(4)])))
-    folded = F.get("wide", F.lit(0))
-    for j in range(1, 4):
-        folded = folded.bitwiseXOR(F.get("wide", F.lit(j)))
     rows = keyed.select(F.xxhash64("keys").alias("id"), F.hash("keys", F.lit(1)).alias("id2"), F.struct(*_PLACE).alias("place"),
-                        n.alias("n"), F.when(n > WIDE, folded).otherwise(parity("keys")).alias("parity"), "wide",
+                        n.alias("n"), parity("keys").alias("parity"), F.when(n > WIDE, parity("keys", True)).alias("half"),
+                        F.array(*[_least_key("keys", k) for k in range(KEYS)]).alias("marks"),
                         F.slice("keys", F.lit(1), n - _ceil(n, threshold) + 1).alias("prefix"))
-    first = rows.groupBy("id", "id2").agg(F.min(F.struct("place", "n", "parity", "wide", "prefix")).alias("m"))
-    return materialize(first.select("id", "m.place.*", "m.n", "m.parity", "m.wide", "m.prefix"), "lines-first")
+    first = rows.groupBy("id", "id2").agg(F.min(F.struct("place", "n", "parity", "half", "marks", "prefix")).alias("m"))
+    return materialize(first.select("id", "m.place.*", "m.n", "m.parity", "m.half", "m.marks", "m.prefix"), "lines-first")
 
 
 def _apart(a: str, b: str, an: Column, bn: Column, threshold: Fraction) -> Column:
     """Whether sizes and parities of two sets (aliases a and b) leave room for the threshold."""
     most = an + bn - 2 * _ceil(an + bn, threshold / (1 + threshold))  # words in which the two may differ
     bits = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    wide = F.lit(0)
-    for j in range(4):
-        wide = wide + bits(F.get(f"{a}.wide", F.lit(j)), F.get(f"{b}.wide", F.lit(j)))
+    ap, bp, ah, bh = (F.col(f"{x}.{c}") for c in ("parity", "half") for x in (a, b))
+    both = bits(ah, bh) + bits(ap.bitwiseXOR(ah), bp.bitwiseXOR(bh))
     return ((F.least(an, bn) * threshold.denominator >= F.greatest(an, bn) * threshold.numerator)
-            & (bits(F.col(f"{a}.parity"), F.col(f"{b}.parity")) <= most) & (F.coalesce(wide, F.lit(0)) <= most))
+            & (bits(ap, bp) <= most) & (F.coalesce(both, F.lit(0)) <= most))
 
 
 def _least_key(words: str, number: int) -> Column:
     """The least of an array of word numbers under the ``number``-th of a family of hashes."""
     low = (1 << 56) - 1
-    mask = F.lit(0x9E3779B97F4A7C15 * number & low)
+    mask = F.lit(0x9E3779B97F4A7C15 * (number + 1) & low)
     return F.array_min(F.transform(words, lambda w: w.bitwiseAND(F.lit(low)).bitwiseXOR(mask)))
 
 
 def settle_large_groups(docs: DataFrame, reps: DataFrame, levels: list[int], threshold: Fraction, large: int = LARGE) -> DataFrame | None:
     """Places of lines that share a key with ``large`` open lines or more and match the earliest of these; None if there are none.
 
-    Every round looks at the lines that are open after the one before, under other hashes.
+    Lines meet by their marks. Later rounds look at the lines that are open after
+    the one before, also by the least word of their prefix under another hash.
     """
-    settled = None
-    for turn in range(ROUNDS):
-        own = reps.select("id", *_PLACE, "n", "parity", "wide", "prefix")
+    settled, turn = None, 0
+    while True:
+        own = reps
         if settled is not None:
             own = own.join(settled, _same_place(own, settled), "left_anti")
-        least = F.array(*[_least_key("prefix", turn * KEYS + k + 1) for k in range(KEYS)])
-        keyed = own.select("id", *_PLACE, "n", "parity", "wide", F.explode(least).alias("key"))
+        least = F.concat("marks", F.array(_least_key("prefix", KEYS + turn))) if turn else F.col("marks")
+        keyed = own.select("id", *_PLACE, "n", "parity", "half", F.explode(least).alias("key"))
         hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= large).select("key"), "lines-hot")
         many = hot.count()
         if not many:
-            break
+            return settled
         shared = materialize(keyed.join(F.broadcast(hot) if many <= MOST_BROADCAST else hot, "key"), "lines-shared")
-        first = shared.groupBy("key").agg(F.min(F.struct(*_PLACE, "id", "n", "parity", "wide")).alias("b")).select("key", "b.id", "b.n", "b.parity", "b.wide")
+        first = shared.groupBy("key").agg(F.min(F.struct(*_PLACE, "id", "n", "parity", "half")).alias("b")).select("key", "b.id", "b.n", "b.parity", "b.half")
         a, b = shared.alias("a"), (F.broadcast(first) if many <= MOST_BROADCAST else first).alias("b")
         met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id"))
                      & _apart("a", "b", F.col("a.n"), F.col("b.n"), threshold))
         pairs = materialize(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "lines-met")
         gone = later_places(similar_pairs(docs, reps, pairs, levels, threshold))
-        if gone.isEmpty():
-            break
-        settled = gone if settled is None else materialize(settled.unionByName(gone), "lines-settled")
-    return settled
+        found, turn = gone.count(), turn + 1
+        if found:
+            settled = gone if settled is None else materialize(settled.unionByName(gone), "lines-settled")
+        if found < AGAIN:
+            return settled
 
 
 def candidate_pairs(reps: DataFrame, threshold: Fraction, settled: DataFrame | None = None) -> DataFrame:
@@ -200,9 +200,11 @@ def candidate_pairs(reps: DataFrame, threshold: Fraction, settled: DataFrame | N
     open_ = F.lit(True)
     if settled is not None:
         known = settled.withColumn("done", F.lit(True))
+        known = F.broadcast(known) if settled.count() <= MOST_BROADCAST else known
         reps = reps.join(known, _same_place(reps, known), "left").select(reps["*"], "done")
         open_ = F.col("done").isNull()
-    rows = reps.select("id", "n", "parity", "wide", open_.alias("open"), F.posexplode("prefix").alias("pos", "word"))
+    rows = reps.select("id", "n", "parity", "half", open_.alias("open"), F.posexplode("prefix").alias("pos", "key"))
+    rows = rows.withColumn("word", F.shiftright("key", 16)).drop("key")  # enough of it to meet; pairs are verified by whole words
     shorter = F.col("n") - _ceil(F.col("n"), 2 * threshold / (1 + threshold)) + 1
     a, b = rows.filter(~F.col("open") | (F.col("pos") < shorter)).alias("a"), rows.filter("open").drop("open").alias("b")
     an, bn = F.col("a.n"), F.col("b.n")
@@ -220,8 +222,8 @@ def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, levels: li
     wanted = materialize(wanted, "lines-wanted")
     small = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] <= MOST_BROADCAST
     w = (F.broadcast(wanted) if small else wanted).alias("w")
-    found = _tagged(docs).alias("t").join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.tag") == F.col("w.tag")))
-    found = found.select("t.doc_id", "t.tag", F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
+    found = docs.select("doc_id", "text").alias("t").join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).filter(tag_of("text") == F.col("w.tag"))
+    found = found.select("t.doc_id", "w.tag", F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
     found = found.select("w.id", F.struct("doc_id", "tag", "w.line_no").alias("place"), F.get("lines", F.col("w.line_no")).alias("line"))
     sets = materialize(found.select("id", "place", word_keys(F.col("line"), levels).alias("keys")), "lines-sets").dropDuplicates(["place"])
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("keys").alias("ka")), "a").join(

@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 _LOCAL_DIR: list[str] = []
+_PATHS: dict[int, tuple] = {}  # of materialized tables, by the identity of their DataFrame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +61,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        held, path = _PATHS.pop(id(df), (lambda: None, ""))
+        if held() is df:
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def word_count(text) -> F.Column:

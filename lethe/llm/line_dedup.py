@@ -37,7 +37,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, materialize, table
+from .common import GAP, discard, materialize, table
 
 THRESHOLD = Fraction(4, 5)
 #: Lines of fewer words stay.
@@ -46,9 +46,9 @@ MIN_WORDS = 1
 LEVEL_BITS, STEPS = 18, 4
 #: Sets of more words have parities of twice 64 bits, as 64 tell little of them.
 WIDE = 64
-#: Keys of a line in the rounds before the join; lines of one key from which these compare them with the earliest;
-#: lines that a round settles from which another follows (a copy escapes a round once in some 50 times).
-KEYS, LARGE, AGAIN = 2, 32, 2_000
+#: Lines of one key from which the rounds before the join compare them with the earliest; lines that a round
+#: settles from which another follows (a copy escapes a round about once in 20 times).
+LARGE, AGAIN = 32, 2_000
 #: Most rows that are broadcast; a join with more shuffles.
 MOST_BROADCAST = 200_000
 
@@ -127,19 +127,19 @@ def parity(keys: str, half: bool = False) -> Column:
 def representatives(docs: DataFrame, levels: list[int], threshold: Fraction, min_words: int) -> DataFrame:
     """The first line of each set of words; a table of its own.
 
-    Columns: id (a digest of the set), its place, n (words in the set), parity,
+    Columns: id (a number), its place, n (words in the set), parity,
     half (in sets over WIDE words, the parity of one half of the classes), marks (its least
-    words under KEYS hashes), and prefix, its rarest words.
+    words under three hashes), and prefix, its rarest words.
     """
     lines = _tagged(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     keyed = lines.filter(eligible(F.col("line"), min_words)).select(*_PLACE, word_keys(F.col("line"), levels).alias("keys"))
     n = F.size("keys")
-    rows = keyed.select(F.xxhash64("keys").alias("id"), F.hash("keys", F.lit(1)).alias("id2"), F.struct(*_PLACE).alias("place"),
+    rows = keyed.select(F.xxhash64("keys").alias("set"), F.hash("keys", F.lit(1)).alias("set2"), F.struct(*_PLACE).alias("place"),
                         n.alias("n"), parity("keys").alias("parity"), F.when(n > WIDE, parity("keys", True)).alias("half"),
-                        F.array(*[_least_key("keys", k) for k in range(KEYS)]).alias("marks"),
+                        F.array(*[_least_key("keys", k) for k in range(3)]).alias("marks"),
                         F.slice("keys", F.lit(1), n - _ceil(n, threshold) + 1).alias("prefix"))
-    first = rows.groupBy("id", "id2").agg(F.min(F.struct("place", "n", "parity", "half", "marks", "prefix")).alias("m"))
-    return materialize(first.select("id", "m.place.*", "m.n", "m.parity", "m.half", "m.marks", "m.prefix"), "lines-first")
+    first = rows.groupBy("set", "set2").agg(F.min(F.struct("place", "n", "parity", "half", "marks", "prefix")).alias("m"))
+    return materialize(first.select(F.monotonically_increasing_id().alias("id"), "m.place.*", "m.n", "m.parity", "m.half", "m.marks", "m.prefix"), "lines-first")
 
 
 def _apart(a: str, b: str, an: Column, bn: Column, threshold: Fraction) -> Column:
@@ -162,16 +162,18 @@ def _least_key(words: str, number: int) -> Column:
 def settle_large_groups(docs: DataFrame, reps: DataFrame, levels: list[int], threshold: Fraction, large: int = LARGE) -> DataFrame | None:
     """Places of lines that share a key with ``large`` open lines or more and match the earliest of these; None if there are none.
 
-    Lines meet by their marks. Later rounds look at the lines that are open after
-    the one before, also by the least word of their prefix under another hash.
+    Lines meet by any two of their three marks. Later rounds look at the lines
+    that are open after the one before, by marks of their prefixes under other hashes too.
     """
     settled, turn = None, 0
     while True:
         own = reps
         if settled is not None:
             own = own.join(settled, _same_place(own, settled), "left_anti")
-        least = F.concat("marks", F.array(_least_key("prefix", KEYS + turn))) if turn else F.col("marks")
-        keyed = own.select("id", *_PLACE, "n", "parity", "half", F.explode(least).alias("key"))
+        keyed = own.select("id", *_PLACE, "n", "parity", "half", F.explode(_pairs_of("marks")).alias("key"))
+        if turn:
+            more = own.select("id", *_PLACE, "n", "parity", "half", F.array(*[_least_key("prefix", 3 * turn + k) for k in range(3)]).alias("own"))
+            keyed = keyed.unionByName(more.select("id", *_PLACE, "n", "parity", "half", F.explode(_pairs_of("own")).alias("key")))
         hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= large).select("key"), "lines-hot")
         many = hot.count()
         if not many:
@@ -182,6 +184,7 @@ def settle_large_groups(docs: DataFrame, reps: DataFrame, levels: list[int], thr
         met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id"))
                      & _apart("a", "b", F.col("a.n"), F.col("b.n"), threshold))
         pairs = materialize(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "lines-met")
+        discard(hot, shared)
         gone = later_places(similar_pairs(docs, reps, pairs, levels, threshold))
         found, turn = gone.count(), turn + 1
         if found:
@@ -190,6 +193,12 @@ def settle_large_groups(docs: DataFrame, reps: DataFrame, levels: list[int], thr
             return settled
 
 
+def _pairs_of(marks: str) -> Column:
+    """A key for each two of three marks."""
+    m = [F.get(marks, F.lit(k)) for k in range(3)]
+    return F.array(*[F.xxhash64(F.lit(j), m[j], m[(j + 1) % 3]) for j in range(3)])
+
+
 def candidate_pairs(reps: DataFrame, threshold: Fraction, settled: DataFrame | None = None) -> DataFrame:
     """Pairs of ids that share a word of their prefixes and pass the length, positional
     and parity filters, all inside the join, but for pairs of settled lines; a table of its own.
@@ -204,15 +213,20 @@ def candidate_pairs(reps: DataFrame, threshold: Fraction, settled: DataFrame | N
         reps = reps.join(known, _same_place(reps, known), "left").select(reps["*"], "done")
         open_ = F.col("done").isNull()
     rows = reps.select("id", "n", "parity", "half", open_.alias("open"), F.posexplode("prefix").alias("pos", "key"))
-    rows = rows.withColumn("word", F.shiftright("key", 16)).drop("key")  # enough of it to meet; pairs are verified by whole words
+    rows = rows.withColumn("word", F.shiftright("key", 16))  # enough of it to meet; pairs are verified by whole words
     shorter = F.col("n") - _ceil(F.col("n"), 2 * threshold / (1 + threshold)) + 1
-    a, b = rows.filter(~F.col("open") | (F.col("pos") < shorter)).alias("a"), rows.filter("open").drop("open").alias("b")
-    an, bn = F.col("a.n"), F.col("b.n")
-    once = ~F.col("a.open") | (an < bn) | ((an == bn) & (F.col("a.id") < F.col("b.id")))
+    left, right = rows.filter(~F.col("open") | (F.col("pos") < shorter)), rows.filter("open")
+    size = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("size")  # both in one field: these rows are the bulk of what moves
+    a = left.select("word", F.when(F.col("open"), F.col("id")).otherwise(-1 - F.col("id")).alias("id"), size, "parity", "half").alias("a")
+    b = right.select("word", "id", size, "parity", "half").alias("b")
+    an, bn = (F.shiftright(f"{x}.size", 32).cast("int") for x in ("a", "b"))
+    ap, bp = (F.col(f"{x}.size").cast("long").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for x in ("a", "b"))
+    once = (F.col("a.id") < 0) | (an < bn) | ((an == bn) & (F.col("a.id") < F.col("b.id")))
     needed = _ceil(an + bn, threshold / (1 + threshold))
-    joined = a.join(b, (F.col("a.word") == F.col("b.word")) & once & (F.least(an - F.col("a.pos"), bn - F.col("b.pos")) >= needed)
+    joined = a.join(b, (F.col("a.word") == F.col("b.word")) & once & (F.least(an - ap, bn - bp) >= needed)
                     & _apart("a", "b", an, bn, threshold))
-    return materialize(joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "lines-pairs")
+    known = F.when(F.col("a.id") < 0, -1 - F.col("a.id")).otherwise(F.col("a.id"))
+    return materialize(joined.select(known.alias("a"), F.col("b.id").alias("b")).distinct(), "lines-pairs")
 
 
 def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, levels: list[int], threshold: Fraction) -> DataFrame:
@@ -225,13 +239,16 @@ def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, levels: li
     found = docs.select("doc_id", "text").alias("t").join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).filter(tag_of("text") == F.col("w.tag"))
     found = found.select("t.doc_id", "w.tag", F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
     found = found.select("w.id", F.struct("doc_id", "tag", "w.line_no").alias("place"), F.get("lines", F.col("w.line_no")).alias("line"))
-    sets = materialize(found.select("id", "place", word_keys(F.col("line"), levels).alias("keys")), "lines-sets").dropDuplicates(["place"])
+    keyed = materialize(found.select("id", "place", word_keys(F.col("line"), levels).alias("keys")), "lines-sets")
+    sets = keyed.dropDuplicates(["place"])
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("keys").alias("ka")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("keys").alias("kb")), "b")
     common = F.size(F.array_intersect("ka", "kb"))
     union = F.size("ka") + F.size("kb") - common
     alike = both.filter(common * threshold.denominator >= union * threshold.numerator)
-    return materialize(alike.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "lines-similar")
+    out = materialize(alike.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "lines-similar")
+    discard(pairs, wanted, keyed)
+    return out
 
 
 def later_places(similar: DataFrame) -> DataFrame:

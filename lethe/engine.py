@@ -7,6 +7,7 @@ streams; ``run`` does both and verifies.
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Mapping as MappingType
 from dataclasses import dataclass, field
@@ -90,7 +91,7 @@ def learn(files: DataFrame, config: Config | None = None, known: Mapping | None
     config, known, seeds = config or Config(), known or Mapping(), seeds or {}
     if from_text is None:
         from_text = files.filter(basename(F.col("path")) == "basic-environment.txt").isEmpty()
-    out = Mapping({k: dict(v) for k, v in known.names.items()}, known.subnets, dict(known.tld_map))
+    out = Mapping({k: dict(v) for k, v in known.names.items()}, copy.deepcopy(known.subnets), dict(known.tld_map))
     out.subnets.pools, out.subnets.infer = config.pools, config.default_infer_prefixlen
     parts = discover.sections(files)
     if config.obfuscate_private_ip or config.obfuscate_public_ip:
@@ -108,8 +109,7 @@ def learn(files: DataFrame, config: Config | None = None, known: Mapping | None
             extra = files.sparkSession.createDataFrame([(d.lower().strip("."),) for d in given], "d string").select(F.explode(domains.parents(F.col("d"))).alias("real"))
             seen = discover.first_seen(found.unionByName(extra.select(F.lit("").alias("path"), F.lit(0).alias("pos"), "real")), "real").drop("n")
         old = out.category("domain")
-        fresh = _collected(domains.hierarchy(seen), "domains")
-        out.names["domain"] = old | _renumbered(fresh, old)
+        out.names["domain"] = old | _collected(domains.hierarchy(seen, old, out.tld_map), "domains")
     if config.obfuscate_hostname:
         found = names.hosts_from_text(files) if from_text else names.hosts_from_sections(parts.filter(basename(F.col("path")).contains("network.txt")))
         found = found.filter(~F.lower("real").isin(*config.preserve)) if config.preserve else found
@@ -129,13 +129,6 @@ def learn(files: DataFrame, config: Config | None = None, known: Mapping | None
     return out
 
 
-def _renumbered(fresh: dict[str, str], old: dict[str, str]) -> dict[str, str]:
-    """``fresh`` fakes of domains without those of ``old``, their numbers after the old ones."""
-    taken = [int(m) for v in old.values() for m in re.findall(r"(?:domain|sub)_(\d+)", v)]
-    shift = max(taken, default=-1) + 1
-    return {k: re.sub(r"(domain|sub)_(\d+)", lambda m: f"{m[1]}_{int(m[2]) + shift}", v) for k, v in fresh.items() if k not in old}
-
-
 def rewritten(text: Column, path: Column, mapping: Mapping, config: Config | None = None) -> list[tuple[str, Column]]:
     """The chain: (step, its expression over a column ``text``), in order. Steps that the configuration closes are absent."""
     config = config or Config()

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .text import splice
 
 CANDIDATE = r"(?<![A-Za-z0-9:_-])([0-9A-Fa-f:.]*(?:[0-9A-Fa-f]|::))(?:/(\d{1,3}))?(?![A-Za-z0-9_-])(?!:[0-9A-Fa-f])"
+#: What every address holds: two colons side by side, or groups with six colons.
+MAY_HOLD = r"::|(?:[0-9A-Fa-f]{1,4}:){6}"
 TAGGED = r"(\[AF_INET6\])([0-9A-Fa-f:]+):(\d{1,5})\b"
 # Scopes and pools of fakes.
 POOL_WIDE, POOL_NARROW = ipaddress.IPv6Network("fd00::/8"), ipaddress.IPv6Network("2001:db8::/32")
@@ -77,7 +79,8 @@ def rewrite(text: Column, private: bool = False) -> Column:
         return run
 
     tagged, plain = by(replace_tagged), by(replace)
-    safe = F.coalesce(text, F.lit(""))
+    may = text.rlike(MAY_HOLD)
+    safe = F.when(may, text).otherwise(F.lit(""))  # the full patterns, and Python, see only texts that may hold an address
     first = splice(safe, TAGGED, tagged)
     # A tagged fake and its port must not be read as one address again: they end in the pool and stay.
-    return F.when(text.isNotNull(), splice(first, rf"(?<!\[AF_INET6\]){CANDIDATE}", plain))
+    return F.when(may, splice(first, rf"(?<!\[AF_INET6\]){CANDIDATE}", plain)).otherwise(text)

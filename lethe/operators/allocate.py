@@ -69,9 +69,17 @@ class SubnetMap:
                 return self.nets[key]
         return None
 
-    def fake(self, address: int, pool: str) -> int:
+    def full(self, pool: str) -> bool:
+        """Whether no block of a pool is left."""
+        return len(self.used.get(pool, ())) >= 1 << max(0, SLOT - ipaddress.IPv4Network(self.pools[pool]).prefixlen)
+
+    def lengths(self) -> list[int]:
+        """The prefix lengths of the real networks, longest first."""
+        return sorted({p for _, p in self.nets}, reverse=True)
+
+    def fake(self, address: int, pool: str, lengths: list[int] | None = None) -> int:
         """The fake of an address: the longest known network, offset kept; else its pool's hash block."""
-        for p in sorted({p for _, p in self.nets}, reverse=True):
+        for p in self.lengths() if lengths is None else lengths:
             real = address >> (32 - p) << (32 - p)
             if (real, p) in self.nets:
                 space = ipaddress.IPv4Network(self.pools[pool])
@@ -93,28 +101,34 @@ class SubnetMap:
 def allocate_subnets(found: DataFrame, private: bool = True, public: bool = True, known: SubnetMap | None = None) -> SubnetMap:
     """Networks of ipv4_candidates(): written ones by first sight, then the /24s of addresses outside them.
 
-    The fold runs on the driver over at most as many networks as all pools have
-    blocks; what comes after finds its pool full anyway and takes a hash block.
+    The fold runs on the driver, network by network. Every pool is folded on its
+    own, and only until no block of the smallest size is left in it: whatever
+    comes after would find it full, and takes a hash block.
     """
     out = known or SubnetMap()
-    most = sum(1 << max(0, SLOT - ipaddress.IPv4Network(p).prefixlen) for p in out.pools.values())
-    order = ["first_path", "first_pos", "real_net", "prefixlen"]
-    for r in networks(found, private).orderBy(*order).limit(most).collect():
-        out.allocate(r.real_net, r.prefixlen, r.category)
+    _fold(out, networks(found, private).withColumn("plen", F.col("prefixlen")), ["first_path", "first_pos", "real_net", "prefixlen"])
     rest = found.filter(~ipv4.kept(F.col("address"), F.col("real"), private, public) & (F.coalesce("prefixlen", F.lit(1)) != 0))
-    for real, p in [*out.nets]:
-        lo, hi = real, real + (1 << (32 - p)) - 1
-        if len(out.nets) <= 256:  # beyond that, known networks are sorted out below
-            rest = rest.filter(~F.col("address").between(lo, hi))
+    if out.nets:
+        spark = found.sparkSession
+        nets = spark.createDataFrame([(p, n, 0) for n, p in out.nets], "prefixlen int, real_net long, fake_net long")
+        inside = longest_prefix(rest.select("address").distinct(), nets, sorted({p for _, p in out.nets})).filter(F.col("prefixlen").isNotNull())
+        rest = rest.join(inside.select("address"), "address", "left_anti")
     bits = 32 - out.infer
     inferred = first_seen(rest.withColumn("real_net", F.shiftleft(F.shiftright("address", bits), bits)), "real_net")
-    known_nets = dict(out.nets)
-    for r in inferred.withColumn("category", ipv4.category(F.col("real_net"))).orderBy("first_path", "first_pos", "real_net").limit(most).collect():
-        if not any((r.real_net >> (32 - p) << (32 - p), p) in known_nets for p in {p for _, p in known_nets} if p <= out.infer):
-            out.allocate(r.real_net, out.infer, r.category)
+    _fold(out, inferred.withColumn("category", ipv4.category(F.col("real_net"))).withColumn("plen", F.lit(out.infer)), ["first_path", "first_pos", "real_net"])
     return out
 
 
+def _fold(out: SubnetMap, nets: DataFrame, order: list[str]) -> None:
+    """Allocate ``nets`` (real_net, plen, category) in order, pool by pool."""
+    nets = materialize(nets, "subnets-first")
+    for pool in out.pools:
+        for r in nets.filter(F.col("category") == pool).orderBy(*order).select("real_net", "plen").toLocalIterator():
+            if out.full(pool):
+                break
+            out.allocate(r.real_net, r.plen, pool)
+
+
 def subnet_table(found: DataFrame) -> DataFrame:
     """The closed form for addresses without written networks: real_net, category, fake_net, for each inferred /24."""
     rows = found.filter(~ipv4.kept(F.col("address"), F.col("real")))

@@ -6,7 +6,7 @@ values are ordered by (path, pos), which makes first sight a total order.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as E
 from ..functions import ipv4
+from ..sources.tables import materialize
 
 
 def candidates(files: DataFrame, entity: E.Entity) -> DataFrame:
@@ -32,16 +33,16 @@ def first_seen(found: DataFrame, *keys: str) -> DataFrame:
         *keys, F.col("first.path").alias("first_path"), F.col("first.pos").alias("first_pos"), "n")
 
 
-def numbered(seen: DataFrame, start: int = 1) -> DataFrame:
-    """``seen`` and ``number``, its rank by first sight from ``start``.
+def numbered(seen: DataFrame, start: int = 1, order: Sequence[str] = ("first_path", "first_pos", "real")) -> DataFrame:
+    """``seen`` and ``number``, its rank by ``order`` (first sight) from ``start``.
 
     The rank is two-level: rows are range-sorted by first sight, ranked within
     their partition's span, and shifted by the counts of the spans before, so
     that no single task sees all values.
     """
-    order = [F.col("first_path"), F.col("first_pos"), F.col("real")]
     spread = seen.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     spread = spread.sortWithinPartitions(*order).withColumn("step", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
+    spread = materialize(spread, "numbered")  # its partitions are read twice, and must be the same
     counts = spread.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
     before = counts.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return spread.join(F.broadcast(before.select("part", "before")), "part").withColumn(

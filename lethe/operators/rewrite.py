@@ -103,6 +103,7 @@ def addresses(text: Column, subnets: SubnetMap, private: bool = True, public: bo
     stays = [ipaddress.IPv4Network(n) for n in ("0.0.0.0/8", "127.0.0.0/8", "224.0.0.0/4", *subnets.pools.values())]
     masks = {*ipv4.NETMASKS, "255.255.255.255"}
     private_nets = {k: ipaddress.IPv4Network(v) for k, v in ipv4.PRIVATE.items()}
+    lengths = subnets.lengths()
 
     def one(hit: str) -> str:
         head, slash, prefix = hit.partition("/")
@@ -110,13 +111,14 @@ def addresses(text: Column, subnets: SubnetMap, private: bool = True, public: bo
         pool = next((k for k, n in private_nets.items() if ip in n), "public")
         if head in masks or any(ip in n for n in stays) or (slash and int(prefix) == 0) or not (public if pool == "public" else private):
             return hit
-        return f"{ipaddress.IPv4Address(subnets.fake(int(ip), pool))}{slash}{prefix}"
+        return f"{ipaddress.IPv4Address(subnets.fake(int(ip), pool, lengths))}{slash}{prefix}"
 
     @F.pandas_udf("array<string>")
     def run(hits: pd.Series) -> pd.Series:
         return hits.map(lambda x: [one(t) for t in x])
 
-    return F.when(text.isNotNull(), splice(F.coalesce(text, F.lit("")), ipv4.TOKEN, run))
+    safe = F.when(text.rlike(ipv4.ADDRESS), text).otherwise(F.lit(""))  # the full pattern, and Python, see only texts with an address in them
+    return F.when(text.rlike(ipv4.ADDRESS), splice(safe, ipv4.TOKEN, run)).otherwise(text)
 
 
 def by_mapping(files: DataFrame, entity: E.Entity, mapping: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:

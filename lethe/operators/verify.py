@@ -63,7 +63,7 @@ def _each(lines: DataFrame, pattern: str, gate: Column, category: str, group: in
 
 def unlisted_addresses(lines: DataFrame, private: bool = True) -> DataFrame:
     """Addresses outside the safe networks. private: private ones are rewritten, so they are leaks too."""
-    found = _each(lines, ADDRESS, F.col("text").contains("."), "unlisted IPv4")
+    found = _each(lines, ADDRESS, F.col("text").rlike(ipv4.ADDRESS), "unlisted IPv4")
     safe = (*ipv4.SAFE, *ipv4.POOLS.values(), *(() if private else ipv4.PRIVATE.values()))
     return found.filter(~ipv4.within(ipv4.number(F.col("value")), *safe))
 

@@ -23,8 +23,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
-def fixture(spark: SparkSession, _: str = "") -> DataFrame:
-    return spark.createDataFrame(list(fixtures.ROWS), "path string, text string")
+def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and rows with what they don't contain."""
+    return documents(spark, sf_dir).unionByName(spark.createDataFrame(list(fixtures.ROWS), "path string, text string"))
 
 
 def _found(df: DataFrame) -> DataFrame:
@@ -122,15 +123,15 @@ def hostname_scrub(s, d):
 
 
 def mac_scrub(s, d):
-    files = fixture(s)
+    files = fixture(s, d)
     return files.select("path", F.when(sources.basename(F.col("path")).isin(*E.MAC_SKIP_FILES), F.col("text")).otherwise(E.MAC_ENTITY.apply(F.col("text"))).alias("text"))
 
 
 def cloud_scrub(s, d):
-    out = fixture(s)
+    out = fixture(s, d)
     for e in E.CLOUD_ENTITIES:
         out = out.withColumn("text", e.apply(F.col("text")))
-    return out.filter("path = 'b/cloud.txt'")
+    return out
 
 
 def full_chain_scrub(s, d):
@@ -139,7 +140,7 @@ def full_chain_scrub(s, d):
 
 
 def full_chain_fixture(s, d):
-    files = fixture(s)
+    files = fixture(s, d)
     return apply(files, learn(files, FULL, from_text=True), FULL)
 
 
@@ -152,7 +153,7 @@ def verify_emails(s, d):
 
 
 def verify_secrets(s, d):
-    return verify.secrets(verify.lines_of(fixture(s))).select("file", F.col("line").cast("long").alias("line"), "category")
+    return verify.secrets(verify.lines_of(fixture(s, d))).select("file", F.col("line").cast("long").alias("line"), "category")
 
 
 def verify_mapping_leaks(s, d):
@@ -192,7 +193,7 @@ def tcprewrite_rules(s, d):
 
 
 def naming_contract(s, d):
-    return fixture(s).select("path", output_path(F.col("path")).alias("output"))
+    return fixture(s, d).select("path", output_path(F.col("path")).alias("output"))
 
 
 def audit_sha256(s, d):
@@ -200,8 +201,7 @@ def audit_sha256(s, d):
 
 
 def sections_query(s, d):
-    lines = "# /etc/hosts\n10.0.0.1 web01.lab.local web01\n# /bin/true\n#==[ x ]==\nnothing\n# /etc/resolv.conf\nsearch lab.local"
-    return discover.sections(s.createDataFrame([("n/network.txt", lines)], "path string, text string")).withColumn("line_no", F.col("line_no").cast("long"))
+    return discover.sections(fixture(s, d)).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 QUERIES = {
@@ -216,10 +216,10 @@ QUERIES = {
     "ipv4_scrub": ipv4_scrub, "ipv4_lpm_join": ipv4_lpm_join,
     "domain_extract": domain_extract, "domain_extract_pages": domain_extract_pages, "domain_hierarchy": domain_hierarchy,
     "keyword_scrub": keyword_scrub, "hostname_scrub": hostname_scrub,
-    "username_log_patterns": lambda s, d: _found(names.users_from_text(fixture(s))),
-    "host_count_having": lambda s, d: _found(names.hosts_from_text(fixture(s))),
-    "serial_discover": lambda s, d: _found(names.serials_in(fixture(s))),
-    "sid_discover": lambda s, d: names.system_ids_in(fixture(s)).select("path", "real").distinct(),
+    "username_log_patterns": lambda s, d: _found(names.users_from_text(fixture(s, d))),
+    "host_count_having": lambda s, d: _found(names.hosts_from_text(fixture(s, d))),
+    "serial_discover": lambda s, d: _found(names.serials_in(fixture(s, d))),
+    "sid_discover": lambda s, d: names.system_ids_in(fixture(s, d)).select("path", "real").distinct(),
     "ldap_discover": _discover(E.LDAP_ENTITY, fixture),
     "ldap_scrub": _scrub(lambda t, _: E.apply_ldap(t), fixture),
     "mac_scrub": mac_scrub,
@@ -237,7 +237,7 @@ QUERIES = {
 # --- the same in DuckDB, whose patterns have no look-around: boundaries are consumed and doubled where they may be shared ---
 
 _DOCS = "docs AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, text FROM documents)"
-_FIX = f"docs AS (SELECT * FROM {fixtures.sql_rows()})"
+_FIX = f"docs AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, text FROM documents UNION ALL SELECT * FROM {fixtures.sql_rows()})"
 _MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 _MAIL_ALL = rf"(?:^|[^A-Za-z0-9._%+-])({_MAIL})(?:$|[^A-Za-z0-9._%+-])"
 _KEEP_MAIL = ("(lower(split_part(real, '@', 2)) IN (" + ", ".join(f"'{x}'" for x in (*E.SAFE_EMAIL_DOMAINS, "scrubbed.local")) + ") OR "
@@ -282,12 +282,15 @@ _OWN_TOKEN = "contains(real, 'SCRUBBED_')"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 
 
+_TOP_TEST = ("split_part(d, '.', -1) IN (" + ", ".join(f"'{x}'" for x in (*domains.GENERIC, *domains.COUNTRIES)) + ") AND NOT regexp_full_match(d, '[0-9]{1,3}(\\.[0-9]{1,3}){3}')")
+
+
 def _domain_sql(docs: str) -> str:
-    tops = ", ".join(f"'{x}'" for x in domains.GENERIC)
+    tops = ", ".join(f"'{x}'" for x in (*domains.GENERIC, *domains.COUNTRIES))
     return f"""WITH {docs},
 raw AS (SELECT path, unnest(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9.-])', '\\1\\1', 'g'),
                                                '(?:^|[^A-Za-z0-9-])({_LABEL}(?:\\.{_LABEL})+)(?:$|[^A-Za-z0-9-])', 1)) AS d FROM docs),
-ok AS (SELECT path, lower(d) AS d FROM raw WHERE (split_part(lower(d), '.', -1) IN ({tops}) OR regexp_full_match(lower(d), '.*\\.[a-z]{{2}}'))),
+ok AS (SELECT path, lower(d) AS d FROM raw WHERE split_part(lower(d), '.', -1) IN ({tops}) AND NOT regexp_full_match(d, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}')),
 each AS (SELECT path, unnest(list_transform(range(1, len(string_split(d, '.'))), lambda i: array_to_string(string_split(d, '.')[i:], '.'))) AS real FROM ok)"""
 
 
@@ -299,6 +302,40 @@ def _line_hits(pattern: str) -> str:
     return f"found AS (SELECT file, line, unnest(regexp_extract_all(text, '{pattern}', 1)) AS real FROM lines)"
 
 
+
+
+def _chain(steps: list[tuple[str, str]]) -> str:
+    """Rewrites one after the other: (pattern of _marked, replacement of x)."""
+    ctes = ", ".join(f"s{k + 1} AS (SELECT path, " + _marked(p, r) + f" AS text FROM s{k})" for k, (p, r) in enumerate(steps))
+    return f"WITH {_FIX}, s0 AS (SELECT path, text FROM docs), {ctes} SELECT path, text FROM s{len(steps)}"
+
+
+def _cloud_steps() -> list[tuple[str, str]]:
+    out = []
+    for e in E.CLOUD_ENTITIES:
+        kind = {"jwt": "JWT", "identity": "IDENTITY", "aws_key": "AWSKEY", "aws_temporary_key": "AWSKEY", "aws_secret": "AWSSECRET", "azure_key": "AZUREKEY",
+                "azure_sas": "AZURESAS", "gcp_key": "GCPKEY", "bearer": "BEARER", "ssh_comment": "SSHCOMMENT"}[e.name]
+        new = f"'SCRUBBED_{kind}_' || left(sha256(x), 12)"
+        if e.name == "gcp_key":
+            pattern = e.pattern.replace('(?=")', '(")')
+        else:
+            pattern = (e.pattern.replace("(?!SCRUBBED_)", "") if e.groups == 2 else "()" + e.pattern) + "()"
+        keep = {"bearer": "contains(x, 'SCRUBBED_')", "ssh_comment": "starts_with(x, 'SCRUBBED_')"}.get(e.name, "false")
+        out.append((pattern, f"CASE WHEN {keep} THEN x ELSE {new} END"))
+    return out
+
+
+_SQL_LIST = lambda xs: ", ".join("'" + x + "'" for x in xs)
+
+
+def _keep_name(x: str) -> str:
+    own = E.OWN_FAKE_NAME.replace("(?i)", "")
+    return (f"(regexp_replace(lower({x}), '\\$$', '') IN ({_SQL_LIST(E.DIRECTORY_TERMS)}) OR lower({x}) IN ({_SQL_LIST((*E.CLOUD_REGIONS, 'rid manager$'))})"
+            f" OR regexp_matches({x}, '(?i){own}'))")
+
+
+_SECRET_TESTS = ", ".join("CASE WHEN regexp_matches(t, '" + p.replace("'", "''").replace(r"(?!\*REMOVED)", "").replace("(?!scrubbed_pass_)", "") + f"') THEN '{n}' END"
+                          for p, n in verify.SECRETS)
 _VERSIONED = r"(?i)(?:^|[^A-Za-z0-9]|_)(?:ver|version|rev|build|release)[\s:=]*$"
 _TYPED = f"""WITH {_DOCS}, {_hits(_MAIL_ALL, 1, _KEEP_MAIL, 'mails')}, {_hits(_BEARER, 2, "contains(real, 'SCRUBBED_')", 'tokens')}, {_IP_HITS},
 typed AS (SELECT 'email' AS category, * FROM mails UNION ALL SELECT 'cloud_token', * FROM tokens UNION ALL SELECT 'ip', * FROM hits)"""
@@ -324,6 +361,34 @@ SELECT path, """ + _marked(rf"(^|[^A-Za-z0-9.\-])({_IP})($|[^A-Za-z0-9.\-+])", "
 SELECT real, coalesce(max((p, a || '/' || p))[2], '') AS net FROM (SELECT DISTINCT real, n FROM ips) LEFT JOIN nums ON n BETWEEN b AND b + (1::BIGINT << (32 - p)) - 1 GROUP BY real""",
     "domain_extract": _domain_sql(_DOCS) + " SELECT real, count(*)::BIGINT AS n, min(path) AS first_path FROM each GROUP BY real",
     "domain_extract_pages": _domain_sql("docs AS (SELECT page_id::VARCHAR AS path, url AS text FROM pages)") + " SELECT real, count(*)::BIGINT AS n FROM each GROUP BY real",
+    "domain_hierarchy": _domain_sql(_DOCS).replace("WITH ", "WITH RECURSIVE ", 1).split("raw AS")[0] + f"""
+raw AS (SELECT path, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9.-])', '\\1\\1', 'g'),
+          '(?:^|[^A-Za-z0-9-])({_LABEL}(?:\\.{_LABEL})+)(?:$|[^A-Za-z0-9-])', 1), lambda d: lower(d)), lambda d: {_TOP_TEST}) AS ds FROM docs),
+ups AS (SELECT path, flatten(list_transform(ds, lambda d: list_transform(range(1, len(string_split(d, '.'))), lambda i: array_to_string(string_split(d, '.')[i:], '.')))) AS ds FROM raw),
+each AS (SELECT path, unnest(range(len(ds))) AS pos, unnest(ds) AS real FROM ups),
+seen AS (SELECT real, len(string_split(real, '.')) AS labels, min((path, pos)) AS first FROM each GROUP BY real),
+d AS (SELECT *, regexp_replace(real, '^[^.]*\\.', '') AS parent, split_part(real, '.', -1) AS tld FROM seen),
+tops AS (SELECT *, row_number() OVER (ORDER BY labels, first, real) - 1 AS n FROM d WHERE parent NOT IN (SELECT real FROM d)),
+tlds AS (SELECT tld, row_number() OVER (ORDER BY min((labels, first, real))) - 1 AS t FROM tops GROUP BY tld),
+subs AS (SELECT *, row_number() OVER (ORDER BY labels, first, real) - 1 AS n FROM d WHERE parent IN (SELECT real FROM d)),
+out AS (SELECT real, 'domain_' || n || '.' || chr((97 + t // 676)::INT) || chr((97 + t // 26 % 26)::INT) || chr((97 + t % 26)::INT) AS fake FROM tops JOIN tlds USING (tld)
+        UNION ALL SELECT subs.real, 'sub_' || n || '.' || out.fake FROM subs JOIN out ON subs.parent = out.real)
+SELECT real, fake FROM out""",
+    "hostname_scrub": """WITH parts AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_transform(t, lambda x: CASE WHEN regexp_full_match(lower(x), '(.*[0-9])?(license|that|the)')
+  THEN regexp_extract(x, '^(.*[0-9])?') || map {'license': 'hostname_0', 'the': 'hostname_1', 'that': 'hostname_2'}[regexp_extract(lower(x), '[a-z]+$')] ELSE x END), '') END AS text FROM parts""",
+    "sid_discover": f"WITH {_FIX}, " + "each AS (" + " UNION ".join(f"SELECT path, unnest(regexp_extract_all(text, '{p.replace('(?![A-Za-z0-9])', '(?:$|[^A-Za-z0-9])')}', 1)) AS real FROM docs" for p in names.ID_CONTEXTS)
+        + f") SELECT DISTINCT path, real FROM each WHERE real NOT IN ({_SQL_LIST(names.RESERVED_IDS)})",
+    "ldap_discover": f"""WITH {_FIX}, hits AS (SELECT path, unnest(range(len(h))) AS i, lower(unnest(h)) AS real FROM (SELECT path, regexp_extract_all(text, '(?i)\\b(?:CN|OU)=([^,\\s]+)', 1) AS h FROM docs))
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY i) - 1)::BIGINT AS pos, real FROM hits WHERE NOT {_keep_name('real')}""",
+    "ldap_scrub": f"WITH {_FIX} SELECT path, " + _marked(r"(?i)()(\b(?:CN|OU)=[^,\s]+)()".replace("\\\\", "\\"), f"CASE WHEN {_keep_name('x[4:]')} THEN x ELSE x[1:3] || lower(x[1:2]) || '_' || left(sha256(lower(x[4:])), 12) END") + " AS text FROM docs",
+    "cloud_scrub": _chain(_cloud_steps()),
+    "sections": f"""WITH {_FIX}, lines AS (SELECT path, unnest(range(len(s))) AS line_no, unnest(s) AS line FROM (SELECT path, string_split(text, chr(10)) AS s FROM docs)),
+marked AS (SELECT *, trim(line, ' ') LIKE '#%' AS head FROM lines),
+below AS (SELECT *, last_value(CASE WHEN head THEN trim(line, ' ') END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) AS header FROM marked)
+SELECT path, header, line_no::BIGINT AS line_no, line FROM below WHERE NOT head AND regexp_matches(header, '^# ?/')""",
+    "verify_secrets": f"""WITH {_lines(_FIX)}, t AS (SELECT file, line, regexp_replace(text, '(?i)scrubbed_pass_', 'x_', 'g') AS t FROM lines WHERE NOT contains(text, 'SCRUBBED_'))
+SELECT file, line, unnest(list_filter([{_SECRET_TESTS}], lambda x: x IS NOT NULL)) AS category FROM t""",
     "keyword_scrub": f"WITH {_DOCS} SELECT path, " + _marked(r"(?i)()(public license|license|rights)()", "map {'license': 'keyword_1', 'rights': 'keyword_2', 'public license': 'keyword_3'}[lower(x)]") + " AS text FROM docs",
     "username_log_patterns": f"""WITH {_FIX}, lines AS (SELECT path, unnest(range(len(s)))::BIGINT AS pos, unnest(s) AS line FROM (SELECT path, string_split(text, chr(10)) AS s FROM docs)),
 each AS (SELECT path, pos, unnest([{', '.join("regexp_extract(line, '" + p + "', 1)" for p in names.LOG_PATTERNS)}]) AS real FROM lines)

@@ -1,4 +1,4 @@
-"""Small inline inputs for what the driver's tables don't contain: files(path, text)."""
+"""Inline rows that queries read besides the documents, for what these don't contain: files(path, text)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ ROWS = (
                        "2024-05-01T10:00:03+00:00 other99 cron: user=root\nnfs: server files7.lab not responding"),
     ("a/hardware.txt", "  Serial Number: VMW-56-4D-AA\n  Serial Number: -\n  UUID: 4c4c4544-0042-3510-8051-b7c04f563432\n  Asset Tag: Not Specified\n  Part Number: ABC123XYZ"),
     ("a/sap.txt", "/usr/sap/QX1/SYS rsc_SAPStartSrv_PW2_ASCS00 SAPSYSTEMNAME = ZK3\nsapstart SAPDEV_ /sapmnt/QX1/profile QX1_D00 qx1adm"),
+    ("n/network.txt", "# /etc/hosts\n10.0.0.1 web01.lab.local web01\n# /bin/true\n#==[ x ]==\nnothing\n# /etc/resolv.conf\nsearch lab.local"),
     ("b/ldap.conf", "base CN=John,OU=Sales,DC=corp,DC=local\nbind cn=users,ou=Hamburg,dc=corp CN=cn_12 OU=west-europe"),
     ("b/modules.txt", "link/ether 52:54:00:aa:bb:cc brd ff:ff:ff:ff:ff:ff"),
     ("b/network.txt", "link/ether 52:54:00:aa:bb:cc brd ff:ff:ff:ff:ff:ff\nlink/ether 52-54-00-AA-BB-CC 00:00:00:00:00:00 x52:54:00:aa:bb:cc:dd"),

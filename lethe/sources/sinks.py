@@ -120,10 +120,10 @@ def save_json(record: dict, path: str) -> str:
 
 
 def report(counts: DataFrame, findings: DataFrame | None, stamp: str) -> dict:
-    """Counts by category, and findings where there are any."""
+    """Counts by category, and all findings where there are any; they pass one partition at a time."""
     out = {"tool": "lethe", "timestamp": stamp, "counts": {r.category or "total": r.n for r in counts.collect()}}
-    if findings is not None and (rows := findings.orderBy("file", "line", "category", "value").limit(10_000).collect()):
-        out["verify"] = [r.asDict() for r in rows]
+    if findings is not None and (rows := [r.asDict() for r in findings.orderBy("file", "line", "category", "value").toLocalIterator()]):
+        out["verify"] = rows
     return out
 
 

@@ -2,8 +2,9 @@
 
 Candidates are found per document as spans; the hash of each candidate's value
 is counted over the distinct owners and repositories that hold it.  A value
-that many owners hold is a copied example; a value of few owners that doesn't
-look like a placeholder is live.  Candidates of the wider patterns are reported
+that many owners or many repositories hold is a copied example; a value of few
+that doesn't look like a placeholder is live.  In the documents table, the source
+stands for the owner and a document for the repository.  Candidates of the wider patterns are reported
 only if they are live.
 
 Scale: one pass over the texts yields a narrow table of candidates, cut into the
@@ -24,13 +25,13 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 WIDER = (r"(?:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}"
-         r"|AIza[A-Za-z0-9_-]{30,}|sk_live_[A-Za-z0-9]{16,}|-----BEGIN[A-Z ]*PRIVATE KEY-----|[Bb]earer +[A-Za-z0-9._~+/-]{20,})")
+         r"|AIza[A-Za-z0-9_-]{30,}|sk_live_[A-Za-z0-9]{16,}|-----BEGIN[A-Z ]*PRIVATE KEY-----(?:[\x20\x09-\x0D]+[A-Za-z0-9+/=]{16,})*|[Bb]earer +[A-Za-z0-9._~+/-]{20,})")
 KINDS = (("assign", ASSIGN, 1, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16), ("wider", WIDER, 0, 12))
 BASE_KINDS = 3
 #: Strings without one of which (in lower case) a pattern can't match.
 GATES = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",), "wider": ("eyj", "gh", "xox", "aiza", "sk_live_", "-----begin", "bearer ")}
-#: Owners from which a value counts as a copied example; distinct characters of a live value.
-EXAMPLE_OWNERS, LIVE_CHARS = 3, 6
+#: Owners, and repositories, from which a value counts as a copied example; distinct characters of a live value.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, LIVE_CHARS = 3, 10, 6
 SALTS = 16
 BLOCK = 256
 
@@ -107,13 +108,16 @@ def find_candidates(docs: DataFrame, owner: Column, repository: Column) -> DataF
     return materialize(found.withColumn("tag", tag), "secret-candidates")
 
 
-def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """value, n_owners, n_repositories and widespread, over the rows of find_candidates(); null owners count as one owner."""
+def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """value, n_owners, n_repositories and widespread, over the rows of find_candidates().
+
+    Null owners count as one owner, null repositories of an owner as one repository.
+    """
     held = found.select(F.explode(F.transform("found", lambda s: s["value"])).alias("value"), F.coalesce("owner", F.lit("")).alias("owner"),
                         F.coalesce("repository", F.lit("")).alias("repository")).distinct()
     by_owner = held.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
     return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories")).withColumn(
-        "widespread", F.col("n_owners") >= example_owners)
+        "widespread", (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories))
 
 
 def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
@@ -124,7 +128,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     repository; an empty table gives no rows; other columns don't matter.
     """
     owner = F.col("source") if owner is None else owner
-    repository = F.concat_ws("/", "source", "lang") if repository is None else repository
+    repository = F.col("doc_id") if repository is None else repository
     found = find_candidates(docs, owner, repository)
     with_any = found.filter(F.size("found") > 0)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
@@ -172,7 +176,7 @@ cands AS (
   SELECT row_id, kind, start::BIGINT AS start, (start + size)::BIGINT AS stop, md5(val) AS value, len(list_distinct(string_split(val, ''))) AS chars
   FROM each WHERE len(val) >= least),
 owned AS (
-  SELECT value, count(DISTINCT coalesce(source, '')) >= 3 AS widespread FROM cands JOIN texts USING (row_id) GROUP BY value),
+  SELECT value, count(DISTINCT coalesce(source, '')) >= 3 OR count(DISTINCT (coalesce(source, ''), coalesce(doc_id::VARCHAR, ''))) >= 10 AS widespread FROM cands JOIN texts USING (row_id) GROUP BY value),
 judged AS (SELECT *, NOT widespread AND chars >= 6 AS live FROM cands JOIN owned USING (value) JOIN (SELECT kind, name FROM kinds) USING (kind)),
 agg AS (
   SELECT row_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

@@ -30,6 +30,8 @@ from .common import append_columns, table
 
 #: Characters past its end that a match of the pre-token pattern depends on.
 CONTEXT = 2
+#: Most pre-tokens that an edit leaves in a leaf; beyond that, the leaf is split.
+CROWDED = 4
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
@@ -48,7 +50,7 @@ def _levels(leaves: np.ndarray) -> np.ndarray:
 
 
 class CountTree:
-    """Sums over the pre-tokens of a text. A leaf holds one pre-token at first, and all that replace it later."""
+    """Sums over the pre-tokens of a text. A leaf holds one pre-token at first, and later up to CROWDED of those that replace it."""
 
     def __init__(self, chars: np.ndarray, tokens: np.ndarray):
         self.chars, self.tokens = chars, tokens
@@ -84,12 +86,6 @@ class CountTree:
             self.tokens[node] += dt
             node //= 2
 
-    def clear(self, first: int, last: int) -> None:
-        """Empty the leaves from first to last."""
-        for leaf in range(first, last + 1):
-            if self.chars[leaf + self.size]:
-                self.put(leaf, 0, 0)
-
     def edit(self, text: str, start: int, end: int, new: str, c: Codec) -> tuple[str, int]:
         """Replace text[start:end] by ``new``. Returns the new text and how many pre-tokens were encoded for it."""
         n = len(text)
@@ -109,10 +105,26 @@ class CountTree:
                 if begins == stop - shift and leaf > first:
                     last = leaf - 1
                     break
-        self.clear(first + 1, last)
-        self.put(first, sum(map(len, words)), sum(c.counts(words)))
+        chars, tokens = list(map(len, words)), c.counts(words)
+        room = max(1, last - first + 1)
+        if len(words) > room * CROWDED or not self.size:
+            self.split(first, first + room, chars, tokens)
+            return out, len(words)
+        share = -(-len(words) // room)
+        for k in range(room):
+            part = slice(k * share, (k + 1) * share)
+            self.put(first + k, sum(chars[part]), sum(tokens[part]))
         return out, len(words)
 
+    def split(self, first: int, stop: int, chars: list[int], tokens: list[int]) -> None:
+        """Leaves from ``first`` to before ``stop`` give way to one for each new pre-token; the sums above are added up anew."""
+        old_chars, old_tokens = self.chars[self.size:], self.tokens[self.size:]
+        chars = np.concatenate([old_chars[:first], np.array(chars, np.int32), old_chars[stop:]])
+        tokens = np.concatenate([old_tokens[:first], np.array(tokens, np.int32), old_tokens[stop:]])
+        on = chars > 0
+        self.chars, self.tokens = _levels(chars[on]), _levels(tokens[on])
+        self.size = len(self.chars) // 2
+
 
 def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` and the columns tree_chars, tree_tokens (arrays of node sums) and n_tokens.

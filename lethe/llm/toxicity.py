@@ -85,10 +85,10 @@ def _fit_link(rows: list[np.ndarray], earlier: np.ndarray, positive: np.ndarray)
     return Link(scale, w.astype(np.float32), u, 1.0, 0.0)
 
 
-def derive_categories(rows: list[np.ndarray], toxic: np.ndarray, least_ratio: float = 3.0) -> np.ndarray:
-    """One column for each of CATEGORIES."""
-    ratios = log_count_ratios(rows, toxic, least=5)
-    lexicon = ratios >= least_ratio
+def derive_categories(rows: list[np.ndarray], toxic: np.ndarray, least_ratio: float = 3.0, known: np.ndarray | None = None) -> np.ndarray:
+    """One column for each of CATEGORIES. known: the rows that the lexicon is drawn from, all unless given."""
+    known = np.ones(len(rows), bool) if known is None else known
+    lexicon = log_count_ratios([r for r, k in zip(rows, known) if k], toxic[known], least=5) >= least_ratio
     hits = np.array([int(lexicon[r].sum()) for r in rows])
     share = hits / np.array([max(1, len(r)) for r in rows])
     explicit = toxic & (hits > 0)
@@ -96,9 +96,13 @@ def derive_categories(rows: list[np.ndarray], toxic: np.ndarray, least_ratio: fl
     return np.stack([explicit, severe, toxic], axis=1)
 
 
-def fit_chain(rows: list[np.ndarray], categories: np.ndarray, folds: int = FOLDS) -> list[Link]:
-    """Links in the order of the columns of ``categories``; a category without rows of both classes gets a constant link."""
+def fit_chain(rows: list[np.ndarray], categories: np.ndarray, folds: int = FOLDS, of_fold: list[np.ndarray] | None = None) -> list[Link]:
+    """Links in the order of the columns of ``categories``; a category without rows of both classes gets a constant link.
+
+    of_fold: for each fold, the categories as they are known without its rows; row i is in fold i % folds.
+    """
     n = len(rows)
+    of_fold = of_fold or [categories] * folds
     earlier = np.empty((n, 0))
     fold = np.arange(n) % folds
     chain = []
@@ -113,8 +117,9 @@ def fit_chain(rows: list[np.ndarray], categories: np.ndarray, folds: int = FOLDS
         margins = np.zeros(n)
         for f in range(folds):
             on = fold != f
-            if y[on].any() and not y[on].all():
-                part = _fit_link([r for r, o in zip(rows, on) if o], earlier[on], y[on])
+            seen = of_fold[f][on, k]
+            if seen.any() and not seen.all():
+                part = _fit_link([r for r, o in zip(rows, on) if o], earlier[on], seen)
                 for i in np.flatnonzero(~on):
                     margins[i] = part.margin(rows[i], list(earlier[i]))
         slope, shift = calibrate(margins, y)
@@ -126,7 +131,8 @@ def fit_chain(rows: list[np.ndarray], categories: np.ndarray, folds: int = FOLDS
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> list[Link]:
     rows, toxic = labelled_rows(docs, labels, label, sample, features)
-    return fit_chain(rows, derive_categories(rows, toxic))
+    fold = np.arange(len(rows)) % FOLDS
+    return fit_chain(rows, derive_categories(rows, toxic), FOLDS, [derive_categories(rows, toxic, known=fold != f) for f in range(FOLDS)])
 
 
 def score(docs: DataFrame, chain: list[Link]) -> DataFrame:

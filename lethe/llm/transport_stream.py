@@ -5,8 +5,8 @@ tables first, then packetised elementary units with 90 kHz timestamps, the first
 packet of each marked as a random-access point and carrying a clock reference.
 ``demux`` reads any such stream back: it parses the program association and map
 tables (with their checksums), follows the continuity counter of every packet
-identifier, reassembles the elementary packets and lists timestamps and
-random-access points.
+identifier, reassembles sections and elementary packets, whatever packets they
+span, and lists timestamps and random-access points.
 
 Scale: one narrow pass over Arrow batches, one row's payload at a time.
 """
@@ -105,7 +105,8 @@ def mux(payload: bytes) -> bytes:
 class Stream:
     """What demux finds."""
 
-    payload: bytes = b""
+    payload: bytes = b""  # of the stream with the least packet identifier
+    payloads: dict[int, bytes] = field(default_factory=dict)  # by packet identifier
     packets: int = 0
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)  # packet identifier: stream type
@@ -133,6 +134,15 @@ def _tables(found: Stream, pid: int, section: bytes) -> None:
             i += 5 + ((body[i + 3] & 0x0F) << 8 | body[i + 4])
 
 
+def _sections(found: Stream, pid: int, sections: dict[int, bytes], more: bytes) -> None:
+    """Add ``more`` to what is open of a packet identifier's sections, and parse those that are whole; 0xFF fills up."""
+    data = sections[pid] + more
+    while data and data[0] != 0xFF and len(data) >= 3 and len(data) >= (size := 3 + ((data[1] & 0x0F) << 8 | data[2])):
+        _tables(found, pid, data[:size])
+        data = data[size:]
+    sections[pid] = b"" if data[:1] == b"\xff" else data
+
+
 def _unit(found: Stream, parts: list[bytes]) -> bytes:
     unit = b"".join(parts)
     if len(unit) < 9 or unit[:3] != b"\x00\x00\x01":
@@ -146,7 +156,7 @@ def _unit(found: Stream, parts: list[bytes]) -> bytes:
 
 def demux(data: bytes) -> Stream:
     """Parse a transport stream; malformed packets are counted and left out."""
-    found, out = Stream(), []
+    found, out, sections = Stream(), {}, {}
     open_units: dict[int, list[bytes]] = {}
     last: dict[int, tuple[int, int]] = {}  # packet identifier: counter, start of that packet
     at = 0
@@ -185,17 +195,27 @@ def demux(data: bytes) -> Stream:
                 open_units.pop(pid, None)
         last[pid] = (counter, here)
         if pid == 0 or pid in found.programs.values():
+            part = data[body:at]
             if begins:
-                _tables(found, pid, data[body + 1 + data[body]:at])
+                first = 1 + part[0]  # what stands before belongs to the section that began earlier
+                if pid in sections:
+                    _sections(found, pid, sections, part[1:first])
+                    found.bad_sections += bool(sections.pop(pid))
+                sections[pid], part = b"", part[first:]
+            if pid in sections:
+                _sections(found, pid, sections, part)
         elif pid in found.streams:
             if begins:
                 if pid in open_units:
-                    out.append(_unit(found, open_units[pid]))
+                    out.setdefault(pid, []).append(_unit(found, open_units[pid]))
                 open_units[pid] = [data[body:at]]
             elif pid in open_units:
                 open_units[pid].append(data[body:at])
-    out += [_unit(found, parts) for parts in open_units.values()]
-    found.payload = b"".join(out)
+    for pid, parts in open_units.items():
+        out.setdefault(pid, []).append(_unit(found, parts))
+    found.bad_sections += sum(map(bool, sections.values()))
+    found.payloads = {pid: b"".join(units) for pid, units in sorted(out.items())}
+    found.payload = next(iter(found.payloads.values()), b"")
     return found
 
 
@@ -260,5 +280,4 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     out = describe(store(docs).drop("text"))
-    return out.select("doc_id", "n_bytes", *[f.name for f in MEDIA_FIELDS if f.name not in ("timestamps", "random_access")],
-                      F.size("timestamps").cast("long").alias("n_units"), F.size("random_access").cast("long").alias("n_random_access"))
+    return out.select("doc_id", "n_bytes", *[f.name for f in MEDIA_FIELDS])

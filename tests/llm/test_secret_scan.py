@@ -46,3 +46,18 @@ def test_prefix_sums(spark):
     n = list(range(1, 1500))
     got = spark.createDataFrame([(n,), ([],)], "a array<int>").select(S.prefix_sums(F.col("a"))).collect()
     assert got[0][0][-1] == sum(n) and got[0][0][300] == sum(n[:301]) and got[1][0] == []
+
+
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    value = "ghp_" + "aB3dE6gH9kLmNoPqRsTuVwXyZ01234"
+    rows = [(i, f"my {value} here", "en", "a", 1) for i in range(S.EXAMPLE_REPOSITORIES)]
+    assert all(not r.verdicts[0].live for r in S.scan(frame(spark, rows)).collect())
+    assert all(r.verdicts[0].live for r in S.scan(frame(spark, rows[1:])).collect())
+
+
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    key = lambda k: f"-----BEGIN RSA PRIVATE KEY-----\n{'MIIEow' + k * 50}\n{'Ab3' + k * 50}\n-----END RSA PRIVATE KEY-----"
+    rows = [(i, f"see {key(k)} end", "en", f"s{i}", 1) for i, k in enumerate("QRST")] + [(9, "one " + key("Z"), "en", "s9", 1)]
+    rows += [(20 + i, key("W"), "en", f"s{i}", 1) for i in range(4)]
+    got = {r.doc_id: r.verdicts[0].live for r in S.scan(frame(spark, rows)).collect()}
+    assert all(got[i] for i in (0, 1, 2, 3, 9)) and not any(got[20 + i] for i in range(4))

@@ -83,3 +83,27 @@ def test_edit_lists_in_order(spark):
     docs = spark.createDataFrame([(1, "hello"), (2, None), (3, "kept")], "doc_id long, text string")
     out = token_counts.apply_edits(token_counts.build_trees(docs).join(token_counts.edit_lists(edits), "doc_id", "left"))
     assert {r.doc_id: r.text for r in out.collect()} == {1: "xb hello", 2: "", 3: "kept"}
+
+
+def test_query_against_the_library(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    size = lambda s: len(plain.encode(s, add_special_tokens=False).ids)
+    got = {r.doc_id: r for r in token_counts.op7_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    for d in table(spark, "/root/testdata/sf0.001", "documents").collect():
+        s, n, r = d.text or "", len(d.text or ""), got[d.doc_id]
+        assert r.n_tokens_before == size(s)
+        for start, end, new in ((n // 3, n // 3, " some added words"), (n // 2, n // 2 + 7, ""), (n + 6, n + 10, " 2024!")):
+            s = s[:start] + new + s[max(end, min(start, len(s))):]
+        assert r.n_tokens == size(s) and r.text_sha256 == hashlib.sha256(s.encode()).hexdigest()
+
+
+def test_edits_at_one_place_split_its_leaf():
+    c = bpe.codec(bpe.default_path())
+    s = " ".join(f"word{i}" for i in range(200))
+    tree = token_counts.CountTree.build(s, c)
+    for k in range(300):
+        s, encoded = tree.edit(s, 500, 500, f" more{k} of it", c)
+        assert encoded <= 24
+    assert tree.total == len(c.encode(s, special=False)) and tree.chars[1] == len(s)
+    assert max(tree.chars[tree.size:]) < 120

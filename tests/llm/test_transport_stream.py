@@ -50,3 +50,24 @@ def test_equal_texts_and_null_media(spark):
     by = {r.doc_id: r for r in rows}
     assert len(rows) == 14 and by[1].media_sha256 == by[2].media_sha256 and by[4].payload_bytes == by[5].payload_bytes == 64
     assert M.describe(spark.createDataFrame([(None,)], "media binary")).first().feature is None
+
+
+def test_sections_that_span_packets():
+    body = b"".join((0xE000 | 0x200 + k).to_bytes(2, "big").join([bytes([6]), b"\xf0\x00"]) for k in range(60))
+    section = M._section(0x02, 1, b"\xe2\x00\xf0\x00" + body)
+    assert len(section) > M.PACKET
+    head = bytes([M.SYNC, 0x40 | M.PMT_PID >> 8, M.PMT_PID & 0xFF, 0x10, 0]) + section[:183]
+    rest = bytes([M.SYNC, M.PMT_PID >> 8, M.PMT_PID & 0xFF, 0x11]) + section[183:].ljust(184, b"\xff")
+    data = M.mux(M.pad(b"x" * 500))
+    found = M.demux(data[:188] + head + rest + data[188 * 2:])
+    assert found.bad_sections == 0 and len(found.streams) == 60
+    assert M.demux(data[:188] + head + data[188 * 2:]).bad_sections == 1
+
+
+def test_streams_are_kept_apart():
+    a, b = M.pad(os.urandom(1000)), M.pad(os.urandom(700))
+    one, two = M.mux(a), M.mux(b)
+    other = b"".join(two[i:i + 1] + bytes([two[i + 1] & 0xE0 | 0x02]) + two[i + 2:i + 188] for i in range(188 * 2, len(two), 188))
+    more = M._section(0x02, 1, b"\xe1\x01\xf0\x00" + b"\x06\xe1\x01\xf0\x00" + b"\x06\xe2\x01\xf0\x00")
+    found = M.demux(one[:188] + M._table_packet(M.PMT_PID, more) + one[188 * 2:] + other)
+    assert found.payloads == {0x101: a, 0x201: b} and found.payload == a

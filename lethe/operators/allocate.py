@@ -122,7 +122,8 @@ def allocate_subnets(found: DataFrame, private: bool = True, public: bool = True
 def _fold(out: SubnetMap, nets: DataFrame, order: list[str]) -> None:
     """Allocate ``nets`` (real_net, plen, category) in order, pool by pool."""
     nets = materialize(nets, "subnets-first")
-    for pool in out.pools:
+    held = {r.category for r in nets.select("category").distinct().collect()}  # at most one for each pool
+    for pool in out.pools.keys() & held:
         for r in nets.filter(F.col("category") == pool).orderBy(*order).select("real_net", "plen").toLocalIterator():
             if out.full(pool):
                 break
@@ -133,16 +134,10 @@ def subnet_table(found: DataFrame) -> DataFrame:
     """The closed form for addresses without written networks: real_net, category, fake_net, for each inferred /24."""
     rows = found.filter(~ipv4.kept(F.col("address"), F.col("real")))
     seen = first_seen(rows.withColumn("real_net", F.shiftleft(F.shiftright("address", 8), 8)), "real_net").withColumn("category", ipv4.category(F.col("real_net")))
-    seen = materialize(seen, "subnets-seen")
-    parts = []
-    for pool, cidr in ipv4.POOLS.items():
-        base = F.lit(ipv4.bounds(cidr)[0])
-        own = numbered(seen.filter(F.col("category") == pool).withColumn("real", F.col("real_net").cast("string")), 0)
-        parts.append(own.select("real_net", "category", (base + F.col("number") * 256).alias("fake_net")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    own = numbered(seen.withColumn("real", F.col("real_net").cast("string")), 0, ["category", "first_path", "first_pos", "real"])
+    first = own.groupBy("category").agg(F.min("number").alias("least"))  # a row for each pool
+    base = F.element_at(F.create_map(*[F.lit(x) for pool, cidr in ipv4.POOLS.items() for x in (pool, ipv4.bounds(cidr)[0])]), F.col("category"))
+    return own.join(F.broadcast(first), "category").select("real_net", "category", (base.cast("long") + (F.col("number") - F.col("least")) * 256).alias("fake_net"))
 
 
 def longest_prefix(addresses: DataFrame, nets: DataFrame, prefixes: list[int]) -> DataFrame:

@@ -88,7 +88,7 @@ def hierarchy(seen: DataFrame, known: Mapping[str, str] | None = None, tlds: dic
     tops = numbered(tops, taken("domain"), order).join(fakes, "tld")
     tops = tops.select("real", F.concat(F.lit("domain_"), F.col("number").cast("string"), F.lit("."), "t").alias("fake"), "labels")
     depth = max(0, (d.agg(F.max("labels")).first()[0] or 0) - 1)
-    subs = materialize(numbered(d.filter("below"), taken("sub"), order).select("real", "parent", "labels", F.col("number").alias("n")), "domains-below")
+    subs = numbered(d.filter("below"), taken("sub"), order).select("real", "parent", "labels", F.col("number").alias("n"))
     levels, above = [tops], tops.select("real", "fake").unionByName(old)
     for _ in range(depth):
         above = subs.join(above.select(F.col("real").alias("parent"), F.col("fake").alias("up")), "parent").select(

@@ -156,3 +156,25 @@ def test_reports(spark):
     rows = report.profile(texts(spark, "ab@corp.io", "x"), [("email", E.EMAIL_ENTITY.apply(F.col("text")))]).collect()
     assert (rows[0].files, rows[0].changed, rows[0].share) == (2, 1, 1.0)
     assert ipv4.bounds("10.0.0.0/8") == (10 << 24, (11 << 24) - 1)
+
+
+def test_known_domains_are_extended(spark):
+    def learned(text, known=None):
+        return engine.learn(spark.createDataFrame([("a", text)], "path string, text string"), FULL, known, from_text=True)
+
+    first = learned("corp.io www.lab.de")
+    second = learned("x.web.corp.io corp.io lab.org new.de 10.1.1.1", first)
+    assert first.subnets.nets == {} and second.subnets.nets
+    names, old = second.names["domain"], first.names["domain"]
+    assert {k: names[k] for k in old} == old and second.tld_map["io"] == first.tld_map["io"]
+    assert names["web.corp.io"].endswith("." + names["corp.io"]) and names["x.web.corp.io"].endswith("." + names["web.corp.io"])
+    assert len(set(names.values())) == len(names) and names["new.de"].endswith("." + second.tld_map["de"])
+    assert "install.sh" not in learned("run install.sh main.tf fig.ps").names["domain"]
+
+
+def test_addresses_in_written_networks_start_no_network_of_their_own(spark):
+    lines = [f"11.{i // 250}.{i % 250}.0/24 up" for i in range(300)] + ["9.9.9.16/28 net 9.9.9.17 host 9.9.9.200"]
+    for rows in (lines, lines[-1:]):
+        files = spark.createDataFrame([(f"{i:04}", t) for i, t in enumerate(rows)], "path string, text string")
+        nets = allocate.allocate_subnets(discover.ipv4_candidates(files)).nets
+        assert len(nets) == len(rows) + 1

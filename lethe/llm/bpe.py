@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .common import append_columns, free_name, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pre-tokens and fragments that a worker's caches hold at most, each.
-CACHE = 400_000
+#: Pre-tokens, and fragments of those that are cut, that a worker's caches hold at most. Workers live on between stages.
+CACHE, CACHE_FRAGMENTS = 240_000, 60_000
 NO_MERGE = 1 << 60
 
 
@@ -161,7 +161,7 @@ class Codec:
             if ids is None:
                 ids = self.encode_fragment(fragment)
                 if len(fragment) <= 64:
-                    if len(self.fragments) >= CACHE:
+                    if len(self.fragments) >= CACHE_FRAGMENTS:
                         self.fragments.clear()
                     self.fragments[fragment] = ids
             out.extend(ids)

@@ -43,7 +43,7 @@ CENTRE_ROUNDS = 2
 RANK_BITS = 16
 #: Bounds are loosened by this much, so that rounding loses no pair.
 SLACK = 1e-6
-CACHE = 300_000
+CACHE = 150_000
 
 _word = re.compile(WORD)
 _known: dict[str, int] = {}

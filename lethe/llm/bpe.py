@@ -4,7 +4,9 @@ A byte pair that occurs inside no vocabulary token can never be joined by a
 merge, since every merge makes a token.  Wherever such a pair stands in a
 pre-token is thus a certain cut: the fragments between cuts are encoded
 independently and their ids concatenated, which gives the ids of the whole.
-Fragments recur far more often than texts do and are kept in a bounded cache.
+Pre-tokens recur and are kept in a bounded cache. Those of a batch that aren't
+there are cut and merged together: fragments of one length are the rows of a
+matrix, and every step joins the best pair of each row.
 
 Scale: a narrow pass over Arrow batches; each Python worker loads the vocabulary
 from its path once.
@@ -15,13 +17,13 @@ from __future__ import annotations
 import heapq
 import json
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +31,12 @@ from pyspark.sql import types as T
 from .common import append_columns, free_name, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pre-tokens, and fragments of those that are cut, that a worker's caches hold at most. Workers live on between stages.
-CACHE, CACHE_FRAGMENTS = 240_000, 60_000
+#: Pre-tokens that a worker's cache holds at most. Workers live on between stages.
+CACHE = 240_000
+#: Code points of texts whose pre-tokens are looked up together; longer texts are alone.
+TOGETHER = 500_000
+#: Fragments of more bytes are merged one by one, with a heap; so are few, without a matrix.
+LONG, FEW = 64, 12
 NO_MERGE = 1 << 60
 
 
@@ -45,6 +51,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+class Spellings(dict):
+    """Bytes by token id; unknown ids have none."""
+
+    def __missing__(self, i: int) -> bytes:
+        return b""
+
+
 class Codec:
     """Encoder and decoder for a byte-level BPE vocabulary in a tokenizers JSON file."""
 
@@ -54,12 +67,17 @@ class Codec:
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab = data["model"]["vocab"]
-        self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)}
+        self.bytes_of = Spellings({i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)})
         self.single = [vocab[c] for c in letters]
         self.merges: dict[tuple[int, int], int] = {}  # rank << 32 | id
         for rank, merge in enumerate(data["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.merges.setdefault((vocab[a], vocab[b]), rank << 32 | vocab[a + b])
+        pairs = sorted(self.merges)
+        self.pair_keys = np.array([a << 32 | b for a, b in pairs] or [-1], np.int64)
+        self.pair_merges = np.array([self.merges[p] for p in pairs] or [NO_MERGE], np.int64)
+        self.singles = np.array(self.single, np.int64)
+        self.byte_merges = self.merges_of(np.repeat(self.singles, 256), np.tile(self.singles, 256)).reshape(256, 256)
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         for content, i in self.added.items():
             self.bytes_of[i] = content.encode()
@@ -70,18 +88,16 @@ class Codec:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.never = frozenset(map(tuple, np.argwhere(~self.inside).tolist()))
-        self.pretokens: dict[str, array] = {}
-        self.older: dict[str, array] = {}
-        self.fragments: dict[bytes, list[int]] = {}
-        self.core = self._core()
-
-    def _core(self):
-        """A compiled encoder of single pieces, where a token's id follows from its merge's rank; else None."""
-        base = len(self.single)
-        if sorted(self.single) != list(range(base)) or any((v & 0xFFFFFFFF) != base + (v >> 32) for v in self.merges.values()):
-            return None
-        ranks = {t: i for i, t in self.bytes_of.items() if i < base + len(self.merges)}
-        return tiktoken.Encoding("fragments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.special = {(content,): array("i", [i]).tobytes() for content, i in self.added.items()}  # no pre-token is a tuple
+        self.known: dict[str | tuple, bytes] = dict(self.special)
+        self.older: dict[str | tuple, bytes] = {}
+        self.long: list[str] = []
+
+    def merges_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merges of pairs of ids, as rank << 32 | id; NO_MERGE where there is none."""
+        keys = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_merges[at], NO_MERGE)
 
     def cuts(self, piece: bytes) -> list[bytes]:
         """The fragments of a pre-token between forced boundaries."""
@@ -96,12 +112,6 @@ class Codec:
         out.append(piece[start:])
         return out
 
-    def encode_fragment(self, fragment: bytes) -> list[int]:
-        """The ids of one fragment."""
-        if self.core is not None and len(fragment) <= 64:
-            return self.core.encode_single_piece(fragment)
-        return self.merge(fragment)
-
     def merge(self, fragment: bytes) -> list[int]:
         """The ids of one fragment: the lowest merge first, leftmost among equals."""
         ids = [self.single[b] for b in fragment]
@@ -151,62 +161,112 @@ class Codec:
             offer(i)
         return [t for t in ids if t >= 0]
 
-    def encode_pretoken(self, word: str) -> array:
-        fragments = self.cuts(word.encode("utf-8", "surrogatepass"))
-        if len(fragments) == 1:  # kept as a pre-token already
-            return array("i", self.encode_fragment(fragments[0]))
-        out = array("i")
-        for fragment in fragments:
-            ids = self.fragments.get(fragment)
-            if ids is None:
-                ids = self.encode_fragment(fragment)
-                if len(fragment) <= 64:
-                    if len(self.fragments) >= CACHE_FRAGMENTS:
-                        self.fragments.clear()
-                    self.fragments[fragment] = ids
-            out.extend(ids)
+    def merge_rows(self, rows: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
+        """Merge fragments of one length, the rows of bytes; the ids of each are put into ``ids`` from its start on."""
+        tokens, found = self.singles[rows], self.byte_merges[rows[:, :-1], rows[:, 1:]]
+        while len(tokens):
+            width = tokens.shape[1]
+            each = np.arange(len(tokens))
+            at = found.argmin(axis=1) if width > 1 else None
+            best = found[each, at] if width > 1 else np.full(len(tokens), NO_MERGE)
+            on = best != NO_MERGE
+            if not on.all():
+                over = ~on
+                ids[starts[over][:, None] + np.arange(width)] = tokens[over]
+                tokens, found, starts, best = tokens[on], found[on], starts[on], best[on]
+                if not len(tokens):
+                    return
+                at, each = at[on], np.arange(len(tokens))
+            kept = np.arange(width) != at[:, None] + 1
+            tokens = tokens[kept].reshape(-1, width - 1)
+            tokens[each, at] = best & 0xFFFFFFFF
+            found = found[kept[:, 1:]].reshape(len(tokens), width - 2)
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+            i, j = at[left], at[right]
+            found[left, i - 1] = self.merges_of(tokens[left, i - 1], tokens[left, i])
+            found[right, j] = self.merges_of(tokens[right, j], tokens[right, j + 1])
+
+    def encode_pretokens(self, words: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, as bytes of 32-bit numbers, fragment by fragment."""
+        pieces = [w.encode("utf-8", "surrogatepass") for w in words]
+        if len(pieces) <= FEW:
+            return [array("i", [i for f in self.cuts(p) for i in self.merge(f)]).tobytes() for p in pieces]
+        whole = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        boundary = np.append(~self.inside[whole[:-1], whole[1:]], True)  # after a byte
+        boundary[ends - 1] = True
+        stops = np.flatnonzero(boundary) + 1
+        starts = np.concatenate([[0], stops[:-1]])
+        sizes = stops - starts
+        ids = np.full(len(whole), -1, np.int64)
+        order = np.argsort(sizes, kind="stable")
+        lengths, first = np.unique(sizes[order], return_index=True)
+        for length, group in zip(lengths.tolist(), np.split(order, first[1:])):
+            at = starts[group]
+            if length > LONG:
+                for i in at.tolist():
+                    made = self.merge(whole[i:i + length].tobytes())
+                    ids[i:i + len(made)] = made
+            else:
+                self.merge_rows(whole[at[:, None] + np.arange(length)], ids, at)
+        there = ids >= 0
+        flat, upto = ids[there].astype(np.int32).tobytes(), (np.cumsum(there)[ends - 1] * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *upto], upto)]
+
+    def look_up(self, words: set) -> dict:
+        """A dictionary with the ids of all ``words``. Short words are kept for two generations, long ones until the next call."""
+        for w in self.long:
+            del self.known[w]
+        if len(self.known) >= CACHE // 2:
+            self.older, self.known = self.known, dict(self.special)
+        missing = words.difference(self.known)
+        new = [w for w in missing if w not in self.older]
+        self.known.update((w, self.older[w]) for w in missing if w in self.older)
+        self.known.update(zip(new, self.encode_pretokens(new)))
+        self.long = [w for w in new if len(w) > 64]
+        return self.known
+
+    def pieces(self, text: str, special: bool) -> list:
+        """The pre-tokens of a text, and a tuple for each added token."""
+        if not special or self.split_added is None:
+            return self.split.findall(text)
+        out = []
+        for part in self.split_added.split(text):
+            if part in self.added:
+                out.append((part,))
+            elif part:
+                out.extend(self.split.findall(part))
         return out
 
-    def pretoken(self, word: str) -> array:
-        """The ids of a pre-token that isn't among the newer half of the cache; short ones enter it."""
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encode_pretoken(word)
-        if len(word) <= 64:
-            self.pretokens[word] = ids
-            if len(self.pretokens) >= CACHE // 2:
-                self.older = dict(self.pretokens)
-                self.pretokens.clear()
-        return ids
-
-    def encode_ordinary(self, text: str, out: array) -> None:
-        get, new = self.pretokens.get, self.pretoken
-        for word in self.split.findall(text):
-            ids = get(word)
-            out.extend(new(word) if ids is None else ids)
-
     def counts(self, words: list[str]) -> list[int]:
         """Numbers of tokens of pre-tokens."""
-        get, new = self.pretokens.get, self.pretoken
-        return [len(new(w) if (ids := get(w)) is None else ids) for w in words]
+        return [len(ids) // 4 for ids in map(self.look_up(set(words)).__getitem__, words)]
+
+    def encode_texts(self, texts: Iterable[str], special: bool = True) -> Iterator[bytes]:
+        """The ids of each text, as bytes of 32-bit numbers."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self.pieces(text, special))
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self.joined(held)
+                held, size = [], 0
+        yield from self.joined(held)
+
+    def joined(self, texts: list[list]) -> Iterator[bytes]:
+        ids = self.look_up(set().union(*texts))
+        for words in texts:
+            yield b"".join(map(ids.__getitem__, words))
 
     def encode(self, text: str, special: bool = True) -> array:
         """The ids of a text. special: the strings of added tokens stand for those tokens."""
         out = array("i")
-        if special and self.split_added is not None:
-            for part in self.split_added.split(text):
-                if part in self.added:
-                    out.append(self.added[part])
-                elif part:
-                    self.encode_ordinary(part, out)
-        else:
-            self.encode_ordinary(text, out)
+        out.frombytes(next(self.encode_texts([text], special)))
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; unknown ids stand for nothing, malformed bytes for U+FFFD."""
-        get = self.bytes_of.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
@@ -224,11 +284,11 @@ def encode_column(docs: DataFrame, path: str | None = None, text: str = "text",
     path = path or default_path()
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        c, values, offsets = codec(path), array("i"), [0]
-        for t in texts:
-            values.extend(c.encode(t.as_py() or "", special))
-            offsets.append(len(values))
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32()))]
+        values, offsets = bytearray(), [0]
+        for ids in codec(path).encode_texts((t.as_py() or "" for t in texts), special):
+            values += ids
+            offsets.append(len(values) // 4)
+        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32), pa.int32()))]
 
     return append_columns(docs, [text], T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()), False)]), make)
 
@@ -239,7 +299,8 @@ def decode_column(encoded: DataFrame, path: str | None = None, ids: str = "ids",
 
     def make(lists: pa.Array) -> list[pa.Array]:
         c = codec(path)
-        return [pa.array([c.decode(x.values.to_pylist() if x.is_valid else []) for x in lists], pa.string())]
+        flat, at = lists.values.fill_null(-1).to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+        return [pa.array([c.decode(flat[a:b].tolist() if x.is_valid else []) for x, a, b in zip(lists, at, at[1:])], pa.string())]
 
     return append_columns(encoded, [ids], T.StructType([T.StructField(text, T.StringType(), False)]), make)
 

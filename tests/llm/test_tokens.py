@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -107,3 +108,21 @@ def test_edits_at_one_place_split_its_leaf():
         assert encoded <= 24
     assert tree.total == len(c.encode(s, special=False)) and tree.chars[1] == len(s)
     assert max(tree.chars[tree.size:]) < 120
+
+
+def test_matrix_merges_equal_merges_of_single_pretokens():
+    c, rng = bpe.Codec(bpe.default_path()), random.Random(5)
+    words = ["".join(rng.choice("aeinrst Ωß漢0#") for _ in range(rng.choice([1, 2, 3, 7, 20, 65, 200]))) for _ in range(600)] + ["a"] * 3
+    alone = [[i for f in c.cuts(w.encode()) for i in c.merge(f)] for w in words]
+    assert [list(np.frombuffer(x, np.int32)) for x in c.encode_pretokens(words)] == alone
+    assert c.encode_pretokens([]) == []
+
+
+def test_cache_generations_keep_ids(monkeypatch):
+    c = bpe.Codec(bpe.default_path())
+    texts = [f"word{k % 7} other{k} " + "x" * 90 for k in range(60)]
+    whole = [list(c.encode(t)) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE", 20)
+    monkeypatch.setattr(bpe, "TOGETHER", 150)
+    assert [list(np.frombuffer(x, np.int32)) for x in c.encode_texts(texts)] == whole
+    assert c.counts(["x" * 90, "other"]) == [len(c.encode("x" * 90)), len(c.encode("other"))]

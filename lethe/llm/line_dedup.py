@@ -46,9 +46,10 @@ MIN_WORDS = 1
 LEVEL_BITS, STEPS = 18, 4
 #: Sets of more words have parities of twice 64 bits, as 64 tell little of them.
 WIDE = 64
-#: Lines of one key from which the rounds before the join compare them with the earliest; lines that a round
-#: settles from which another follows (a copy escapes a round about once in 20 times).
-LARGE, AGAIN = 32, 2_000
+#: Lines of one key from which the rounds before the join compare them with the earliest; lines settled by one
+#: earliest line from which another round follows. A copy escapes a round about once in 20 times and meets its whole
+#: group in the join, so that below AGAIN some AGAIN / 20 pairs for each line of a group are left.
+LARGE, AGAIN = 32, 1_000
 #: Most rows that are broadcast; a join with more shuffles.
 MOST_BROADCAST = 200_000
 
@@ -56,18 +57,16 @@ _PLACE = ("doc_id", "tag", "line_no")
 _ODD = "\t\x0b\x0c\r\n"
 
 
-def _words(text: Column, odd: str = _ODD) -> Column:
-    """The words of a text, empty strings among them; plain spaces, the usual case, are split without a pattern."""
-    strange = F.lit(False)
-    for c in odd:
-        strange = strange | text.contains(c)
-    return F.when(strange, F.split(text, GAP)).otherwise(F.split(text, " "))
+def _words(text: Column) -> Column:
+    """The words of a text, empty strings among them; other white space becomes spaces, so that no pattern is needed."""
+    for c in _ODD:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(text, " ")
 
 
 def rarity_levels(docs: DataFrame) -> list[int]:
     """The logarithm of the count of each of 2**LEVEL_BITS buckets of word hashes, in steps from 0 to 127."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    words = lines.select(F.explode(_words(F.col("line"), _ODD[:-1])).alias("w")).filter("w <> ''")
+    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).filter("w <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * STEPS) + 1).cast("int")
     packed = counts.select(F.struct("b", level.alias("level")).alias("s")).agg(
@@ -83,16 +82,23 @@ def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - LEVEL_BITS).cast("int")
 
 
-def word_keys(line: Column, levels: list[int]) -> Column:
-    """The distinct words of a line (without line breaks) as numbers, rarest first."""
-    level = F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<tinyint>)")
-    low = F.lit((1 << 56) - 1)
+def word_hashes(line: Column) -> Column:
+    """The distinct words of a line as hashes."""
+    return F.array_distinct(F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w)))
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(level, _bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line, _ODD[:-1]), ""), key)))
+def word_keys(hashes: Column, levels: list[int]) -> Column:
+    """Words as numbers, rarest first: the level of a hash's bucket before the lower 56 bits of the hash."""
+    # what turns the upper 8 bits of a hash, which its bucket tells, into its level; never null, so that longs are sorted as such
+    masks = ",".join(str((b >> (LEVEL_BITS - 8)) ^ n) for b, n in enumerate(levels))
+    mask = F.expr(f"cast(split('{masks}', ',') as array<bigint>)")
+    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.shiftleft(F.coalesce(F.get(mask, _bucket(h)), F.lit(0).cast("long")), 56))))
+
+
+def marks(hashes: str) -> Column:
+    """Three words of a line, each the least (one: the greatest) under some order of hashes; similar lines share most of them."""
+    low = F.transform(hashes, lambda h: F.shiftleft(h, 21))
+    return F.array(F.array_min(hashes), F.array_max(hashes), F.array_min(low))
 
 
 def eligible(line: Column, min_words: int = MIN_WORDS) -> Column:
@@ -132,12 +138,12 @@ def representatives(docs: DataFrame, levels: list[int], threshold: Fraction, min
     words under three hashes), and prefix, its rarest words.
     """
     lines = _tagged(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    keyed = lines.filter(eligible(F.col("line"), min_words)).select(*_PLACE, word_keys(F.col("line"), levels).alias("keys"))
+    hashed = lines.filter(eligible(F.col("line"), min_words)).select(*_PLACE, word_hashes(F.col("line")).alias("hashes"))
+    keyed = hashed.select(*_PLACE, marks("hashes").alias("marks"), word_keys(F.col("hashes"), levels).alias("keys"))
     n = F.size("keys")
     rows = keyed.select(F.xxhash64("keys").alias("set"), F.hash("keys", F.lit(1)).alias("set2"), F.struct(*_PLACE).alias("place"),
                         n.alias("n"), parity("keys").alias("parity"), F.when(n > WIDE, parity("keys", True)).alias("half"),
-                        F.array(*[_least_key("keys", k) for k in range(3)]).alias("marks"),
-                        F.slice("keys", F.lit(1), n - _ceil(n, threshold) + 1).alias("prefix"))
+                        "marks", F.slice("keys", F.lit(1), n - _ceil(n, threshold) + 1).alias("prefix"))
     first = rows.groupBy("set", "set2").agg(F.min(F.struct("place", "n", "parity", "half", "marks", "prefix")).alias("m"))
     return materialize(first.select(F.monotonically_increasing_id().alias("id"), "m.place.*", "m.n", "m.parity", "m.half", "m.marks", "m.prefix"), "lines-first")
 
@@ -159,21 +165,20 @@ def _least_key(words: str, number: int) -> Column:
     return F.array_min(F.transform(words, lambda w: w.bitwiseAND(F.lit(low)).bitwiseXOR(mask)))
 
 
-def settle_large_groups(docs: DataFrame, reps: DataFrame, levels: list[int], threshold: Fraction, large: int = LARGE) -> DataFrame | None:
+def settle_large_groups(docs: DataFrame, reps: DataFrame, threshold: Fraction, large: int = LARGE) -> DataFrame | None:
     """Places of lines that share a key with ``large`` open lines or more and match the earliest of these; None if there are none.
 
     Lines meet by any two of their three marks. Later rounds look at the lines
-    that are open after the one before, by marks of their prefixes under other hashes too.
+    that are open after the one before, by marks of their prefixes under other hashes.
     """
     settled, turn = None, 0
     while True:
         own = reps
         if settled is not None:
             own = own.join(settled, _same_place(own, settled), "left_anti")
+        if turn:  # those that share the marks of the round before have met its earliest lines
+            own = own.withColumn("marks", F.array(*[_least_key("prefix", 3 * turn + k) for k in range(3)]))
         keyed = own.select("id", *_PLACE, "n", "parity", "half", F.explode(_pairs_of("marks")).alias("key"))
-        if turn:
-            more = own.select("id", *_PLACE, "n", "parity", "half", F.array(*[_least_key("prefix", 3 * turn + k) for k in range(3)]).alias("own"))
-            keyed = keyed.unionByName(more.select("id", *_PLACE, "n", "parity", "half", F.explode(_pairs_of("own")).alias("key")))
         hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= large).select("key"), "lines-hot")
         many = hot.count()
         if not many:
@@ -185,12 +190,14 @@ def settle_large_groups(docs: DataFrame, reps: DataFrame, levels: list[int], thr
                      & _apart("a", "b", F.col("a.n"), F.col("b.n"), threshold))
         pairs = materialize(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "lines-met")
         discard(hot, shared)
-        gone = later_places(similar_pairs(docs, reps, pairs, levels, threshold))
-        found, turn = gone.count(), turn + 1
-        if found:
+        similar = similar_pairs(docs, reps, pairs, threshold)
+        largest = similar.groupBy("b").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
+        if largest:
+            gone = later_places(similar)
             settled = gone if settled is None else materialize(settled.unionByName(gone), "lines-settled")
-        if found < AGAIN:
+        if largest < AGAIN:
             return settled
+        turn += 1
 
 
 def _pairs_of(marks: str) -> Column:
@@ -229,7 +236,7 @@ def candidate_pairs(reps: DataFrame, threshold: Fraction, settled: DataFrame | N
     return materialize(joined.select(known.alias("a"), F.col("b.id").alias("b")).distinct(), "lines-pairs")
 
 
-def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, levels: list[int], threshold: Fraction) -> DataFrame:
+def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
     """Places (a, b) of the pairs of ids whose sets of words have at least the threshold's Jaccard similarity; a table of its own."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = reps.select("id", *_PLACE).join(ids, "id").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
@@ -237,10 +244,12 @@ def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, levels: li
     small = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] <= MOST_BROADCAST
     w = (F.broadcast(wanted) if small else wanted).alias("w")
     found = docs.select("doc_id", "text").alias("t").join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).filter(tag_of("text") == F.col("w.tag"))
-    found = found.select("t.doc_id", "w.tag", F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
-    found = found.select("w.id", F.struct("doc_id", "tag", "w.line_no").alias("place"), F.get("lines", F.col("w.line_no")).alias("line"))
-    keyed = materialize(found.select("id", "place", word_keys(F.col("line"), levels).alias("keys")), "lines-sets")
-    sets = keyed.dropDuplicates(["place"])
+    found = found.select("t.doc_id", "w.tag", "wanted", F.split("text", "\n").alias("lines"))
+    each = F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["line_no"].alias("line_no"), F.get("lines", w["line_no"]).alias("line")))
+    found = found.select("doc_id", "tag", F.explode(each).alias("w"))  # a row holds its own line alone, however long the text
+    found = found.select("w.id", F.struct("doc_id", "tag", "w.line_no").alias("place"), word_hashes(F.col("w.line")).alias("keys"))
+    keyed = materialize(found, "lines-sets")
+    sets = keyed.dropDuplicates(["id"])  # an id is a place; fully repeated rows give it more than once
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("keys").alias("ka")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("keys").alias("kb")), "b")
     common = F.size(F.array_intersect("ka", "kb"))
@@ -264,8 +273,8 @@ def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, min_words: int
     """doc_id, tag and kept, the numbers of a document's lines (from 0) that are eligible and stay."""
     levels = rarity_levels(docs)
     reps = representatives(docs, levels, threshold, min_words)
-    settled = settle_large_groups(docs, reps, levels, threshold, large)
-    gone = later_places(similar_pairs(docs, reps, candidate_pairs(reps, threshold, settled), levels, threshold))
+    settled = settle_large_groups(docs, reps, threshold, large)
+    gone = later_places(similar_pairs(docs, reps, candidate_pairs(reps, threshold, settled), threshold))
     gone = gone if settled is None else gone.unionByName(settled)
     left = reps.select(*_PLACE).join(gone, _same_place(reps, gone), "left_anti")
     return left.groupBy("doc_id", "tag").agg(F.collect_list("line_no").alias("kept"))

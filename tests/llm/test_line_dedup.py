@@ -76,7 +76,7 @@ def test_a_large_group_of_near_copies_is_linear_and_exact(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == brute([(r[0], r[1]) for r in rows])
     levels = line_dedup.rarity_levels(docs)
     reps = line_dedup.representatives(docs, levels, Fraction(4, 5), 1)
-    settled = line_dedup.settle_large_groups(docs, reps, levels, Fraction(4, 5))
+    settled = line_dedup.settle_large_groups(docs, reps, Fraction(4, 5))
     assert line_dedup.candidate_pairs(reps, Fraction(4, 5), settled).count() < 20 * 500
     assert line_dedup.candidate_pairs(reps, Fraction(4, 5)).count() > 100 * 500
 

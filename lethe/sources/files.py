@@ -34,12 +34,13 @@ def safe_member(name: str) -> str | None:
     return None if name.startswith(("/", "../")) or name in ("..", ".") else name
 
 
-def members(name: str, data: bytes, depth: int = DEPTH) -> Iterator[tuple[str, bytes]]:
-    """(path, content) of an archive's regular files. Links are skipped; nested archives become folders beside them."""
+def members(name: str, data: bytes, depth: int = DEPTH) -> Iterator[tuple[str, bytes | None]]:
+    """(path, content) of an archive's regular files; ("", None) if it can't be opened. Links are skipped; nested archives become folders beside them."""
     try:
         with tarfile.open(fileobj=io.BytesIO(data)) as tar:
             found = [(p, tar.extractfile(m).read()) for m in tar if m.isfile() and (p := safe_member(m.name))]
     except (tarfile.TarError, EOFError, OSError, lzma.LZMAError):
+        yield "", None
         return
     tops = {p.split("/", 1)[0] for p, _ in found}
     if len(tops) == 1 and all("/" in p for p, _ in found):  # one wrapper folder that holds every file
@@ -53,13 +54,15 @@ def members(name: str, data: bytes, depth: int = DEPTH) -> Iterator[tuple[str, b
                 folder = f"{ARCHIVE.sub('', p)}_{k}"
             taken.add(folder)
             for q, e in members(p, d, depth - 1):
-                yield f"{folder}/{q}", e
+                yield f"{folder}/{q}" if q else p, e
         else:
             yield p, d
 
 
-def decoded(path: str, data: bytes) -> str | None:
+def decoded(path: str, data: bytes | None) -> str | None:
     """The text of a file, decompressed by its name; None where it can't be."""
+    if data is None:
+        return None
     end = posixpath.splitext(path)[1].lower()
     if end in OPENERS and not ARCHIVE.search(path):
         try:
@@ -70,7 +73,15 @@ def decoded(path: str, data: bytes) -> str | None:
 
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """files(path, text) of any mix of folders, files and archives. Paths of members follow their archive's."""
+    """read_all() without what can't be opened."""
+    return read_all(spark, *paths).filter(F.col("text").isNotNull())
+
+
+def read_all(spark: SparkSession, *paths: str) -> DataFrame:
+    """files(path, text) of any mix of folders, files and archives. Paths of members follow their archive's.
+
+    The text is null where a file or an archive can't be opened.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,7 +93,7 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
                     yield pd.DataFrame({"path": [full], "text": [decoded(full, content)]})
 
     out = raw.mapInPandas(run, "path string, text string")
-    return out.filter(~basename(F.col("path")).rlike(DROPPED) & F.col("text").isNotNull())
+    return out.filter(~basename(F.col("path")).rlike(DROPPED))
 
 
 def from_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:

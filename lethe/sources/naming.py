@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.rewrite import by_dictionary
+
 MARK = "_scrubbed"
 COMPRESSED = r"(?i)\.(?:gz|xz|bz2)$"
 ARCHIVE = r"(?i)\.(?:txz|tgz|tbz|tbz2|tar|tar\.(?:gz|xz|bz2))$"
@@ -21,11 +23,9 @@ def output_path(path: Column) -> Column:
 
 
 def renamed(path: Column, domains: dict[str, str], hosts: dict[str, str]) -> Column:
-    """A path with domains and then host names replaced as plain strings, longest first."""
+    """A path with domains and then host names replaced as plain strings, the longest that fits at each place."""
     for mapping in (domains, hosts):
-        for real, fake in sorted(mapping.items(), key=lambda kv: (-len(kv[0]), kv[0])):
-            if real:
-                path = F.replace(path, F.lit(real), F.lit(fake))
+        path = by_dictionary(path, {real: fake for real, fake in mapping.items() if real}, flags="", fold=False)
     return path
 
 

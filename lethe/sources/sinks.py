@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import bz2
+import gzip
 import hashlib
 import io
 import json
+import lzma
 import os
 import tarfile
 from collections.abc import Iterator
@@ -20,6 +23,10 @@ from ..operators.allocate import SubnetMap
 from .naming import output_path
 
 
+#: Files are compressed as their names say.
+PACKERS = {".gz": lambda d: gzip.compress(d, mtime=0), ".xz": lzma.compress, ".bz2": bz2.compress}
+
+
 def write_files(files: DataFrame, folder: str, root: str = "") -> DataFrame:
     """Write every (path, text) below ``folder``, which all executors must share; paths lose ``root``. Returns (path, bytes) of what was written."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,7 +38,7 @@ def write_files(files: DataFrame, folder: str, root: str = "") -> DataFrame:
                 if not os.path.realpath(target).startswith(os.path.realpath(folder) + os.sep):
                     raise ValueError(f"{path} leads out of {folder}")
                 target.parent.mkdir(parents=True, exist_ok=True)
-                data = (text or "").encode()
+                data = PACKERS.get(target.suffix.lower(), bytes)((text or "").encode())
                 part = target.with_name(f".{target.name}.{os.getpid()}")  # a task that runs again replaces whole files
                 part.write_bytes(data)
                 os.replace(part, target)

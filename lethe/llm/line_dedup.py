@@ -52,6 +52,8 @@ WIDE = 64
 LARGE, AGAIN = 32, 1_000
 #: Most rows that are broadcast; a join with more shuffles.
 MOST_BROADCAST = 200_000
+#: Most hashes in sets that are broadcast, 32 MB.
+MOST_HASHES = 4_000_000
 
 _PLACE = ("doc_id", "tag", "line_no")
 _ODD = "\t\x0b\x0c\r\n"
@@ -248,15 +250,16 @@ def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold:
     each = F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["line_no"].alias("line_no"), F.get("lines", w["line_no"]).alias("line")))
     found = found.select("doc_id", "tag", F.explode(each).alias("w"))  # a row holds its own line alone, however long the text
     found = found.select("w.id", F.struct("doc_id", "tag", "w.line_no").alias("place"), word_hashes(F.col("w.line")).alias("keys"))
-    keyed = materialize(found, "lines-sets")
-    sets = keyed.dropDuplicates(["id"])  # an id is a place; fully repeated rows give it more than once
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("keys").alias("ka")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("keys").alias("kb")), "b")
+    sets = materialize(found.dropDuplicates(["id"]), "lines-sets")  # an id is a place; fully repeated rows give it more than once
+    few = sets.agg(F.coalesce(F.sum(F.size("keys") + 4), F.lit(0))).first()[0] <= MOST_HASHES
+    met = F.broadcast(sets) if few else sets  # an earliest line may have a third of all pairs; Spark splits such partitions where it shuffles
+    both = pairs.join(met.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("keys").alias("ka")), "a").join(
+        met.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("keys").alias("kb")), "b")
     common = F.size(F.array_intersect("ka", "kb"))
     union = F.size("ka") + F.size("kb") - common
     alike = both.filter(common * threshold.denominator >= union * threshold.numerator)
     out = materialize(alike.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "lines-similar")
-    discard(pairs, wanted, keyed)
+    discard(pairs, wanted, sets)
     return out
 
 

@@ -282,32 +282,51 @@ def encode_column(docs: DataFrame, path: str | None = None, text: str = "text",
     new name.
     """
     path = path or default_path()
-
-    def make(texts: pa.Array) -> list[pa.Array]:
-        values, offsets = bytearray(), [0]
-        for ids in codec(path).encode_texts((t.as_py() or "" for t in texts), special):
-            values += ids
-            offsets.append(len(values) // 4)
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32), pa.int32()))]
-
-    return append_columns(docs, [text], T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()), False)]), make)
+    return append_columns(docs, [text], T.StructType([_ids_field(ids)]), lambda texts: [_encoded(path, texts, special)])
 
 
 def decode_column(encoded: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` and the string column ``text`` of what its ``ids`` stand for; null ids count as none."""
     path = path or default_path()
+    return append_columns(encoded, [ids], T.StructType([T.StructField(text, T.StringType(), False)]), lambda lists: [_decoded(path, lists)])
+
+
+def recode_column(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` without ``text``, with its ids as encode_column() gives them and what these stand for as decode_column() does.
+
+    One pass: a task has one Python worker for both, and whole texts don't come back from it.
+    """
+    path = path or default_path()
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        lists = _encoded(path, texts, True)
+        return [lists, _decoded(path, lists)]
+
+    fields = T.StructType([_ids_field(ids), T.StructField(decoded, T.StringType(), False)])
+    return append_columns(docs, [text], fields, make, without=(text,))
+
+
+def _ids_field(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType()), False)
+
+
+def _encoded(path: str, texts: pa.Array, special: bool) -> pa.Array:
+    values, offsets = bytearray(), [0]
+    for ids in codec(path).encode_texts((t.as_py() or "" for t in texts), special):
+        values += ids
+        offsets.append(len(values) // 4)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32), pa.int32()))
 
-    def make(lists: pa.Array) -> list[pa.Array]:
-        c = codec(path)
-        flat, at = lists.values.fill_null(-1).to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
-        return [pa.array([c.decode(flat[a:b].tolist() if x.is_valid else []) for x, a, b in zip(lists, at, at[1:])], pa.string())]
 
-    return append_columns(encoded, [ids], T.StructType([T.StructField(text, T.StringType(), False)]), make)
+def _decoded(path: str, lists: pa.Array) -> pa.Array:
+    c = codec(path)
+    flat, at = lists.values.fill_null(-1).to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+    return pa.array([c.decode(flat[a:b].tolist() if x.is_valid else []) for x, a, b in zip(lists, at, at[1:])], pa.string())
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    coded = decode_column(encode_column(docs.select("doc_id", "text"), path).drop("text"), path)
+    coded = recode_column(docs.select("doc_id", "text"), path)
     return coded.select("doc_id", *digest_columns())
 
 

@@ -93,21 +93,25 @@ def free_name(df: DataFrame, name: str) -> str:
 SLICE = 256
 
 
-def append_columns(df: DataFrame, inputs: list[str], fields: T.StructType, make: Callable[..., list[pa.Array]]) -> DataFrame:
-    """``df`` and the columns ``fields``, which ``make`` computes from Arrow arrays of the columns ``inputs``.
+def append_columns(df: DataFrame, inputs: list[str], fields: T.StructType, make: Callable[..., list[pa.Array]], without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` (but for its columns ``without``) and the columns ``fields``, which ``make`` computes from Arrow arrays of the columns ``inputs``.
 
     Works on ``SLICE`` rows at a time, so that the memory of a Python worker
-    follows the longest rows and not the batch size.
+    follows the longest rows and not the batch size. Workers live on between
+    stages; what Arrow holds in reserve is let go when a partition is over.
     """
     at = [df.columns.index(c) for c in inputs]
-    arrow = to_arrow_schema(T.StructType([*df.schema.fields, *fields.fields]))
+    passed = [k for k, c in enumerate(df.columns) if c not in without]
+    schema = T.StructType([*(df.schema.fields[k] for k in passed), *fields.fields])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(i, SLICE)
-                columns = [*batch.columns, *make(*(batch.column(k) for k in at))]
+                columns = [*(batch.column(k) for k in passed), *make(*(batch.column(k) for k in at))]
                 yield pa.RecordBatch.from_arrays(
                     [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields.fields]))
+    return df.mapInArrow(run, schema)

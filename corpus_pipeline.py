@@ -40,7 +40,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The stream in tokens: doc_id, lang, source, ids, n_tokens, and digests of the ids and of their decoded text."""
-    coded = bpe.decode_column(bpe.encode_column(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    coded = bpe.recode_column(docs.select("doc_id", "lang", "source", "text"))
     return coded.select("doc_id", "lang", "source", "ids", *bpe.digest_columns())
 
 

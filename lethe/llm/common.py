@@ -7,7 +7,8 @@ import gc
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR[0]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def materialize(df: DataFrame, label: str, options: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back. options: of the writer.
 
     Lineage ends there: losing an executor later costs no recomputation, and
     what reads the result twice computes it once. Shuffle files of steps that
@@ -60,7 +61,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out), path)
     return out

@@ -9,12 +9,14 @@ by that estimate, half by the product of the nodes below it, from the deepest
 up.  The trained tree is frozen: the probability of a decision mixes the
 estimates of all depths, each by its posterior weight.
 
-Scale: documents are gathered into blocks of some megabytes, which are written
-once.  A block counts its distinct grams (a context and the byte after it) and
-words, so that the shuffles carry a row for each distinct gram of a block and
-not for each byte.  The tree is built level by level with joins and groups on
-packed keys; nothing of it is collected or forced into a broadcast.  A block
-then asks for the values of its grams, and adds them up document by document.
+Scale: a pass over the texts counts grams (a context and the byte after it), and
+another one words, some megabytes of text at a time, so that the shuffles carry
+a row for each distinct gram or word of such a stretch.  The tree is built level
+by level with joins and groups on packed keys.  Only the ``HOT_GRAMS`` most
+frequent grams and ``HOT_WORDS`` most frequent words, fixed numbers, are sent to
+all tasks; texts are scored against these in a third, narrow pass, which leaves
+behind what else each document has, and that meets the tree and the word counts
+by joins. No text is shuffled, and no count is left out.
 
 Nulls, repeated rows, empty tables: a null text is an empty one (its end mark
 is scored); a null doc_id is never held out; every row is a document of its
@@ -30,6 +32,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,10 @@ from .common import discard, materialize, table
 
 #: Bytes of the longest context; at most 5, so that a gram and a place fit 64 bits.
 DEPTH = 4
-#: Bytes after which a block is closed; a longer text is a block of its own.
-BLOCK_BYTES = 3 << 20
+#: Bytes of texts that are counted together, and that are scored together; a longer text stands alone. Distinct grams grow far slower than these.
+COUNT_BYTES, SCORE_BYTES = 24 << 20, 4 << 20
+#: Grams and words that every task holds: 16 MB, and some 30 MB. All others are joined.
+HOT_GRAMS, HOT_WORDS = 1 << 20, 1 << 18
 #: The end mark, a byte that UTF-8 never holds.
 END = b"\xff"
 #: The word that stands for the end of a text.
@@ -52,13 +57,10 @@ END_WORD = b""
 #: A depth stands above the context and the decision in the key of a node.
 DEPTH_SHIFT = 56
 
-BLOCKS = T.StructType([
-    T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("learnt", T.ArrayType(T.BooleanType())),
-    T.StructField("texts", T.ArrayType(T.BinaryType())), T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("gram_n", T.ArrayType(T.LongType())),
-    T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("word_n", T.ArrayType(T.LongType()))])
-SCORES = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
-    T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+COLD = T.StructType([
+    T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_bytes", T.LongType()),
+    T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
+    T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.BinaryType()))])
 
 
 def grams_of(texts: list[bytes], depth: int) -> np.ndarray:
@@ -86,66 +88,68 @@ def _pieces(grams: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np
         yield start, keys[first], first, (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def counted(grams: np.ndarray, learnt: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams, ascending, and how often each occurs among the first ``learnt``."""
-    found, n = [], []
-    for start, keys, first, places in _pieces(grams, depth):
-        found.append(keys)
-        n.append(np.add.reduceat((places + start < learnt).astype(np.int64), first))
-    if len(found) == 1:
-        return found[0], n[0]
-    keys, at = np.unique(np.concatenate(found), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate(n), len(keys)).astype(np.int64)
-
-
-def looked_up(grams: np.ndarray, keys: np.ndarray, values: np.ndarray, depth: int) -> np.ndarray:
-    """The value of every gram. keys: ascending, with all grams among them."""
-    out = np.empty(len(grams))
-    for start, found, first, places in _pieces(grams, depth):
-        own = values[np.searchsorted(keys, found)]
-        out[start + places] = np.repeat(own, np.diff(np.r_[first, len(places)]))
-    return out
-
-
-def _block(number: int, rows: list[tuple[int | None, bytes, bool]], depth: int) -> dict:
-    rows = sorted(rows, key=lambda r: not r[2])  # texts to learn from stand first
-    texts = [t for _, t, _ in rows]
-    learnt = sum(len(t) + 1 for _, t, known in rows if known)
-    grams, n = counted(grams_of(texts, depth), learnt, depth)
-    words: Counter = Counter()
-    for _, t, known in rows:
-        own = Counter(t.split())
-        own[END_WORD] += 1
-        words.update(own if known else dict.fromkeys(own, 0))
-    return {"block": number, "ids": [i for i, _, _ in rows], "learnt": [k for _, _, k in rows], "texts": texts,
-            "grams": grams, "gram_n": n, "words": list(words), "word_n": list(words.values())}
-
+def counted(grams: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, ascending, and how often each occurs."""
+    found = [(keys, np.diff(np.r_[first, len(places)])) for _, keys, first, places in _pieces(grams, depth)]
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+
+
+def looked_up(grams: np.ndarray, keys: np.ndarray, values: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value of every gram, 0 for those that are not among ``keys`` (ascending), and the places of these."""
+    out, missing = np.zeros(len(grams)), []
+    for start, own, first, places in _pieces(grams, depth):
+        at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+        known = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+        size = np.diff(np.r_[first, len(places)])
+        out[start + places] = np.repeat(np.where(known, values[at] if len(keys) else 0.0, 0.0), size)
+        missing.append(start + places[np.repeat(~known, size)])
+    return out, np.sort(np.concatenate(missing))
+
+
+def _data(text: pa.Scalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "replace").lower()
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
+    """The rows of batches, with the text (last) in folded bytes, in lists of up to so many bytes of text."""
+    rows, size = [], 0
+    for batch in batches:
+        *others, texts = batch.columns
+        for *more, text in zip(*others, texts):
+            data = _data(text)
+            if rows and size + len(data) > most:
+                yield rows
+                rows, size = [], 0
+            rows.append((*(x.as_py() for x in more), data))
+            size += len(data) + 1
+    if rows:
+        yield rows
+    pa.default_memory_pool().release_unused()
+
+
+def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """gram, n of ``texts`` (text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _stretches(batches, COUNT_BYTES):
+            grams = grams_of([t for t, in rows], depth)
+            keys, n = counted(grams, depth)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["gram", "n"])
 
-def blocks_of(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame:
-    """``docs`` (doc_id, text) in blocks, with their distinct grams and words and how often these occur in texts to learn from."""
-    arrow = to_arrow_schema(BLOCKS)
+    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
-    def one(number: int, rows: list) -> pa.RecordBatch:
-        row = _block(number, rows, depth)
-        return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in arrow], schema=arrow)
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word (bytes), n of ``texts`` (text); every text has one END_WORD."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            for i, text, known in zip(*(batch.column(k) for k in range(3))):
-                data = (text.as_py() or "").encode("utf-8", "replace").lower()
-                if rows and size + len(data) > BLOCK_BYTES:
-                    yield one(number, rows)
-                    number, rows, size = number + 1, [], 0
-                rows.append((i.as_py(), data, known.as_py()))
-                size += len(data) + 1
-        if rows:
-            yield one(number, rows)
-        pa.default_memory_pool().release_unused()
-
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(learn, F.lit(True)).alias("learn"))
-    # Rows of some megabytes: Parquet must look at its buffer after each, not after a hundred.
-    return materialize(own.mapInArrow(run, BLOCKS), "lm-blocks", {"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
+        for rows in _stretches(batches, COUNT_BYTES):
+            n: Counter = Counter()
+            for text, in rows:
+                n.update(text.split())
+            n[END_WORD] += len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def log_gamma(z: Column) -> Column:
@@ -229,16 +233,10 @@ def predict(grams: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFrame
     return known.unionAll(deepest.groupBy("gram").agg(F.sum(F.log10(chance)).alias("value")))
 
 
-def _asks(blocks: DataFrame, key: str) -> DataFrame:
-    """block, at, key and n: what each block has of distinct grams or words."""
-    both = F.arrays_zip(F.col(f"{key}s").alias("k"), F.col(f"{key}_n").alias("n"))
-    return blocks.select("block", F.posexplode(both).alias("at", "x")).select("block", "at", F.col("x.k").alias(key), F.col("x.n").alias("n"))
-
-
-def _answers(asks: DataFrame, known: DataFrame, key: str, value: str) -> DataFrame:
-    """block and the pairs (at, value) of what it asked for."""
-    return asks.select("block", "at", key).join(known.select(key, value), key).groupBy("block").agg(
-        F.collect_list("at").alias(f"{key}_at"), F.collect_list(value).alias(f"{key}_value"))
+def _hot(table: DataFrame, key: str, value: str, most: int) -> tuple[list, np.ndarray]:
+    """Keys and values of a table of up to ``most`` rows."""
+    rows = table.select(key, value).limit(most).toArrow()
+    return rows.column(0), rows.column(1).to_numpy()
 
 
 def score(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame:
@@ -247,45 +245,55 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame:
     score: the logarithm to base 10 of the probability of the text and its end.
     base_score: the sum over words and the end by smoothed word counts.
     """
-    blocks = blocks_of(docs, learn, depth)
-    asked, worded = _asks(blocks, "gram"), _asks(blocks, "word")
-    grams = materialize(asked.groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
-    nodes = fit(grams.filter("n > 0"), depth)
-    values = predict(grams, nodes, depth)
-    words = materialize(worded.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "lm-words")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~F.coalesce(learn, F.lit(True))).alias("held_out"), F.col("text").cast("string").alias("text"))
+    grams = materialize(gram_counts(own.filter(~F.col("held_out")), depth), "lm-grams")
+    nodes = fit(grams, depth)
+    frequent = grams.orderBy(F.desc("n"), "gram").limit(HOT_GRAMS)
+    hot_keys, hot_values = _hot(predict(frequent, nodes, depth), "gram", "value", HOT_GRAMS)
+    order = np.argsort(keys := hot_keys.to_numpy())
+    hot_keys, hot_values = keys[order], hot_values[order]
+    words = materialize(word_counts(own.filter(~F.col("held_out"))), "lm-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()  # one row
+    hot_words, hot_n = _hot(words.orderBy(F.desc("n"), "word").limit(HOT_WORDS), "word", "n", HOT_WORDS)
     least = total.tokens + total.distinct + 1
-    arrow = to_arrow_schema(SCORES)
+    shared = docs.sparkSession.sparkContext.broadcast((hot_keys, hot_values, hot_words.to_pylist(), hot_n))  # of a fixed size at most
+    arrow = to_arrow_schema(COLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(k)[r] for k, name in enumerate(batch.schema.names)}
-                texts, learnt = row["texts"].as_py(), row["learnt"].as_py()
-                numbers = {name: np.asarray(row[name].values) if row[name].is_valid else np.zeros(0) for name in ("grams", "gram_at", "gram_value", "word_at", "word_value")}
-                value = np.empty(len(numbers["grams"]))
-                value[numbers["gram_at"]] = numbers["gram_value"]
-                each = looked_up(grams_of(texts, depth), numbers["grams"], value, depth)
-                sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-                own = np.add.reduceat(each, np.r_[0, np.cumsum(sizes)[:-1]])
-                names = row["words"].as_py()
-                n = np.zeros(len(names), np.int64)
-                if len(numbers["word_at"]):
-                    n[numbers["word_at"]] = numbers["word_value"]
-                place, base = dict(zip(names, range(len(names)))), np.log10((n + 1) / least)
-                end, out = place[END_WORD], []
-                for text in texts:
-                    at = np.fromiter(map(place.__getitem__, text.split()), np.int64)
-                    out.append((len(at) + 1, int((n[at] > 0).sum() + (n[end] > 0)), float(base[at].sum() + base[end])))
-                tokens, seen, base_score = zip(*out)
-                columns = [row["ids"].as_py(), [not k for k in learnt], tokens, seen, base_score, own, own / sizes * -math.log2(10)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
-        pa.default_memory_pool().release_unused()
-
-    joined = blocks.select("block", "ids", "learnt", "texts", "grams", "words").join(_answers(asked, values, "gram", "value"), "block", "left").join(
-        _answers(worded, words, "word", "n"), "block", "left").drop("block")
-    out = joined.mapInArrow(run, SCORES).withColumn("train_tokens", F.lit(total.tokens).cast("long"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+        keys, values, names, n = shared.value
+        place, base, row = dict(zip(names, range(len(names)))), np.log10((n + 1) / least), TaskContext.get().partitionId() << 33
+        for rows in _stretches(batches, SCORE_BYTES):
+            texts = [t for *_, t in rows]
+            every = grams_of(texts, depth)
+            each, missing = looked_up(every, keys, values, depth)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            scores = np.add.reduceat(each, starts[:-1])
+            cuts = np.searchsorted(missing, starts)
+            counts = []
+            for text in texts:
+                own_words = [*text.split(), END_WORD]
+                at = np.fromiter(map(place.get, own_words, repeat(-1)), np.int64, len(own_words))
+                known = at[at >= 0]
+                cold = [own_words[k] for k in np.flatnonzero(at < 0).tolist()]
+                counts.append((len(own_words), len(known), float(base[known].sum()), cold))
+            tokens, seen, base_scores, cold = zip(*counts)
+            columns = [range(row, row + len(rows)), [r[0] for r in rows], [r[1] for r in rows], np.diff(starts), tokens, seen, base_scores, scores,
+                       [every[missing[a:b]] for a, b in zip(cuts, cuts[1:])], cold]
+            row += len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    parts = materialize(own.mapInArrow(run, COLD), "lm-parts")
+    rare = parts.select("row", F.explode("grams").alias("gram")).groupBy("row", "gram").agg(F.count(F.lit(1)).alias("times"))
+    asked = materialize(rare.select("gram").distinct().join(grams, "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n")), "lm-asked")
+    more = rare.join(predict(asked, nodes, depth), "gram").groupBy("row").agg(F.sum(F.col("value") * F.col("times")).alias("more"))
+    seldom = parts.select("row", F.explode("words").alias("word")).join(words, "word", "left").groupBy("row").agg(
+        F.count("n").alias("known_more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(least)))).alias("base_more"))
+    out = parts.drop("grams", "words").join(more, "row", "left").join(seldom, "row", "left")
+    zero = F.lit(0.0)
+    scored = F.col("score") + F.coalesce("more", zero)
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), F.lit(total.tokens).cast("long").alias("train_tokens"),
+        (F.col("base_score") + F.coalesce("base_more", zero)).alias("base_score"), scored.alias("score"), (scored * -math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def learnt_from(doc_id: Column) -> Column:

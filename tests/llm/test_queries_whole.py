@@ -16,7 +16,7 @@ def folders(spark, tmp_path_factory):
     return full, empty
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - {"op13_centroids"}))  # that reads no documents
 def test_awkward_rows_and_empty_tables(spark, folders, name):
     full, empty = folders
     out = queries.QUERIES[name](spark, full)

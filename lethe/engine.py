@@ -11,8 +11,9 @@ import copy
 import re
 from collections.abc import Mapping as MappingType
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import entities as E
@@ -24,8 +25,8 @@ from .sources.config import Config
 from .sources.tables import materialize
 
 HEADER = "#" + "-" * 93 + "\n# INFO: sensitive data was removed from this file. Review before sharing.\n#" + "-" * 93 + "\n\n"
-#: Most entries of a learned dictionary. Dictionaries come from a system's own configuration files.
-MOST_NAMES = 50_000
+#: Most names of a category that travel as a pattern; more are a table, and meet the texts by a join.
+MOST_NAMES = 5_000
 #: file: headers of the sections from which domains are learned; those in TRUSTED may have any top-level name.
 DOMAIN_SECTIONS = {
     "network.txt": ("# /etc/hosts", "# /etc/resolv.conf", "# /bin/nmcli", "# /usr/bin/nmcli"), "nfs.txt": ("# /bin/egrep",),
@@ -42,39 +43,54 @@ def split_seeds(value: str | None) -> list[str]:
 
 @dataclass
 class Mapping:
-    """Frozen knowledge: dictionaries by category, networks, and the seeds that came with it."""
+    """Frozen knowledge: dictionaries by category, or tables (real, fake) where they are large, networks, and the seeds that came with it."""
 
     names: dict[str, dict[str, str]] = field(default_factory=dict)  # domain, hostname, user, keyword, serial, sid
     subnets: SubnetMap = field(default_factory=SubnetMap)
     tld_map: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)  # of categories that are in no dictionary
 
     def category(self, name: str) -> dict[str, str]:
+        """A category's dictionary; of one that is a table there is none."""
+        if name in self.tables:
+            raise KeyError(f"{name} is a table of more than {MOST_NAMES} names")
         return self.names.setdefault(name, {})
 
+    def known(self, name: str, spark: SparkSession) -> DataFrame:
+        """A category's names as real, fake."""
+        return self.tables[name] if name in self.tables else spark.createDataFrame(list(self.names.get(name, {}).items()), "real string, fake string")
+
+    def hold(self, name: str, found: DataFrame) -> None:
+        """Add ``found`` (real, fake) to a category, in the order of the numbers in its fakes."""
+        found = materialize(found.select("real", "fake"), f"names-{name}")
+        held = self.names.setdefault(name, {})
+        if name not in self.tables and found.limit(MOST_NAMES + 1).count() + len(held) <= MOST_NAMES:
+            order = F.regexp_extract("fake", r"(\d+)", 1).cast("long")
+            held |= {r.real: r.fake for r in found.orderBy(F.length("fake") - F.length(F.translate("fake", ".", "")), order, "real").collect()}
+        else:
+            self.tables[name] = found.unionByName(self.known(name, found.sparkSession))
+            self.names[name] = {}
 
-class TooManyNames(ValueError):
-    pass
-
-
-def _collected(mapping: DataFrame, what: str) -> dict[str, str]:
-    rows = mapping.select("real", "fake").limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise TooManyNames(f"more than {MOST_NAMES} entries of {what}; map them with rewrite.by_mapping() instead")
-    return {r.real: r.fake for r in rows}
+    def size(self, name: str) -> int:
+        return self.tables[name].count() if name in self.tables else len(self.names.get(name, {}))
 
 
-def _extended(known: MappingType[str, str], found: DataFrame, form, what: str, start: int, seeds: list[str] = ()) -> dict[str, str]:
-    """``known``, then ``seeds``, then what ``found`` adds in the order of first sight."""
-    out = dict(known)
+def _extend(out: Mapping, category: str, found: DataFrame, form, start: int, seeds: list[str] = ()) -> None:
+    """Add ``seeds``, and then what ``found`` has besides, numbered by first sight."""
     spark = found.sparkSession
-    for s in seeds:
-        if s not in out:
-            n = spark.createDataFrame([(s, str(len(out) + start))], "real string, n string").select(form(F.col("real"), F.col("n"))).first()[0]
-            out[s] = n
-    if out:
-        old = spark.createDataFrame([(k,) for k in out], "real string")
-        found = found.join(F.broadcast(old), "real", "left_anti")
-    return out | _collected(allocate.serial_mapping(found, form, len(out) + start).orderBy("first_path", "first_pos", "real"), what)
+    out.names.setdefault(category, {})
+    known = out.known(category, spark)
+    given = spark.createDataFrame([(s, i) for i, s in enumerate(dict.fromkeys(seeds))], "real string, i long").join(known, "real", "left_anti")
+    own = [r.real for r in given.orderBy("i").collect()]  # what the caller passed
+    for s, n in zip(own, range(out.size(category) + start, 1 << 62)):
+        fake = spark.range(1).select(form(F.lit(s), F.lit(str(n)))).first()[0]
+        if category in out.tables:
+            out.hold(category, spark.createDataFrame([(s, fake)], "real string, fake string"))
+        else:
+            out.names.setdefault(category, {})[s] = fake
+    new = materialize(found.join(out.known(category, spark).select("real"), "real", "left_anti").select("real", "path", "pos"), f"new-{category}")
+    if not new.isEmpty():
+        out.hold(category, allocate.serial_mapping(new, form, out.size(category) + start))
 
 
 def _named(prefix: str):
@@ -91,14 +107,17 @@ def learn(files: DataFrame, config: Config | None = None, known: Mapping | None
     config, known, seeds = config or Config(), known or Mapping(), seeds or {}
     if from_text is None:
         from_text = files.filter(basename(F.col("path")) == "basic-environment.txt").isEmpty()
-    out = Mapping({k: dict(v) for k, v in known.names.items()}, copy.deepcopy(known.subnets), dict(known.tld_map))
+    out = Mapping({k: dict(v) for k, v in known.names.items()}, copy.deepcopy(known.subnets), dict(known.tld_map), dict(known.tables))
     out.subnets.pools, out.subnets.infer = config.pools, config.default_infer_prefixlen
     parts = discover.sections(files)
+    seen_in_texts = materialize(names.in_texts(files), "learned") if from_text else None  # one pass for all categories
+    of = lambda category: seen_in_texts.filter(F.col("category") == category).select("path", "pos", "real")
     if config.obfuscate_private_ip or config.obfuscate_public_ip:
-        allocate.allocate_subnets(discover.ipv4_candidates(files), config.obfuscate_private_ip, config.obfuscate_public_ip, out.subnets)
+        addresses = discover.ipv4_parsed(of("ip").withColumnRenamed("real", "hit")) if from_text else discover.ipv4_candidates(files)
+        allocate.allocate_subnets(addresses, config.obfuscate_private_ip, config.obfuscate_public_ip, out.subnets)
     if config.obfuscate_domain:
         if from_text:
-            found = domains.extract(files)
+            found = of("domain")
         else:
             wanted = discover.any_of((basename(F.col("path")) == f) & F.col("header").isin(*h) for f, h in DOMAIN_SECTIONS.items())
             own = parts.filter(wanted).withColumn("line", F.substring_index("line", "#", 1))
@@ -108,64 +127,76 @@ def learn(files: DataFrame, config: Config | None = None, known: Mapping | None
         if given := seeds.get("domain"):
             extra = files.sparkSession.createDataFrame([(d.lower().strip("."),) for d in given], "d string").select(F.explode(domains.parents(F.col("d"))).alias("real"))
             seen = discover.first_seen(found.unionByName(extra.select(F.lit("").alias("path"), F.lit(0).alias("pos"), "real")), "real").drop("n")
-        old = out.category("domain")
-        out.names["domain"] = old | _collected(domains.hierarchy(seen, old, out.tld_map), "domains")
+        out.names.setdefault("domain", {})
+        seen = materialize(seen, "domains-found")
+        if not seen.isEmpty():
+            out.hold("domain", domains.hierarchy(seen, out.known("domain", files.sparkSession), out.tld_map))
     if config.obfuscate_hostname:
-        found = names.hosts_from_text(files) if from_text else names.hosts_from_sections(parts.filter(basename(F.col("path")).contains("network.txt")))
+        found = names.hosts_found(of("nfs"), of("log")) if from_text else names.hosts_from_sections(parts.filter(basename(F.col("path")).contains("network.txt")))
         found = found.filter(~F.lower("real").isin(*config.preserve)) if config.preserve else found
-        out.names["hostname"] = _extended(out.category("hostname"), found, _named("hostname_"), "host names", 0, seeds.get("hostname", []))
+        _extend(out, "hostname", found, _named("hostname_"), 0, seeds.get("hostname", []))
     if config.obfuscate_username:
-        found = names.users_from_text(files if from_text else files.filter(basename(F.col("path")).isin(*USER_FILES)))
-        if not from_text:
+        if from_text:
+            found = names.users_found(of("user"))
+        else:
+            found = names.users_from_text(files.filter(basename(F.col("path")).isin(*USER_FILES)))
             found = names.users_from_sections(parts.filter(basename(F.col("path")).contains("pam.txt"))).unionByName(found)
-        out.names["user"] = _extended(out.category("user"), found, _named("user_"), "users", 0, seeds.get("user", []))
-    none = files.select("path", F.lit(0).alias("pos"), F.lit("").alias("real")).limit(0)
-    out.names["keyword"] = _extended(out.category("keyword"), none, _named("keyword_"), "keywords", 1, [k.lower() for k in keywords if k.strip()])
+        _extend(out, "user", found, _named("user_"), 0, seeds.get("user", []))
+    none = files.sparkSession.createDataFrame([], "path string, pos int, real string")
+    _extend(out, "keyword", none, _named("keyword_"), 1, [k.lower() for k in keywords if k.strip()])
     if config.obfuscate_serial:
-        own = files if from_text else files.filter(names.in_serial_files(F.col("path")))
-        out.names["serial"] = _extended(out.category("serial"), names.serials_in(own), names.serial_fake, "serial numbers", 1)
-    own = files if from_text else files.filter(names.in_id_files(F.col("path")))
-    out.names["sid"] = _extended(out.category("sid"), names.system_ids_in(own), names.system_id_fake, "system ids", 1)
+        found = of("serial").filter(~names.skipped_serial(F.col("real"))) if from_text else names.serials_in(files.filter(names.in_serial_files(F.col("path"))))
+        _extend(out, "serial", found, names.serial_fake, 1)
+    found = of("sid").filter(~F.col("real").isin(*names.RESERVED_IDS)) if from_text else names.system_ids_in(files.filter(names.in_id_files(F.col("path"))))
+    _extend(out, "sid", found, names.system_id_fake, 1)
     return out
 
 
-def rewritten(text: Column, path: Column, mapping: Mapping, config: Config | None = None) -> list[tuple[str, Column]]:
-    """The chain: (step, its expression over a column ``text``), in order. Steps that the configuration closes are absent."""
+def rewritten(text: Column, path: Column, mapping: Mapping, config: Config | None = None) -> list[tuple[str, Column | list[rewrite.Pass]]]:
+    """The chain: (step, its expression over a column ``text``, or its passes over a table of names), in order.
+
+    Steps that the configuration closes are absent.
+    """
     config = config or Config()
-    file, cat = basename(path), mapping.category
-    steps: dict[str, Column] = {}
+    file = basename(path)
+    steps: dict[str, Column | list[rewrite.Pass]] = {}
+
+    def named(category: str, by_pattern, by_table, *more):
+        return by_table(mapping.tables[category], *more) if category in mapping.tables else by_pattern(text, mapping.category(category), *more)
+
     if config.obfuscate_private_ip or config.obfuscate_public_ip:
         steps["ip"] = rewrite.addresses(text, mapping.subnets, config.obfuscate_private_ip, config.obfuscate_public_ip)
     if config.obfuscate_ipv6:
         steps["ipv6"] = ipv6.rewrite(text, config.obfuscate_private_ip)
     if config.obfuscate_mac:
         steps["mac"] = F.when(file.isin(*E.MAC_SKIP_FILES), text).otherwise(E.MAC_ENTITY.apply(text))
-    steps["keyword"] = rewrite.keywords(text, cat("keyword"))
+    steps["keyword"] = named("keyword", rewrite.keywords, rewrite.keyword_passes)
     steps["email"] = E.EMAIL_ENTITY.apply(text)
     if config.obfuscate_hostname:
-        steps["hostname"] = rewrite.hostnames(text, cat("hostname"), config.preserve)
+        steps["hostname"] = named("hostname", rewrite.hostnames, rewrite.hostname_passes, config.preserve)
     if config.obfuscate_domain:
-        steps["domain"] = rewrite.domains(text, cat("domain"))
+        steps["domain"] = named("domain", rewrite.domains, rewrite.domain_passes)
     steps["ldap_dn"] = E.apply_ldap(text)
     if config.obfuscate_username:
-        steps["user"] = rewrite.usernames(text, cat("user"))
+        steps["user"] = named("user", rewrite.usernames, rewrite.username_passes)
     steps["password"] = E.PASSWORD_ENTITY.apply(text)
     for e in E.CLOUD_ENTITIES:
         steps[f"cloud_token:{e.name}"] = e.apply(text)
     if config.obfuscate_serial:
-        steps["serial"] = rewrite.serials(text, cat("serial"))
-    steps["sid"] = rewrite.system_ids(text, cat("sid"))
+        steps["serial"] = named("serial", rewrite.serials, rewrite.serial_passes)
+    steps["sid"] = named("sid", rewrite.system_ids, rewrite.system_id_passes)
     return list(steps.items())
 
 
 def apply(files: DataFrame, mapping: Mapping, config: Config | None = None, header: bool = False) -> DataFrame:
     """``files`` with ``text`` rewritten and ``changed``. A step that fails fails the run: no text leaves half done.
 
-    header: a banner before changed texts. Null texts stay null.
+    header: a banner before changed texts. Null texts stay null. Categories that
+    are tables make it more than a narrow pass, and of no use to a stream.
     """
     out = files.withColumn("_before", F.col("text"))
     for _, step in rewritten(F.col("text"), F.col("path"), mapping, config):
-        out = out.withColumn("text", step)
+        out = out.withColumn("text", step) if isinstance(step, Column) else rewrite.in_passes(out, step)
     out = out.withColumn("changed", F.coalesce(F.col("text") != F.col("_before"), F.lit(False)))
     if header:
         out = out.withColumn("text", F.when(F.col("changed"), F.concat(F.lit(HEADER), "text")).otherwise(F.col("text")))
@@ -177,7 +208,8 @@ def mapping_table(files: DataFrame, mapping: Mapping, config: Config | None = No
     spark, config = files.sparkSession, config or Config()
     found = allocate.hash_mapping(discover.all_candidates(files)).select("category", "real", "fake")
     rows = [(c, k, v) for c, m in mapping.names.items() for k, v in m.items()]
-    named = spark.createDataFrame(rows, "category string, real string, fake string")
+    named = reduce(DataFrame.unionByName, [t.select(F.lit(c).alias("category"), "real", "fake") for c, t in mapping.tables.items()],
+                   spark.createDataFrame(rows, "category string, real string, fake string"))
     ips = discover.ipv4_candidates(files).select("real").distinct()
     ips = ips.select(F.lit("ip").alias("category"), "real", rewrite.addresses(F.col("real"), mapping.subnets, config.obfuscate_private_ip, config.obfuscate_public_ip).alias("fake"))
     return found.unionByName(named).unionByName(ips.filter("real <> fake"))

@@ -27,7 +27,7 @@ def bounds(cidr: str) -> tuple[int, int]:
 
 def number(address: Column) -> Column:
     """The address as a long."""
-    return F.aggregate(F.split(address, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
+    return F.aggregate(F.split(address, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.try_cast("long"))
 
 
 def dotted(n: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import engine
 from .operators import discover, report, verify
+from .operators.rewrite import in_passes, serial_passes
 from .sources import files as readers
 from .sources import sinks
 from .sources.config import Config
@@ -47,8 +48,13 @@ def rewritten(files: DataFrame, mapping: engine.Mapping, config: Config, root: s
     host names are replaced in paths too.
     """
     done = engine.apply(readers.first_line_only(files), mapping, config, header)
-    path = output_path(renamed(inner_path(F.col("path"), root), mapping.category("domain"), mapping.category("hostname")))
-    return done.select(path.alias("path"), F.col("path").alias("source"), F.concat("text", "tail").alias("text"), "changed")
+    done = done.withColumn("name", inner_path(F.col("path"), root))
+    for category in ("domain", "hostname"):
+        if category in mapping.tables:
+            done = in_passes(done, serial_passes(mapping.tables[category]), "name")
+        else:
+            done = done.withColumn("name", renamed(F.col("name"), mapping.category(category)))
+    return done.select(output_path(F.col("name")).alias("path"), F.col("path").alias("source"), F.concat("text", "tail").alias("text"), "changed")
 
 
 def scrub(spark: SparkSession, paths: list[str], folder: str, stamp: str, config: Config | None = None, root: str = "", records: str | None = None,

@@ -36,9 +36,11 @@ def serial_mapping(found: DataFrame, form, start: int = 1) -> DataFrame:
 
 
 def mac_number(number: Column) -> Column:
-    """The colon form of a counter, for serial fakes of hardware addresses."""
-    h = F.lpad(F.hex(number.cast("long")), 6, "0")
-    return F.concat_ws(":", F.lit(E.MAC_OUI), F.substring(h, 1, 2), F.substring(h, 3, 2), F.substring(h, 5, 2))
+    """The colon form of a counter, for serial fakes of hardware addresses; beyond 24 bits it goes on behind a colon, and is never cut."""
+    n = number.cast("long")
+    h = F.substring(F.hex(n.bitwiseAND(F.lit(0xFFFFFF)) + F.lit(1 << 24)), 2, 6)
+    low = F.concat_ws(":", F.lit(E.MAC_OUI), F.substring(h, 1, 2), F.substring(h, 3, 2), F.substring(h, 5, 2))
+    return F.when(n < 1 << 24, low).otherwise(F.concat(low, F.lit(":"), F.hex(F.shiftright(n, 24))))
 
 
 @dataclass

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as E
 from ..functions import ipv4
+from ..functions.text import find_all
 from ..sources.tables import materialize
 
 
@@ -51,10 +52,14 @@ def numbered(seen: DataFrame, start: int = 1, order: Sequence[str] = ("first_pat
 
 def ipv4_candidates(files: DataFrame) -> DataFrame:
     """real, prefixlen (null where none is written), address (long), path, pos."""
-    hits = F.regexp_extract_all("text", F.lit(ipv4.TOKEN), F.lit(0))
-    rows = files.filter(F.col("text").rlike(ipv4.ADDRESS)).select("path", F.posexplode(hits).alias("pos", "hit"))
+    rows = files.filter(F.col("text").rlike(ipv4.ADDRESS)).select("path", F.posexplode(find_all(F.col("text"), ipv4.TOKEN)).alias("pos", "hit"))
+    return ipv4_parsed(rows)
+
+
+def ipv4_parsed(rows: DataFrame) -> DataFrame:
+    """real, prefixlen, address, path, pos of ``rows`` with matches (path, pos, hit)."""
     real = F.substring_index("hit", "/", 1)
-    prefix = F.when(F.col("hit").contains("/"), F.substring_index("hit", "/", -1).cast("int"))
+    prefix = F.when(F.col("hit").contains("/"), F.substring_index("hit", "/", -1).try_cast("int"))
     return rows.select("path", "pos", real.alias("real"), prefix.alias("prefixlen"), ipv4.number(real).alias("address"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename
+from ..functions import ipv4
+from ..functions.text import basename, find_all
+from . import domains
 from .rewrite import LOOPBACK_NAMES, PRODUCT_NAMES
 
 # Accounts of the system, log patterns, labels, contexts and reserved words.
@@ -26,7 +26,7 @@ LOG_PATTERNS = (
     r"pam_unix\([^)]+\):.*?\[([A-Za-z0-9._-]+)\]",
     r"password check failed for user \(([A-Za-z0-9._-]+)\)")
 LOG_TRIGGER = r'(?i)user|logname|acct="|pam_unix'
-SERIAL = r"(?im)^(\s*(?:Serial\s+Number|Asset\s+Tag|Part\s+Number|UUID)\s*:\s*)(\S[^\n]*)$"
+SERIAL = r"(?im)^([^\S\n]*(?:Serial\s+Number|Asset\s+Tag|Part\s+Number|UUID)\s*:\s*)(\S[^\n]*)$"
 EMPTY_SERIALS = (
     "", "not specified", "not present", "unknown", "n/a", "none", "to be filled by o.e.m.", "default string", "invalid", "0000000000",
     "00000000000000000000", "chassis serial number", "system serial number", "base board serial number", "not applicable",
@@ -37,11 +37,13 @@ SYSTEM_ID = "[A-Z][A-Z0-9]{2}"
 ID_CONTEXTS = (
     rf"/usr/sap/({SYSTEM_ID})(?![A-Za-z0-9])", rf"/sapmnt/({SYSTEM_ID})(?![A-Za-z0-9])", rf"SAPSYSTEMNAME\s*[=:]\s*({SYSTEM_ID})",
     rf"\brsc_[A-Za-z]*SAP[A-Za-z]*_({SYSTEM_ID})_", rf"\bSAP({SYSTEM_ID})_", rf"\b({SYSTEM_ID})_(?:D|ASCS|ERS|SCS|HDB|J|W|G)\d\d\b")
+ID_TRIGGER = r"/usr/sap/|/sapmnt/|SAP|_(?:D|ASCS|ERS|SCS|HDB|J|W|G)\d\d"
 RESERVED_IDS = (
     "ADD", "ALL", "AND", "ANY", "ASC", "AUX", "AVG", "BIN", "BIT", "CDC", "COM", "CON", "DBA", "DBM", "DEV", "EPS", "FOR", "GID", "IBM",
     "INT", "KEY", "LOG", "LPT", "MAX", "MIN", "MON", "NIX", "NOT", "NUL", "OFF", "OLD", "OMS", "OUT", "PAD", "PRN", "RAW", "REF", "ROW",
     "SAP", "SET", "SGA", "SHG", "SID", "SQL", "SUM", "SYS", "TMP", "TOP", "UID", "USE", "USR", "VAR", "ADM", "ALT", "TBD")
 ID_FILES = ("basic-environment.txt", "ha.txt", "systemd.txt", "ps.txt", "fs-diskio.txt", "open-files.txt", "cib.xml", "pacemaker.log")
+NFS_SERVER = r"nfs: server (\w[\w.-]*)"
 SYSLOG_HOST = r"(?m)^\d{4}-\d{2}-\d{2}T[\d:.+-]+\s+(\w[\w-]*)\b"
 
 
@@ -62,15 +64,27 @@ def hosts_from_sections(sections: DataFrame) -> DataFrame:
     return names.unionByName(own.filter(~common_host(F.col("real"))))
 
 
-def hosts_from_text(files: DataFrame, least: int = 3) -> DataFrame:
-    """path, pos, real: servers of NFS messages, and host columns of syslog lines that occur ``least`` times in their text."""
-    nfs = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"nfs: server (\w[\w.-]*)"), F.lit(1))).alias("v"))
-    nfs = nfs.withColumn("real", F.substring_index("v", ".", 1)).select("path", "real").filter(F.char_length("real") >= 3)
-    log = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(SYSLOG_HOST), F.lit(1))).alias("real"))
+def nfs_servers(text: Column) -> Column:
+    return F.when(text.contains("nfs: server "), F.transform(find_all(text, NFS_SERVER, 1), lambda v: F.substring_index(v, ".", 1)))
+
+
+def log_hosts(text: Column) -> Column:
+    return F.when(text.rlike(r"\d{4}-\d{2}-\d{2}T"), find_all(text, SYSLOG_HOST, 1))
+
+
+def hosts_found(nfs: DataFrame, log: DataFrame, least: int = 3) -> DataFrame:
+    """path, pos, real: the servers ``nfs``, and those of the host columns ``log`` that occur ``least`` times in their text (both path, real)."""
+    nfs = nfs.select("path", "real").filter(F.char_length("real") >= 3)
     log = log.filter(F.char_length("real") >= 3).groupBy("path", "real").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("path", "real")
     return nfs.unionByName(log).filter(~common_host(F.col("real"))).distinct().withColumn("pos", F.lit(0))
 
 
+def hosts_from_text(files: DataFrame, least: int = 3) -> DataFrame:
+    """path, pos, real: servers of NFS messages, and host columns of syslog lines that occur ``least`` times in their text."""
+    each = lambda values: files.select("path", F.explode(values(F.col("text"))).alias("real"))
+    return hosts_found(each(nfs_servers), each(log_hosts), least)
+
+
 def excluded_user(name: Column) -> Column:
     return (F.char_length(name) < 3) | name.isin(*SYSTEM_USERS) | ((F.char_length(name) == 6) & name.endswith("adm"))
 
@@ -84,22 +98,36 @@ def users_from_sections(sections: DataFrame) -> DataFrame:
     return rows.filter(~excluded_user(F.col("real")))
 
 
+def users_in(text: Column) -> Column:
+    """pos, real: the first match of each log pattern in each line, empty where there is none."""
+    def matches(line: Column, i: Column) -> Column:
+        each = F.transform(F.array(*[F.regexp_extract(line, p, 1) for p in LOG_PATTERNS]), lambda v: F.struct(i.alias("pos"), v.alias("real")))
+        return F.when(line.rlike(LOG_TRIGGER), each).otherwise(F.array().cast("array<struct<pos:int,real:string>>"))
+
+    return F.when(text.rlike(LOG_TRIGGER), F.flatten(F.transform(F.split(text, "\n"), matches)))
+
+
+def users_found(rows: DataFrame) -> DataFrame:
+    """``rows`` (path, pos, real) without accounts of the system."""
+    return rows.filter((F.col("real") != "") & ~excluded_user(F.col("real")))
+
+
 def users_from_text(files: DataFrame) -> DataFrame:
     """path, pos, real: the first match of each log pattern in each line."""
-    lines = files.filter(F.col("text").rlike(LOG_TRIGGER)).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    found = F.array(*[F.regexp_extract("line", p, 1) for p in LOG_PATTERNS])
-    rows = lines.filter(F.col("line").rlike(LOG_TRIGGER)).select("path", "pos", F.explode(found).alias("real"))
-    return rows.filter((F.col("real") != "") & ~excluded_user(F.col("real")))
+    return users_found(files.select("path", F.explode(users_in(F.col("text"))).alias("u")).select("path", "u.pos", "u.real"))
 
 
 def skipped_serial(value: Column) -> Column:
     return F.lower(value).isin(*EMPTY_SERIALS) | value.rlike(r"^0{8}-0{4}-0{4}-0{4}-0{12}$") | (F.char_length(F.regexp_replace(value, "[^A-Za-z0-9]", "")) < 4)
 
 
+def serial_values(text: Column) -> Column:
+    return F.when(text.rlike(r"(?i)serial|asset|part\s|uuid"), F.transform(find_all(text, SERIAL, 2), lambda v: F.trim(v)))
+
+
 def serials_in(files: DataFrame) -> DataFrame:
     """path, pos, real: labelled serial numbers, tags, part numbers and UUIDs that are no placeholders."""
-    rows = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(SERIAL), F.lit(2))).alias("pos", "v"))
-    return rows.select("path", "pos", F.trim("v").alias("real")).filter(~skipped_serial(F.col("real")))
+    return files.select("path", F.posexplode(serial_values(F.col("text"))).alias("pos", "real")).filter(~skipped_serial(F.col("real")))
 
 
 def serial_fake(real: Column, number: Column) -> Column:
@@ -107,15 +135,21 @@ def serial_fake(real: Column, number: Column) -> Column:
     return F.when(real.rlike(UUID), F.concat(F.lit("00000000-0000-0000-0000-"), hexed)).otherwise(F.concat(F.lit("SERIAL_"), number))
 
 
+def system_ids(text: Column) -> Column:
+    """pos (in its context), real: three-character system ids in their strong contexts."""
+    each = [F.transform(find_all(text, p, 1), lambda v, i: F.struct(i.alias("pos"), v.alias("real"))) for p in ID_CONTEXTS]
+    return F.when(text.rlike(ID_TRIGGER), F.concat(*each))
+
+
 def system_ids_in(files: DataFrame) -> DataFrame:
     """path, pos, real: three-character system ids in their strong contexts, reserved words aside."""
-    parts = [files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(p), F.lit(1))).alias("pos", "real")) for p in ID_CONTEXTS]
-    return reduce(DataFrame.unionByName, parts).filter(~F.col("real").isin(*RESERVED_IDS))
+    rows = files.select("path", F.explode(system_ids(F.col("text"))).alias("s")).select("path", "s.pos", "s.real")
+    return rows.filter(~F.col("real").isin(*RESERVED_IDS))
 
 
 def system_id_fake(_: Column, number: Column) -> Column:
-    n = number.cast("int")
-    return F.when(n < 10, F.concat(F.lit("HA"), number)).otherwise(F.concat(F.lit("H"), F.lpad(number, 2, "0")))
+    n = number.cast("long")
+    return F.when(n < 10, F.concat(F.lit("HA"), number)).otherwise(F.concat(F.lit("H"), number))
 
 
 def in_serial_files(path: Column) -> Column:
@@ -125,3 +159,26 @@ def in_serial_files(path: Column) -> Column:
 def in_id_files(path: Column) -> Column:
     name = F.lower(basename(path))
     return name.isin(*ID_FILES) | name.rlike("sap|crm|hana|pacemaker")
+
+
+def in_texts(files: DataFrame) -> DataFrame:
+    """category, path, pos, real: all that is learned from texts, in one pass over them.
+
+    Categories: ip (matches as they are written), domain, nfs and log (see
+    hosts_found()), user, serial, sid. Nothing is left out yet but what the
+    patterns leave out.
+    """
+    text = F.col("text")
+
+    def plain(category: str, values: Column) -> Column:
+        return F.transform(values, lambda v, i: F.struct(F.lit(category).alias("category"), i.alias("pos"), v.alias("real")))
+
+    def placed(category: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(category).alias("category"), v["pos"].alias("pos"), v["real"].alias("real")))
+
+    ips = F.when(text.rlike(ipv4.ADDRESS), find_all(text, ipv4.TOKEN))
+    dotted = F.when(text.contains(".") | F.lower(text).contains("dc="), domains.domains_in(text))
+    parts = [plain("ip", ips), plain("domain", dotted), plain("nfs", nfs_servers(text)), plain("log", log_hosts(text)),
+             placed("user", users_in(text)), plain("serial", serial_values(text)), placed("sid", system_ids(text))]
+    none = F.array().cast("array<struct<category:string,pos:int,real:string>>")
+    return files.select("path", F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("c")).select("c.category", "path", "c.pos", "c.real")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import entities as E
 from ..functions import ipv4
 from ..functions.text import basename
+from . import contain, domains
 
+# Repeated groups are possessive throughout: what is not goes a level deeper with each repetition, until the stack ends.
 # What a leak is not.
 SAFE_DOMAINS = ("susecloud.net", "suse.org", "suse.com", "suse.de", "suse.net", "opensuse.org", "microsoft.com", "microsoft.net",
                 "windowsupdate.com", "windows.com", "digicert.com", "verisign.com", "globalsign.com", "comodo.com")
@@ -28,8 +30,8 @@ SECRETS = (
     (r"AKIA[0-9A-Z]{16}", "AWS access key"),
     (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", "JWT token"),
     (r"""(?i)\b(?:password|passwd)\s*=\s*["']?(?!\*REMOVED)(?!scrubbed_pass_)([A-Za-z0-9+/]{8,})""", "password value"))
-DISTINGUISHED = r"(?i)(?:CN|OU|DC|O|L|ST|C)=[^,\s]{2,}(?:,\s*(?:CN|OU|DC|O|L|ST|C)=[^,\s]{2,}){2,}"
-PRINCIPAL = r"(?<![A-Za-z0-9@])([A-Za-z][A-Za-z0-9]{2,})@([A-Z][A-Z0-9]+(?:\.[A-Z][A-Z0-9]+)+)"
+DISTINGUISHED = r"(?i)(?:CN|OU|DC|O|L|ST|C)=[^,\s][^,\s]++(?:,\s*+(?:CN|OU|DC|O|L|ST|C)=[^,\s][^,\s]++){2,}+"
+PRINCIPAL = r"(?<![A-Za-z0-9@])([A-Za-z][A-Za-z0-9]{2,})@([A-Z][A-Z0-9]+(?:\.[A-Z][A-Z0-9]++)++)"
 OWN_FAKE = (r"(?:hostname_\d+|user_\d+|domain_\d+|keyword_\d+|cn_(?:\d+|[0-9a-f]{12})|ou_(?:\d+|[0-9a-f]{12})"
             r"|email_(?:\d+|[0-9a-f]{12})@scrubbed\.local|scrubbed_pass_(?:\d+|[0-9a-f]{12})|SCRUBBED_\w+_(?:\d+|[0-9a-f]{12})"
             r"|SERIAL_\d+|00:1[Aa]:2[Bb]:[0-9A-Fa-f:]+|00000000-0000-)")
@@ -103,23 +105,23 @@ def mapping_leaks(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     """Real values of ``mapping`` (category, real, fake) that still stand in texts.
 
     Tokens are extracted from lines by category and joined; values that may stand
-    anywhere (keywords, serial numbers, IPv6) are tested by containment.
+    anywhere (keywords, serial numbers, IPv6) are found by their grams.
     """
     known = mapping.filter((F.char_length("real") >= LEAST_VALUE) & ~F.lower("real").isin(*SAFE_DOMAINS) & ~F.col("real").rlike(f"^{OWN_FAKE}"))
     known = known.join(mapping.select(F.col("fake").alias("real")).distinct(), "real", "left_anti")
     labels = {"ip": "IPv4 address", "mac": "MAC address", "domain": "domain", "hostname": "hostname", "user": "username",
               "ipv6": "IPv6 address", "keyword": "keyword", "serial": "serial/UUID"}
-    tokens = {"ip": ADDRESS, "mac": E.MAC, "domain": r"(?<![\w\-])((?:[\w-]+\.)+[\w-]+)(?![\w\-])", "hostname": r"(?<![\w-])([\w-]+)(?![\w-])", "user": r"\b(\w[\w.-]*\w)\b"}
+    tokens = {"ip": ADDRESS, "mac": E.MAC, "domain": r"(?<![\w\-])([\w-]++(?:\.[\w-]++)++)", "hostname": r"(?<![\w-])([\w-]+)(?![\w-])", "user": r"\b(\w[\w.-]*\w)\b"}
     parts = []
     for category, pattern in tokens.items():
         reals = known.filter(F.col("category") == category).select("real").distinct()
         found = _each(lines, pattern, F.lit(True), labels[category])
         if category == "domain":  # parents leak with what stands below them
-            labels_of = F.split("value", r"\.")
-            found = found.withColumn("value", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels_of) - 1), lambda i: F.array_join(F.slice(labels_of, i, F.size(labels_of)), "."))))
+            found = found.withColumn("value", F.explode(domains.parents(F.col("value"))))
         parts.append(found.join(reals, found["value"] == reals["real"], "left_semi"))
     anywhere = known.filter(F.col("category").isin("ipv6", "keyword", "serial")).select("category", "real")
-    met = lines.join(anywhere, F.col("text").contains(F.col("real")))
+    met = contain.occurrences(lines, anywhere.select(F.col("real").alias("value")), ("path", "line")).select("path", "line", "value")
+    met = met.distinct().join(anywhere.distinct(), F.col("value") == F.col("real"))
     name = F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col("category"))
     parts.append(_findings(met, name, F.col("real")))
     return reduce(DataFrame.unionByName, parts)
@@ -146,8 +148,8 @@ def identity(original: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def identity_leaks(lines: DataFrame, values: DataFrame) -> DataFrame:
-    """Lines that hold an identifying value, whatever its case. values: from identity(), a few for each system."""
-    met = lines.join(F.broadcast(values.withColumn("low", F.lower("value"))), F.lower("text").contains(F.col("low")))
+    """Lines that hold an identifying value, whatever its case. values: from identity()."""
+    met = contain.occurrences(lines, values, ("path", "line"), fold=True).select("path", "line", "value").distinct()
     return _findings(met, F.lit("system identity"), F.col("value"))
 
 

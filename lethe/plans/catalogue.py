@@ -9,7 +9,7 @@ from ..engine import apply, learn
 from ..functions import entities as E
 from ..functions import ipv4
 from ..functions import ipv6 as v6
-from ..operators import allocate, discover, domains, names, report, rewrite, verify
+from ..operators import allocate, discover, domains, names, networks6, report, rewrite, verify
 from ..sources import files as sources
 from ..sources.config import Config
 from ..sources.naming import output_path
@@ -164,11 +164,47 @@ def verify_mapping_leaks(s, d):
     return verify.mapping_leaks(verify.lines_of(files), mapping).distinct().select("file", F.col("line").cast("long").alias("line"), "category", "value")
 
 
+def _openings(s, d):
+    """The first five words of every benchmark item: values that stand anywhere in documents."""
+    opening = F.regexp_extract("text", r"^[A-Za-z]+( [A-Za-z]+){4}", 0)
+    return s.read.parquet(f"{d}/benchmark.parquet").select(opening.alias("real")).filter(F.char_length("real") >= verify.LEAST_VALUE).distinct()
+
+
+def verify_substrings(s, d):
+    """Keywords and serial numbers are found wherever they stand in a line."""
+    mapping = _openings(s, d).select(F.lit("keyword").alias("category"), "real", F.lit("keyword_1").alias("fake"))
+    return verify.mapping_leaks(verify.lines_of(documents(s, d)), mapping).select("file", F.col("line").cast("long").alias("line"), "category", "value")
+
+
+def verify_identity(s, d):
+    """Values that identify a system are found in any case."""
+    found = verify.identity_leaks(verify.lines_of(documents(s, d)), _openings(s, d).select(F.upper("real").alias("value")))
+    return found.select("file", F.col("line").cast("long").alias("line"), "category", "value")
+
+
+def names_scrub(s, d):
+    """Names in a table, however many: the first words of benchmark items where they stand alone, the longest at each place."""
+    words = F.explode(F.array(F.regexp_extract("real", "^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+", 0), F.regexp_extract("real", "^[A-Za-z]+ [A-Za-z]+", 0)))
+    names_ = _openings(s, d).select(words.alias("real")).distinct().select("real", F.concat(F.lit("user_"), F.substring(F.sha2("real", 256), 1, 12)).alias("fake"))
+    return rewrite.in_passes(documents(s, d), rewrite.username_passes(names_))
+
+
 def verify_after_scrub(s, d):
     files = documents(s, d)
     return verify.verify(materialize(apply(files, learn(files, FULL), FULL), "rewritten"))
 
 
+def ipv6_subnets(s, d):
+    """IPv6 networks and their serial fakes."""
+    found = networks6.allocate(networks6.tokens(fixture(s, d), True))
+    length = F.col("prefixlen").cast("string")
+    return found.table.select(F.concat_ws("/", "net", length).alias("real_net"), F.concat_ws("/", "fake", length).alias("fake_net"))
+
+
+def ipv6_scrub_serial(s, d):
+    return networks6.rewrite_serial(fixture(s, d), True)[0]
+
+
 def _typed(s, d):
     files = documents(s, d)
     found = discover.all_candidates(files, [E.EMAIL_ENTITY, E.CLOUD_ENTITIES[8]])
@@ -226,18 +262,20 @@ QUERIES = {
     "password_scrub": _scrub(lambda t, _: E.PASSWORD_ENTITY.apply(t), fixture),
     "cloud_scrub": cloud_scrub,
     "ipv6_scrub": _scrub(lambda t, _: v6.rewrite(t, True), fixture),
+    "ipv6_subnets": ipv6_subnets, "ipv6_scrub_serial": ipv6_scrub_serial,
     "sections": sections_query,
     "full_chain_scrub": full_chain_scrub, "full_chain_fixture": full_chain_fixture,
     "verify_ip_allowlist": verify_ip_allowlist, "verify_emails": verify_emails, "verify_secrets": verify_secrets,
     "verify_mapping_leaks": verify_mapping_leaks, "verify_after_scrub": verify_after_scrub,
+    "verify_substrings": verify_substrings, "verify_identity": verify_identity, "names_scrub": names_scrub,
     "counts_by_category": counts_by_category, "coverage_first_seen": coverage_first_seen, "topk_docs_by_hits": topk_docs_by_hits,
     "tcprewrite_rules": tcprewrite_rules, "naming_contract": naming_contract, "audit_sha256": audit_sha256,
 }
 
 # --- the same in DuckDB, whose patterns have no look-around: boundaries are consumed and doubled where they may be shared ---
 
-_DOCS = "docs AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, text FROM documents)"
-_FIX = f"docs AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, text FROM documents UNION ALL SELECT * FROM {fixtures.sql_rows()})"
+_DOCS = "docs AS (SELECT printf('%020d', doc_id) AS path, text FROM documents)"
+_FIX = f"docs AS (SELECT printf('%020d', doc_id) AS path, text FROM documents UNION ALL SELECT * FROM {fixtures.sql_rows()})"
 _MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 _MAIL_ALL = rf"(?:^|[^A-Za-z0-9._%+-])({_MAIL})(?:$|[^A-Za-z0-9._%+-])"
 _KEEP_MAIL = ("(lower(split_part(real, '@', 2)) IN (" + ", ".join(f"'{x}'" for x in (*E.SAFE_EMAIL_DOMAINS, "scrubbed.local")) + ") OR "
@@ -282,11 +320,11 @@ _OWN_TOKEN = "contains(real, 'SCRUBBED_')"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 
 
-_TOP_TEST = ("split_part(d, '.', -1) IN (" + ", ".join(f"'{x}'" for x in (*domains.GENERIC, *domains.COUNTRIES)) + ") AND NOT regexp_full_match(d, '[0-9]{1,3}(\\.[0-9]{1,3}){3}')")
+_TOP_TEST = ("split_part(d, '.', -1) IN (" + ", ".join(f"'{x}'" for x in domains.TOP_NAMES) + ") AND NOT regexp_full_match(d, '[0-9]{1,3}(\\.[0-9]{1,3}){3}')")
 
 
 def _domain_sql(docs: str) -> str:
-    tops = ", ".join(f"'{x}'" for x in (*domains.GENERIC, *domains.COUNTRIES))
+    tops = ", ".join(f"'{x}'" for x in domains.TOP_NAMES)
     return f"""WITH {docs},
 raw AS (SELECT path, unnest(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9.-])', '\\1\\1', 'g'),
                                                '(?:^|[^A-Za-z0-9-])({_LABEL}(?:\\.{_LABEL})+)(?:$|[^A-Za-z0-9-])', 1)) AS d FROM docs),
@@ -298,6 +336,9 @@ def _lines(docs: str = _DOCS) -> str:
     return f"{docs}, lines AS (SELECT path AS file, unnest(range(1, len(s) + 1))::BIGINT AS line, unnest(s) AS text FROM (SELECT path, string_split(text, chr(10)) AS s FROM docs))"
 
 
+_OPENINGS = f"openings AS (SELECT DISTINCT real FROM (SELECT regexp_extract(text, '^[A-Za-z]+( [A-Za-z]+){{4}}') AS real FROM benchmark) WHERE len(real) >= {verify.LEAST_VALUE})"
+
+
 def _line_hits(pattern: str) -> str:
     return f"found AS (SELECT file, line, unnest(regexp_extract_all(text, '{pattern}', 1)) AS real FROM lines)"
 
@@ -396,7 +437,7 @@ SELECT path, pos, real FROM each WHERE real <> '' AND len(real) >= 3 AND NOT (le
     "host_count_having": f"""WITH {_FIX}, log AS (SELECT path, unnest(regexp_extract_all(text, '(?m)^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9:.+-]+\\s+(\\w[\\w-]*)\\b', 1)) AS real FROM docs),
 nfs AS (SELECT path, split_part(unnest(regexp_extract_all(text, 'nfs: server (\\w[\\w.-]*)', 1)), '.', 1) AS real FROM docs)
 SELECT path, 0::BIGINT AS pos, real FROM log WHERE len(real) >= 3 GROUP BY path, real HAVING count(*) >= 3 UNION SELECT path, 0, real FROM nfs WHERE len(real) >= 3""",
-    "serial_discover": f"""WITH {_FIX}, {_hits(names.SERIAL.replace('(?im)', '(?im)').replace('(\\s*', '([ \\t]*'), 2)} SELECT path, pos, trim(real) AS real FROM hits
+    "serial_discover": f"""WITH {_FIX}, {_hits(names.SERIAL.replace('[^\\S\\n]', '[ \\t]'), 2)} SELECT path, pos, trim(real) AS real FROM hits
 WHERE lower(trim(real)) NOT IN ({', '.join(f"'{x}'" for x in names.EMPTY_SERIALS)}) AND len(regexp_replace(real, '[^A-Za-z0-9]', '', 'g')) >= 4""",
     "password_scrub": f"WITH {_FIX} SELECT path, " + _marked(r"""(?i)(\b(?:password|passwd)\s*[:=]\s*["']?)([A-Za-z0-9+/]{8,})()""", "CASE WHEN x = 'scrubbed' THEN x ELSE 'scrubbed_pass_' || left(sha256(x), 12) END") + " AS text FROM docs",
     "mac_scrub": f"WITH {_FIX} SELECT path, CASE WHEN path = 'b/modules.txt' THEN text ELSE " + _marked(
@@ -405,6 +446,12 @@ WHERE lower(trim(real)) NOT IN ({', '.join(f"'{x}'" for x in names.EMPTY_SERIALS
     "verify_ip_allowlist": f"WITH {_lines()}, {_line_hits(_IP_BODY)} SELECT file, line, real AS value FROM (SELECT *, {_NUM.format('real')} AS n FROM found) WHERE NOT {_in('n', *ipv4.SAFE, *ipv4.POOLS.values())}",
     "verify_emails": f"WITH {_lines()}, {_line_hits(_MAIL_ALL)} SELECT file, line, real AS value FROM found WHERE NOT ({' OR '.join(f'''suffix(real, '{x}')''' for x in E.UNIT_SUFFIXES)}) AND lower(split_part(real, '@', 2)) NOT IN ({', '.join(f"'{x}'" for x in verify.SAFE_MAIL)}) AND split_part(lower(real), '.', -1) NOT IN ('mo', 'po', 'gmo')",
     "verify_mapping_leaks": f"WITH {_lines()}, {_line_hits(_IP_BODY)} SELECT DISTINCT file, line, 'IPv4 address' AS category, real AS value FROM (SELECT *, {_NUM.format('real')} AS n FROM found) WHERE NOT ({_KEPT}) AND len(real) >= 6 AND real NOT LIKE '0.%' AND real <> '198.16.0.1'",
+    "verify_substrings": f"WITH {_lines()}, {_OPENINGS} SELECT file, line, 'keyword' AS category, real AS value FROM lines JOIN openings ON contains(text, real)",
+    "verify_identity": f"WITH {_lines()}, {_OPENINGS} SELECT file, line, 'system identity' AS category, upper(real) AS value FROM lines JOIN (SELECT DISTINCT upper(real) AS real FROM openings) ON contains(lower(text), lower(real))",
+    "names_scrub": f"""WITH {_DOCS}, {_OPENINGS}, words AS (SELECT DISTINCT unnest([regexp_extract(real, '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+'), regexp_extract(real, '^[A-Za-z]+ [A-Za-z]+')]) AS w FROM openings),
+p AS (SELECT '(\\b)(' || string_agg(w, '|' ORDER BY len(w) DESC, w) || ')(\\b)' AS p FROM words),
+cut AS (SELECT path, text, string_split(regexp_replace(text, p, concat('\\1', chr(1), '\\2', chr(1), '\\3'), 'g'), chr(1)) AS c FROM docs, p)
+SELECT path, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_transform(c, lambda x, i: CASE WHEN i % 2 = 0 THEN 'user_' || left(sha256(x), 12) ELSE x END), '') END AS text FROM cut""",
     "counts_by_category": _TYPED + " SELECT category, count(DISTINCT (category, real))::BIGINT AS n FROM typed GROUP BY ROLLUP (category)",
     "coverage_first_seen": _TYPED + ", f AS (SELECT category, real, arg_min(path, (path, pos)) AS path FROM typed GROUP BY category, real) SELECT path, category, count(*)::BIGINT AS n FROM f GROUP BY path, category",
     "topk_docs_by_hits": _TYPED + " SELECT path, count(*)::BIGINT AS hits FROM typed GROUP BY path ORDER BY hits DESC, path LIMIT 10",

@@ -97,8 +97,9 @@ def read_all(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def from_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """files(path, text) of a table's text column; the path is the key, zero-padded so that it sorts as a number does."""
-    path = F.lpad(F.col(key).cast("string"), 12, "0") if dict(df.dtypes)[key] in ("bigint", "int") else F.col(key).cast("string")
+    """files(path, text) of a table's text column; the path is the key, zero-padded to 20 places so that it sorts as a number does."""
+    name = F.col(key)
+    path = F.when(name.isNotNull(), F.format_string("%020d", name)) if dict(df.dtypes)[key] in ("bigint", "int") else name.cast("string")
     return df.select(path.alias("path"), F.col(text).alias("text"))
 
 

@@ -22,9 +22,9 @@ def output_path(path: Column) -> Column:
     return F.when(F.lower(root).endswith(MARK), path).otherwise(F.concat(root, F.lit(MARK), ext, end))
 
 
-def renamed(path: Column, domains: dict[str, str], hosts: dict[str, str]) -> Column:
+def renamed(path: Column, *mappings: dict[str, str]) -> Column:
     """A path with domains and then host names replaced as plain strings, the longest that fits at each place."""
-    for mapping in (domains, hosts):
+    for mapping in mappings:
         path = by_dictionary(path, {real: fake for real, fake in mapping.items() if real}, flags="", fold=False)
     return path
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Mapping
@@ -58,7 +58,8 @@ def pack(folder: str, archive: str) -> str:
 
 
 def to_json(mapping: Mapping) -> dict:
-    out = {c: dict(m) for c, m in mapping.names.items()}
+    """A mapping as an object of objects; names that are tables are not in it."""
+    out = {c: dict(m) for c, m in mapping.names.items() if c not in mapping.tables}
     out["subnet"] = dict(mapping.subnets.rows())
     out["tld_map"] = dict(mapping.tld_map)
     out["state"] = mapping.subnets.state()
@@ -80,7 +81,7 @@ def from_json(data: dict) -> Mapping:
                 slot = int(f.network_address) - int(space.network_address) >> 8
                 subnets.used.setdefault(pool, set()).update(range(slot, slot + (1 << max(0, 24 - max(r.prefixlen, space.prefixlen)))))
     subnets.cursor = {k.removeprefix("pool_cursor_"): int(v) for k, v in data.get("state", {}).items() if k.startswith("pool_cursor_")}
-    names = {c: dict(m) for c, m in data.items() if c not in ("subnet", "tld_map", "state")}
+    names = {c: dict(m) for c, m in data.items() if c not in ("subnet", "tld_map", "state", "tables")}
     return Mapping(names, subnets, dict(data.get("tld_map", {})))
 
 
@@ -92,22 +93,39 @@ def _cipher(password: str):
 
 
 def save_mapping(mapping: Mapping, path: str, password: str | None = None) -> str:
-    """Write a mapping for its owner's eyes only; with a password, encrypted as <path>.enc or not at all."""
-    data = json.dumps(to_json(mapping), indent=2, sort_keys=True).encode()
+    """Write a mapping for its owner's eyes only; with a password, encrypted as <path>.enc or not at all.
+
+    Names that are tables become tables in <path>.tables, which executors must
+    share; there is no encrypted form of these.
+    """
+    if mapping.tables and password is not None:
+        raise ValueError(f"more names than a mapping file holds, and no encrypted form of tables: {sorted(mapping.tables)}")
+    record = to_json(mapping)
+    for name, table in mapping.tables.items():
+        record.setdefault("tables", {})[name] = f"{path}.tables/{name}"
+        os.makedirs(f"{path}.tables", 0o700, exist_ok=True)
+        table.select("real", "fake").write.mode("overwrite").parquet(f"{path}.tables/{name}")
+    data = json.dumps(record, indent=2, sort_keys=True).encode()
     if password is not None:
         data, path = _cipher(password).encrypt(data), f"{path}.enc"
     _private(path, data)
     return path
 
 
-def load_mapping(path: str, password: str | None = None) -> Mapping:
-    """Read a mapping; missing or malformed files are errors."""
+def load_mapping(path: str, password: str | None = None, spark: SparkSession | None = None) -> Mapping:
+    """Read a mapping; missing or malformed files are errors. spark: where names are tables."""
     data = Path(path).read_bytes()
     if path.endswith(".enc"):
         if password is None:
             raise ValueError("an encrypted mapping needs its password")
         data = _cipher(password).decrypt(data)
-    return from_json(json.loads(data))
+    record = json.loads(data)
+    out = from_json(record)
+    if places := record.get("tables"):
+        if spark is None:
+            raise ValueError("a mapping with tables needs a session")
+        out.tables = {name: spark.read.parquet(p) for name, p in places.items()}
+    return out
 
 
 def _private(path: str, data: bytes) -> None:

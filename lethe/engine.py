@@ -62,13 +62,14 @@ class Mapping:
 
     def hold(self, name: str, found: DataFrame) -> None:
         """Add ``found`` (real, fake) to a category, in the order of the numbers in its fakes."""
-        found = materialize(found.select("real", "fake"), f"names-{name}")
         held = self.names.setdefault(name, {})
-        if name not in self.tables and found.limit(MOST_NAMES + 1).count() + len(held) <= MOST_NAMES:
-            order = F.regexp_extract("fake", r"(\d+)", 1).cast("long")
-            held |= {r.real: r.fake for r in found.orderBy(F.length("fake") - F.length(F.translate("fake", ".", "")), order, "real").collect()}
+        rows = [] if name in self.tables else found.select("real", "fake").limit(MOST_NAMES + 1 - len(held)).collect()
+        if name not in self.tables and len(rows) + len(held) <= MOST_NAMES:
+            number = lambda r: int("0" + "".join(re.findall(r"\d+", r.fake)[:1]))
+            rows.sort(key=lambda r: (r.fake.count("."), number(r), r.real))
+            held |= {r.real: r.fake for r in rows}
         else:
-            self.tables[name] = found.unionByName(self.known(name, found.sparkSession))
+            self.tables[name] = materialize(found.select("real", "fake"), f"names-{name}").unionByName(self.known(name, found.sparkSession))
             self.names[name] = {}
 
     def size(self, name: str) -> int:
@@ -80,17 +81,21 @@ def _extend(out: Mapping, category: str, found: DataFrame, form, start: int, see
     spark = found.sparkSession
     out.names.setdefault(category, {})
     known = out.known(category, spark)
-    given = spark.createDataFrame([(s, i) for i, s in enumerate(dict.fromkeys(seeds))], "real string, i long").join(known, "real", "left_anti")
-    own = [r.real for r in given.orderBy("i").collect()]  # what the caller passed
+    any_known, own = category in out.tables or bool(out.names[category]), list(dict.fromkeys(seeds))  # seeds are what the caller passed
+    if own and any_known:
+        given = spark.createDataFrame([(s, i) for i, s in enumerate(own)], "real string, i long").join(known, "real", "left_anti")
+        own = [r.real for r in given.orderBy("i").collect()]
     for s, n in zip(own, range(out.size(category) + start, 1 << 62)):
         fake = spark.range(1).select(form(F.lit(s), F.lit(str(n)))).first()[0]
         if category in out.tables:
             out.hold(category, spark.createDataFrame([(s, fake)], "real string, fake string"))
         else:
             out.names.setdefault(category, {})[s] = fake
-    new = materialize(found.join(out.known(category, spark).select("real"), "real", "left_anti").select("real", "path", "pos"), f"new-{category}")
-    if not new.isEmpty():
-        out.hold(category, allocate.serial_mapping(new, form, out.size(category) + start))
+    if any_known or own:
+        found = found.join(out.known(category, spark).select("real"), "real", "left_anti")
+    new = materialize(found.select("real", "path", "pos"), f"new-{category}")
+    if rows := new.count():
+        out.hold(category, allocate.serial_mapping(new, form, out.size(category) + start, rows))
 
 
 def _named(prefix: str):

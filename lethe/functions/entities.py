@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digest, find_all, rewrite
+from .text import any_of, digest, find_all, mentions, rewrite
 
 # Patterns, suffixes and names that the results depend on.
 EMAIL = (r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,})(?![A-Za-z0-9._%+-])")
@@ -54,6 +54,7 @@ class Entity:
 
     pattern: its last group is the value; with two groups, the first is kept.
     form: a fake's text for its number. category: under which its values are mapped.
+    gates, words, quick: strings, lower-case words of any case, and a pattern of which every text with a match has one.
     """
 
     name: str
@@ -66,10 +67,19 @@ class Entity:
     normal: Callable[[Column], Column] = lambda v: v
     skip_files: tuple[str, ...] = ()
     digits: int = 12
+    words: tuple[str, ...] = ()
+    quick: str = ""
+
+    def may_hold(self, text: Column) -> Column | None:
+        """A test that costs little; None if there is none."""
+        tests = [text.contains(g) for g in self.gates] + ([mentions(text, *self.words)] if self.words else []) + ([text.rlike(self.quick)] if self.quick else [])
+        return any_of(tests) if tests else None
 
     def values(self, text: Column) -> Column:
         """The real values in a text, normalised, as often as they occur."""
-        found = F.transform(find_all(text, self.pattern, self.groups), self.normal)
+        gate = self.may_hold(text)
+        hits = find_all(text, self.pattern, self.groups)
+        found = F.transform(hits if gate is None else F.when(gate, hits), self.normal)
         return F.filter(found, lambda v: ~self.keep(v)) if self.keep else found
 
     def hash_fake(self, value: Column) -> Column:
@@ -85,7 +95,7 @@ class Entity:
             new = F.coalesce(new, hit)
             return F.when(self.keep(value), hit).otherwise(new) if self.keep else new
 
-        return rewrite(text, self.pattern, one, self.gates)
+        return rewrite(text, self.pattern, one, self.may_hold(text))
 
 
 def _keep_email(v: Column) -> Column:
@@ -109,20 +119,21 @@ def _token(kind: str) -> Callable[[Column, Column], Column]:
     return lambda _, n: F.concat(F.lit(f"SCRUBBED_{kind}_"), n)
 
 
-MAC_ENTITY = Entity("mac", "mac", MAC, _mac_form, 1, (), lambda v: v.isin(*SAFE_MACS) | v.startswith(MAC_OUI.lower()), F.lower, MAC_SKIP_FILES, 6)
+MAC_ENTITY = Entity("mac", "mac", MAC, _mac_form, 1, (), lambda v: v.isin(*SAFE_MACS) | v.startswith(MAC_OUI.lower()), F.lower, MAC_SKIP_FILES, 6,
+                    quick=r"[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]")
 EMAIL_ENTITY = Entity("email", "email", EMAIL, lambda _, n: F.concat(F.lit("email_"), n, F.lit("@scrubbed.local")), 1, ("@",), _keep_email)
 LDAP_ENTITY = Entity("ldap_dn", "ldap_dn", LDAP, lambda v, n: F.concat(F.lit("cn_"), n), 2, ("=",), _keep_name, F.lower)
-PASSWORD_ENTITY = Entity("password", "password", PASSWORD, lambda _, n: F.concat(F.lit("scrubbed_pass_"), n), 2)
+PASSWORD_ENTITY = Entity("password", "password", PASSWORD, lambda _, n: F.concat(F.lit("scrubbed_pass_"), n), 2, words=("passw",))
 CLOUD_ENTITIES = (
     Entity("jwt", "cloud_token", JWT, _token("JWT"), 1, ("eyJ",)),
     Entity("identity", "cloud_token", IDENTITY, _token("IDENTITY"), 2, ("eyJ",)),
     Entity("aws_key", "cloud_token", AWS_KEY, _token("AWSKEY"), 1, ("AKIA",)),
     Entity("aws_temporary_key", "cloud_token", AWS_TEMPORARY_KEY, _token("AWSKEY"), 1, ("ASIA",)),
-    Entity("aws_secret", "cloud_token", AWS_SECRET, _token("AWSSECRET"), 2),
+    Entity("aws_secret", "cloud_token", AWS_SECRET, _token("AWSSECRET"), 2, words=("secret", "session")),
     Entity("azure_key", "cloud_token", AZURE_KEY, _token("AZUREKEY"), 2, ("AccountKey",)),
     Entity("azure_sas", "cloud_token", AZURE_SAS, _token("AZURESAS"), 2, ("=",)),
     Entity("gcp_key", "cloud_token", GCP_KEY, _token("GCPKEY"), 2, ("-----BEGIN",)),
-    Entity("bearer", "cloud_token", BEARER, _token("BEARER"), 2, (), lambda v: v.contains("SCRUBBED_")),
+    Entity("bearer", "cloud_token", BEARER, _token("BEARER"), 2, (), lambda v: v.contains("SCRUBBED_"), words=("bearer", "x-auth-token", "authorization", "token")),
     Entity("ssh_comment", "cloud_token", SSH_COMMENT, _token("SSHCOMMENT"), 2, ("ssh-", "ecdsa-")),
 )
 
@@ -135,7 +146,7 @@ def apply_ldap(text: Column, fake: Callable[[Column, Column], Column] | None = N
         new = fake(F.lower(value), kind) if fake else F.concat(kind, digest(F.lower(value)))
         return F.when(_keep_name(value), hit).otherwise(F.concat(label, F.coalesce(new, value)))
 
-    return rewrite(text, LDAP, one, ("=",))
+    return rewrite(text, LDAP, one, text.contains("="))
 
 
 #: In the order of the rewrite chain.

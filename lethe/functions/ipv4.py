@@ -11,6 +11,8 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)"
 #: Not after a version word, nor after a slash unless that ends a scheme or a number.
 CONTEXT = r"""(?<!(?i:(?:\b|_)ver(?:sion)?[\s:="']{0,17}))(?<!(?:^|[^\d/]|^/|[^:]/)/)(?!0\.)"""
 ADDRESS = rf"{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}"
+#: What every address holds. It begins with a digit before a dot, and so costs little in texts without addresses.
+MAY_HOLD = r"\d\.\d{1,3}\.\d{1,3}\.\d"
 TOKEN = rf"(?<![A-Za-z0-9.\-]){CONTEXT}({ADDRESS})(?![A-Za-z0-9.\-+])(?:/(\d{{1,2}}))?"
 
 #: Pools of fakes by category, and the private networks that they stand for.

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .text import splice
 
 CANDIDATE = r"(?<![A-Za-z0-9:_-])([0-9A-Fa-f:.]*(?:[0-9A-Fa-f]|::))(?:/(\d{1,3}))?(?![A-Za-z0-9_-])(?!:[0-9A-Fa-f])"
-#: What every address holds: two colons side by side, or groups with six colons.
-MAY_HOLD = r"::|(?:[0-9A-Fa-f]{1,4}:){6}"
+#: What every address holds: two colons side by side, or groups between six colons.
+MAY_HOLD = r":(?::|(?:[0-9A-Fa-f]{1,4}:){5})"
 TAGGED = r"(\[AF_INET6\])([0-9A-Fa-f:]+):(\d{1,5})\b"
 # Scopes and pools of fakes.
 POOL_WIDE, POOL_NARROW = ipaddress.IPv6Network("fd00::/8"), ipaddress.IPv6Network("2001:db8::/32")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,18 +21,24 @@ def splice(text: Column, pattern: str, replacements: Callable[[Column], Column])
     return F.array_join(F.zip_with(gaps, new, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))), "")
 
 
-def rewrite(text: Column, pattern: str, fake: Callable[[Column], Column], gates: tuple[str, ...] = ()) -> Column:
+def any_of(tests) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def mentions(text: Column, *words: str) -> Column:
+    """Whether a text holds one of some lower-case words, in any case."""
+    low = F.lower(text)
+    return any_of(low.contains(w) for w in words)
+
+
+def rewrite(text: Column, pattern: str, fake: Callable[[Column], Column], gate: Column | None = None) -> Column:
     """``text`` with every match m replaced by ``fake(m)``.
 
-    gates: strings without one of which no match is possible; texts with none of
-    them are left alone unread.
+    gate: a test that costs little, and that all texts with a match pass; others
+    are left alone unread.
     """
     out = splice(text, pattern, lambda hits: F.transform(hits, fake))
-    test = None
-    for g in gates:
-        test = text.contains(g) if test is None else test | text.contains(g)
-    test = text.rlike(pattern) if test is None else test & text.rlike(pattern)
-    return F.when(test, out).otherwise(text)
+    return F.when(text.rlike(pattern) if gate is None else gate & text.rlike(pattern), out).otherwise(text)
 
 
 def literal(value: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import entities as E
 from ..functions import ipv4
 from ..sources.tables import materialize
-from .discover import first_seen, networks, numbered
+from .discover import FEW_ROWS, first_seen, networks, numbered
 
 #: Smallest block that a network takes in its pool, as a prefix length.
 SLOT = 24
@@ -29,9 +29,9 @@ def hash_mapping(found: DataFrame, which=E.PATTERN_ENTITIES) -> DataFrame:
     return first_seen(found, "category", "real").join(kinds, ["category", "real"]).select("category", "real", fake.alias("fake"), "first_path", "first_pos")
 
 
-def serial_mapping(found: DataFrame, form, start: int = 1) -> DataFrame:
-    """real, fake, first_path, first_pos: fakes numbered by first sight. form: (real, number as string) to a fake."""
-    seen = numbered(first_seen(found, "real"), start)
+def serial_mapping(found: DataFrame, form, start: int = 1, rows: int | None = None) -> DataFrame:
+    """real, fake, first_path, first_pos: fakes numbered by first sight. form: (real, number as string) to a fake. rows: as in numbered()."""
+    seen = numbered(first_seen(found, "real"), start, rows=rows)
     return seen.select("real", form(F.col("real"), F.col("number").cast("string")).alias("fake"), "first_path", "first_pos")
 
 
@@ -124,8 +124,12 @@ def allocate_subnets(found: DataFrame, private: bool = True, public: bool = True
 def _fold(out: SubnetMap, nets: DataFrame, order: list[str]) -> None:
     """Allocate ``nets`` (real_net, plen, category) in order, pool by pool."""
     nets = materialize(nets, "subnets-first")
-    held = {r.category for r in nets.select("category").distinct().collect()}  # at most one for each pool
-    for pool in out.pools.keys() & held:
+    held = {r.category: r["count"] for r in nets.groupBy("category").count().collect()}  # at most one for each pool
+    if sum(held.values()) <= FEW_ROWS:
+        for r in nets.orderBy(*order).select("real_net", "plen", "category").collect():
+            out.allocate(r.real_net, r.plen, r.category)
+        return
+    for pool in out.pools.keys() & held.keys():
         for r in nets.filter(F.col("category") == pool).orderBy(*order).select("real_net", "plen").toLocalIterator():
             if out.full(pool):
                 break

@@ -34,13 +34,20 @@ def first_seen(found: DataFrame, *keys: str) -> DataFrame:
         *keys, F.col("first.path").alias("first_path"), F.col("first.pos").alias("first_pos"), "n")
 
 
-def numbered(seen: DataFrame, start: int = 1, order: Sequence[str] = ("first_path", "first_pos", "real")) -> DataFrame:
-    """``seen`` and ``number``, its rank by ``order`` (first sight) from ``start``.
+#: Rows that one task may rank.
+FEW_ROWS = 50_000
 
-    The rank is two-level: rows are range-sorted by first sight, ranked within
+
+def numbered(seen: DataFrame, start: int = 1, order: Sequence[str] = ("first_path", "first_pos", "real"), rows: int | None = None) -> DataFrame:
+    """``seen`` and ``number``, its rank by ``order`` (first sight) from ``start``. rows: its count, where that is known.
+
+    Up to FEW_ROWS, counted, are ranked by one task. Beyond that
+    the rank is two-level: rows are range-sorted by first sight, ranked within
     their partition's span, and shifted by the counts of the spans before, so
     that no single task sees all values.
     """
+    if rows is not None and rows <= FEW_ROWS:
+        return seen.withColumn("number", (F.row_number().over(Window.orderBy(*order)) + (start - 1)).cast("long"))
     spread = seen.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     spread = spread.sortWithinPartitions(*order).withColumn("step", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
     spread = materialize(spread, "numbered")  # its partitions are read twice, and must be the same
@@ -52,7 +59,7 @@ def numbered(seen: DataFrame, start: int = 1, order: Sequence[str] = ("first_pat
 
 def ipv4_candidates(files: DataFrame) -> DataFrame:
     """real, prefixlen (null where none is written), address (long), path, pos."""
-    rows = files.filter(F.col("text").rlike(ipv4.ADDRESS)).select("path", F.posexplode(find_all(F.col("text"), ipv4.TOKEN)).alias("pos", "hit"))
+    rows = files.filter(F.col("text").rlike(ipv4.MAY_HOLD)).select("path", F.posexplode(find_all(F.col("text"), ipv4.TOKEN)).alias("pos", "hit"))
     return ipv4_parsed(rows)
 
 

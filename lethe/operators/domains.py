@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import mentions
 from ..sources.tables import materialize
 from .discover import numbered
 
@@ -54,6 +55,11 @@ def parents(domain: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
 
 
+def may_hold(text: Column) -> Column:
+    """A test that costs little, and that all texts with a domain pass."""
+    return text.rlike(r"[A-Za-z0-9-]\.[A-Za-z0-9-]") | mentions(text, "dc=")
+
+
 def domains_in(text: Column, trusted: bool = False) -> Column:
     """Valid domains in a text and their valid parents, lower-cased, as often as they occur."""
     plain = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)), lambda c: _names(F.lower(c))))
@@ -67,7 +73,7 @@ def domains_in(text: Column, trusted: bool = False) -> Column:
 
 def extract(files: DataFrame, trusted: bool = False, text: str = "text", key: str = "path") -> DataFrame:
     """path, pos, real: the domains of every file."""
-    dotted = files.filter(F.col(text).contains(".") | F.lower(text).contains("dc="))
+    dotted = files.filter(may_hold(F.col(text)))
     return dotted.select(F.col(key).alias("path"), F.posexplode(domains_in(F.col(text), trusted)).alias("pos", "real"))
 
 
@@ -92,7 +98,7 @@ def hierarchy(seen: DataFrame, known: DataFrame | None = None, tlds: dict[str, s
     d = d.withColumn("parent", F.regexp_replace("real", r"^[^.]*\.", ""))
     above = d.select("real").unionByName(old.select("real")).select(F.col("real").alias("parent"), F.lit(True).alias("below")).distinct()
     d = d.join(above, "parent", "left").withColumn("below", F.coalesce("below", F.lit(False)))
-    order = ["labels", "first_path", "first_pos", "real"]
+    order, rows = ["labels", "first_path", "first_pos", "real"], d.count()
     last = old.agg(*[F.max(F.expr(f"try_cast(regexp_extract(fake, '^{kind}_([0-9]+)[.]', 1) as long)")).alias(kind) for kind in ("domain", "sub")]).first()
     taken = {kind: 0 if last[kind] is None else last[kind] + 1 for kind in ("domain", "sub")}
     tops = d.filter(~F.col("below")).withColumn("tld", F.substring_index("real", ".", -1))
@@ -100,10 +106,10 @@ def hierarchy(seen: DataFrame, known: DataFrame | None = None, tlds: dict[str, s
     for r in by_tld.filter(~F.col("tld").isin(list(tlds))).orderBy("m").select("tld").toLocalIterator():
         tlds[r.tld] = tld_name(len(tlds))
     fakes = spark.createDataFrame(list(tlds.items()), "tld string, t string")
-    tops = numbered(tops, taken["domain"], order).join(fakes, "tld")
+    tops = numbered(tops, taken["domain"], order, rows).join(fakes, "tld")
     tops = tops.select("real", F.concat(F.lit("domain_"), F.col("number").cast("string"), F.lit("."), "t").alias("fake"), "labels")
     depth = max(0, (d.agg(F.max("labels")).first()[0] or 0) - 1)
-    subs = numbered(d.filter("below"), taken["sub"], order).select("real", "parent", "labels", F.col("number").alias("n"))
+    subs = numbered(d.filter("below"), taken["sub"], order, rows).select("real", "parent", "labels", F.col("number").alias("n"))
     levels, above = [tops], tops.select("real", "fake").unionByName(old)
     for _ in range(depth):
         above = subs.join(above.select(F.col("real").alias("parent"), F.col("fake").alias("up")), "parent").select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ipv4
-from ..functions.text import basename, find_all
+from ..functions.text import any_of, basename, find_all, mentions
 from . import domains
 from .rewrite import LOOPBACK_NAMES, PRODUCT_NAMES
 
@@ -37,7 +37,7 @@ SYSTEM_ID = "[A-Z][A-Z0-9]{2}"
 ID_CONTEXTS = (
     rf"/usr/sap/({SYSTEM_ID})(?![A-Za-z0-9])", rf"/sapmnt/({SYSTEM_ID})(?![A-Za-z0-9])", rf"SAPSYSTEMNAME\s*[=:]\s*({SYSTEM_ID})",
     rf"\brsc_[A-Za-z]*SAP[A-Za-z]*_({SYSTEM_ID})_", rf"\bSAP({SYSTEM_ID})_", rf"\b({SYSTEM_ID})_(?:D|ASCS|ERS|SCS|HDB|J|W|G)\d\d\b")
-ID_TRIGGER = r"/usr/sap/|/sapmnt/|SAP|_(?:D|ASCS|ERS|SCS|HDB|J|W|G)\d\d"
+ID_TRIGGER = r"_(?:D|ASCS|ERS|SCS|HDB|J|W|G)\d\d"
 RESERVED_IDS = (
     "ADD", "ALL", "AND", "ANY", "ASC", "AUX", "AVG", "BIN", "BIT", "CDC", "COM", "CON", "DBA", "DBM", "DEV", "EPS", "FOR", "GID", "IBM",
     "INT", "KEY", "LOG", "LPT", "MAX", "MIN", "MON", "NIX", "NOT", "NUL", "OFF", "OLD", "OMS", "OUT", "PAD", "PRN", "RAW", "REF", "ROW",
@@ -104,7 +104,7 @@ def users_in(text: Column) -> Column:
         each = F.transform(F.array(*[F.regexp_extract(line, p, 1) for p in LOG_PATTERNS]), lambda v: F.struct(i.alias("pos"), v.alias("real")))
         return F.when(line.rlike(LOG_TRIGGER), each).otherwise(F.array().cast("array<struct<pos:int,real:string>>"))
 
-    return F.when(text.rlike(LOG_TRIGGER), F.flatten(F.transform(F.split(text, "\n"), matches)))
+    return F.when(mentions(text, "user", "logname", 'acct="', "pam_unix"), F.flatten(F.transform(F.split(text, "\n"), matches)))
 
 
 def users_found(rows: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def skipped_serial(value: Column) -> Column:
 
 
 def serial_values(text: Column) -> Column:
-    return F.when(text.rlike(r"(?i)serial|asset|part\s|uuid"), F.transform(find_all(text, SERIAL, 2), lambda v: F.trim(v)))
+    return F.when(mentions(text, "serial", "asset", "part", "uuid"), F.transform(find_all(text, SERIAL, 2), lambda v: F.trim(v)))
 
 
 def serials_in(files: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def serial_fake(real: Column, number: Column) -> Column:
 def system_ids(text: Column) -> Column:
     """pos (in its context), real: three-character system ids in their strong contexts."""
     each = [F.transform(find_all(text, p, 1), lambda v, i: F.struct(i.alias("pos"), v.alias("real"))) for p in ID_CONTEXTS]
-    return F.when(text.rlike(ID_TRIGGER), F.concat(*each))
+    return F.when(any_of(text.contains(x) for x in ("SAP", "/usr/sap/", "/sapmnt/")) | text.rlike(ID_TRIGGER), F.concat(*each))
 
 
 def system_ids_in(files: DataFrame) -> DataFrame:
@@ -176,8 +176,8 @@ def in_texts(files: DataFrame) -> DataFrame:
     def placed(category: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(category).alias("category"), v["pos"].alias("pos"), v["real"].alias("real")))
 
-    ips = F.when(text.rlike(ipv4.ADDRESS), find_all(text, ipv4.TOKEN))
-    dotted = F.when(text.contains(".") | F.lower(text).contains("dc="), domains.domains_in(text))
+    ips = F.when(text.rlike(ipv4.MAY_HOLD), find_all(text, ipv4.TOKEN))
+    dotted = F.when(domains.may_hold(text), domains.domains_in(text))
     parts = [plain("ip", ips), plain("domain", dotted), plain("nfs", nfs_servers(text)), plain("log", log_hosts(text)),
              placed("user", users_in(text)), plain("serial", serial_values(text)), placed("sid", system_ids(text))]
     none = F.array().cast("array<struct<category:string,pos:int,real:string>>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import entities as E
 from ..functions import ipv4
-from ..functions.text import literal, rewrite, splice, trie_pattern
+from ..functions.text import literal, mentions, rewrite, splice, trie_pattern
 from ..sources.tables import materialize
 from . import contain
 from .allocate import SubnetMap
@@ -39,7 +40,7 @@ def smallest(pairs) -> dict[str, str]:
     return dict(sorted(pairs, key=lambda kv: kv[1], reverse=True))
 
 
-def by_dictionary(text: Column, mapping: Mapping[str, str], before: str = "", after: str = "", flags: str = "(?iu)", fold: bool = True) -> Column:
+def by_dictionary(text: Column, mapping: Mapping[str, str], before: str = "", after: str = "", flags: str = "(?iu)", fold: bool = True, gate: Column | None = None) -> Column:
     """``text`` with the keys of ``mapping`` replaced where the boundaries allow; the longest key wins.
 
     fold: in any case; of keys that differ in case only, the smallest fake is taken.
@@ -49,7 +50,7 @@ def by_dictionary(text: Column, mapping: Mapping[str, str], before: str = "", af
     table = smallest((k.lower() if fold else k, v) for k, v in mapping.items())
     pattern = f"{flags}{before}(?:{trie_pattern(table)}){after}"
     m = lookup(table)
-    return rewrite(text, pattern, lambda hit: F.coalesce(F.try_element_at(m, F.lower(hit) if fold else hit), hit))
+    return rewrite(text, pattern, lambda hit: F.coalesce(F.try_element_at(m, F.lower(hit) if fold else hit), hit), gate)
 
 
 def keywords(text: Column, mapping: Mapping[str, str]) -> Column:
@@ -82,14 +83,16 @@ def domains(text: Column, mapping: Mapping[str, str]) -> Column:
         return text
     plain = smallest((k.lower(), v) for k, v in mapping.items())
     both = {k.replace(".", "_"): v.replace(".", "_") for k, v in plain.items()} | plain
-    out = by_dictionary(text, both, r"(?<![A-Za-z0-9-])", r"(?![A-Za-z0-9-])")
+    joined = text.rlike(r"[A-Za-z0-9][._][A-Za-z0-9]") if all(re.search(r"[A-Za-z0-9][._][A-Za-z0-9]", k) for k in both) else None
+    out = by_dictionary(text, both, r"(?<![A-Za-z0-9-])", r"(?![A-Za-z0-9-])", gate=joined)
+    parts = lambda t: mentions(t, "dc=")
     chain = lambda d: ",".join(f"DC={x}" for x in d.split("."))
-    out = by_dictionary(out, {chain(k).lower(): chain(v) for k, v in plain.items()})
+    out = by_dictionary(out, {chain(k).lower(): chain(v) for k, v in plain.items()}, gate=parts(out))
     labels = smallest((k.split(".")[0], v.split(".")[0]) for k, v in plain.items())
     labels = {k: v for k, v in labels.items() if len(k) >= 4 and k not in TOP_LIKE}
-    out = by_dictionary(out, {f"dc={k}": f"DC={v}" for k, v in labels.items()}, r"\b", r"\b")
+    out = by_dictionary(out, {f"dc={k}": f"DC={v}" for k, v in labels.items()}, r"\b", r"\b", gate=parts(out))
     cut = smallest((f"dc={k[:n]}", f"DC={v}") for k, v in labels.items() for n in range(8, len(k)))
-    return by_dictionary(out, cut, r"\b", r"(?![A-Za-z0-9-])")
+    return by_dictionary(out, cut, r"\b", r"(?![A-Za-z0-9-])", gate=parts(out))
 
 
 def system_ids(text: Column, mapping: Mapping[str, str]) -> Column:
@@ -127,8 +130,9 @@ def addresses(text: Column, subnets: SubnetMap, private: bool = True, public: bo
     def run(hits: pd.Series) -> pd.Series:
         return hits.map(lambda x: [one(t) for t in x])
 
-    safe = F.when(text.rlike(ipv4.ADDRESS), text).otherwise(F.lit(""))  # the full pattern, and Python, see only texts with an address in them
-    return F.when(text.rlike(ipv4.ADDRESS), splice(safe, ipv4.TOKEN, run)).otherwise(text)
+    may = text.rlike(ipv4.MAY_HOLD)
+    safe = F.when(may, text).otherwise(F.lit(""))  # the full pattern, and Python, see only texts that may have an address in them
+    return F.when(may, splice(safe, ipv4.TOKEN, run)).otherwise(text)
 
 
 def by_mapping(files: DataFrame, entity: E.Entity, mapping: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as E
 from ..functions import ipv4
-from ..functions.text import basename
+from ..functions.text import any_of, basename, mentions
 from . import contain, domains
 
 # Repeated groups are possessive throughout: what is not goes a level deeper with each repetition, until the stack ends.
@@ -65,13 +65,13 @@ def _each(lines: DataFrame, pattern: str, gate: Column, category: str, group: in
 
 def unlisted_addresses(lines: DataFrame, private: bool = True) -> DataFrame:
     """Addresses outside the safe networks. private: private ones are rewritten, so they are leaks too."""
-    found = _each(lines, ADDRESS, F.col("text").rlike(ipv4.ADDRESS), "unlisted IPv4")
+    found = _each(lines, ADDRESS, F.col("text").rlike(ipv4.MAY_HOLD), "unlisted IPv4")
     safe = (*ipv4.SAFE, *ipv4.POOLS.values(), *(() if private else ipv4.PRIVATE.values()))
     return found.filter(~ipv4.within(ipv4.number(F.col("value")), *safe))
 
 
 def unlisted_macs(lines: DataFrame) -> DataFrame:
-    found = _each(lines, E.MAC, F.col("text").contains(":"), "unlisted MAC")
+    found = _each(lines, E.MAC, F.col("text").contains(":") & E.MAC_ENTITY.may_hold(F.col("text")), "unlisted MAC")
     low = F.lower(F.regexp_replace("value", "-", ":"))
     return found.filter(~(low.startswith(E.MAC_OUI.lower()) | low.isin(*E.SAFE_MACS)))
 
@@ -90,12 +90,14 @@ def principals(lines: DataFrame) -> DataFrame:
 def secrets(lines: DataFrame) -> DataFrame:
     """A finding for each pattern that a line has; lines with own fakes are left out."""
     kinds = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(name)) for p, name in SECRETS]))
-    rows = lines.filter(~F.col("text").contains("SCRUBBED_")).withColumn("kind", F.explode(kinds))
+    text = F.col("text")
+    may = any_of(text.contains(x) for x in ("-----BEGIN", "AKIA", "eyJ")) | mentions(text, "api", "secret", "token", "passw")
+    rows = lines.filter(may & ~text.contains("SCRUBBED_")).withColumn("kind", F.explode(kinds))
     return _findings(rows, F.col("kind"), F.substring(F.trim("text"), 1, 80))
 
 
 def distinguished_names(lines: DataFrame) -> DataFrame:
-    found = _each(lines, DISTINGUISHED, F.col("text").rlike("(?i)(?:cn|dc|ou)="), "LDAP DN", 0)
+    found = _each(lines, DISTINGUISHED, mentions(F.col("text"), "cn=", "dc=", "ou="), "LDAP DN", 0)
     low = F.lower("value")
     stay = low.contains("example") | low.contains("sysdb") | F.col("value").rlike(OWN_FAKE) | low.rlike(r"dc=domain_\d+")
     return found.filter(~stay).withColumn("value", F.substring("value", 1, 80))

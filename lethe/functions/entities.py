@@ -70,6 +70,11 @@ class Entity:
     words: tuple[str, ...] = ()
     quick: str = ""
 
+    @property
+    def inner(self) -> str:
+        """The pattern for a match on its own, which has nothing after it."""
+        return self.pattern.removesuffix('(?=")')
+
     def may_hold(self, text: Column) -> Column | None:
         """A test that costs little; None if there is none."""
         tests = [text.contains(g) for g in self.gates] + ([mentions(text, *self.words)] if self.words else []) + ([text.rlike(self.quick)] if self.quick else [])
@@ -90,8 +95,8 @@ class Entity:
         fake = fake or self.hash_fake
 
         def one(hit: Column) -> Column:
-            value = self.normal(F.regexp_extract(hit, self.pattern, self.groups) if self.groups == 2 else hit)
-            new = F.concat(F.regexp_extract(hit, self.pattern, 1), fake(value)) if self.groups == 2 else fake(value)
+            value = self.normal(F.regexp_extract(hit, self.inner, self.groups) if self.groups == 2 else hit)
+            new = F.concat(F.regexp_extract(hit, self.inner, 1), fake(value)) if self.groups == 2 else fake(value)
             new = F.coalesce(new, hit)
             return F.when(self.keep(value), hit).otherwise(new) if self.keep else new
 

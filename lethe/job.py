@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+import shutil
 import time
+import uuid
+from collections.abc import Iterable
 from collections.abc import Mapping as MappingType
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
+from typing import TextIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +24,7 @@ from .sources import files as readers
 from .sources import sinks
 from .sources.config import Config
 from .sources.naming import artifact_names, output_path, renamed
-from .sources.tables import materialize
+from .sources.tables import materialize, shared_dir
 
 
 @dataclass
@@ -57,6 +62,36 @@ def rewritten(files: DataFrame, mapping: engine.Mapping, config: Config, root: s
     return done.select(output_path(F.col("name")).alias("path"), F.col("path").alias("source"), F.concat("text", "tail").alias("text"), "changed")
 
 
+def pipe(spark: SparkSession, source: Iterable[str], target: TextIO, config: Config | None = None, known: engine.Mapping | None = None,
+         seeds: MappingType[str, list[str]] | None = None, keywords: list[str] = (), block_lines: int = 10_000) -> engine.Mapping:
+    """Lines of ``source`` (as of sys.stdin) rewritten to ``target`` (as sys.stdout), in order; returns what was learned.
+
+    Lines are spooled to the shared folder in blocks, so that the driver holds
+    one block at a time; names are learned from all of them before the first is
+    rewritten. No value spans two lines of different blocks but one that is
+    written over several lines.
+    """
+    folder = Path(f"{shared_dir(spark).removeprefix('file:')}/pipe-{uuid.uuid4().hex}")
+    folder.mkdir(parents=True)
+    try:
+        lines = iter(source)
+        for k in itertools.count():
+            block = list(itertools.islice(lines, block_lines))
+            if not block:
+                break
+            (folder / f"{k:012d}").write_text("".join(block), encoding="utf-8", errors="surrogateescape", newline="")
+        if not any(folder.iterdir()):
+            return known or engine.Mapping()
+        files = readers.read(spark, str(folder))
+        mapping = engine.learn(files, config, known, seeds, keywords, from_text=True)
+        done = materialize(engine.apply(files, mapping, config).select("path", "text"), "piped")
+        for row in done.orderBy("path").toLocalIterator():
+            target.write(row.text)
+        return mapping
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)  # what was piped is not left behind
+
+
 def scrub(spark: SparkSession, paths: list[str], folder: str, stamp: str, config: Config | None = None, root: str = "", records: str | None = None,
           known: engine.Mapping | None = None, seeds: MappingType[str, list[str]] | None = None, keywords: list[str] = (), from_text: bool | None = None,
           header: bool = False, check: bool = True, password: str | None = None, host: str | None = None, operator: str = "") -> Outcome:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+
 
 def counts_by_category(mapping: DataFrame) -> DataFrame:
     """category, n: distinct values of each category, and a total under null."""
@@ -42,6 +46,24 @@ def profile(files: DataFrame, chain, text: str = "text") -> DataFrame:
     return out.withColumn("share", F.when(total > 0, F.col("changed") / total).otherwise(0.0))
 
 
+def timed_profile(files: DataFrame, chain, text: str = "text") -> list[dict]:
+    """step, seconds, share (of all seconds), bytes, mb_per_second, changed of each step (name, expression), the slowest first.
+
+    Each step is run on what the one before left, and written, so that its
+    seconds are its own; those of reading and writing are in all of them.
+    """
+    rows, current = [], materialize(files, "profile")
+    for name, step in chain:
+        began = time.monotonic()
+        after = materialize(current.withColumn("_new", step), "profile")
+        seconds = time.monotonic() - began
+        r = after.agg(F.sum(F.octet_length(text)).alias("b"), F.count_if(F.col("_new") != F.col(text)).alias("changed")).first()
+        rows.append({"step": name, "seconds": seconds, "bytes": r.b or 0, "mb_per_second": (r.b or 0) / 1e6 / max(seconds, 1e-9), "changed": r.changed})
+        current = after.withColumn(text, F.col("_new")).drop("_new")
+    total = sum(r["seconds"] for r in rows) or 1.0
+    return sorted((r | {"share": r["seconds"] / total} for r in rows), key=lambda r: -r["seconds"])
+
+
 def sha256_of(files: DataFrame, content: str = "content") -> DataFrame:
     """path, bytes, sha256."""
     return files.select("path", F.octet_length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256"))

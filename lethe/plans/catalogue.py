@@ -157,7 +157,7 @@ def verify_secrets(s, d):
 
 
 def verify_mapping_leaks(s, d):
-    """Before rewriting, every mapped address and domain leaks."""
+    """Before rewriting, every mapped address leaks."""
     files = documents(s, d)
     ips = discover.ipv4_candidates(files).filter(~ipv4.kept(F.col("address"), F.col("real"))).select(F.lit("ip").alias("category"), "real").distinct()
     mapping = ips.withColumn("fake", F.lit("198.16.0.1"))
@@ -440,7 +440,7 @@ SELECT path, 0::BIGINT AS pos, real FROM log WHERE len(real) >= 3 GROUP BY path,
     "serial_discover": f"""WITH {_FIX}, {_hits(names.SERIAL.replace('[^\\S\\n]', '[ \\t]'), 2)} SELECT path, pos, trim(real) AS real FROM hits
 WHERE lower(trim(real)) NOT IN ({', '.join(f"'{x}'" for x in names.EMPTY_SERIALS)}) AND len(regexp_replace(real, '[^A-Za-z0-9]', '', 'g')) >= 4""",
     "password_scrub": f"WITH {_FIX} SELECT path, " + _marked(r"""(?i)(\b(?:password|passwd)\s*[:=]\s*["']?)([A-Za-z0-9+/]{8,})()""", "CASE WHEN x = 'scrubbed' THEN x ELSE 'scrubbed_pass_' || left(sha256(x), 12) END") + " AS text FROM docs",
-    "mac_scrub": f"WITH {_FIX} SELECT path, CASE WHEN path = 'b/modules.txt' THEN text ELSE " + _marked(
+    "mac_scrub": f"WITH {_FIX} SELECT path, CASE WHEN split_part(path, '/', -1) IN ({_SQL_LIST(E.MAC_SKIP_FILES)}) THEN text ELSE " + _marked(
         r"(^|[^0-9A-Fa-f:])((?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2})($|[^0-9A-Fa-f:])",
         "CASE WHEN lower(x) IN ('ff:ff:ff:ff:ff:ff', '00:00:00:00:00:00') THEN x ELSE '00:1A:2B:' || upper(substr(sha256(lower(x)), 1, 2) || ':' || substr(sha256(lower(x)), 3, 2) || ':' || substr(sha256(lower(x)), 5, 2)) END") + " END AS text FROM docs",
     "verify_ip_allowlist": f"WITH {_lines()}, {_line_hits(_IP_BODY)} SELECT file, line, real AS value FROM (SELECT *, {_NUM.format('real')} AS n FROM found) WHERE NOT {_in('n', *ipv4.SAFE, *ipv4.POOLS.values())}",

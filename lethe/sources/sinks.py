@@ -128,6 +128,16 @@ def load_mapping(path: str, password: str | None = None, spark: SparkSession | N
     return out
 
 
+def show_mapping(path: str, password: str | None = None) -> str:
+    """A mapping file as text, decrypted where it has to be; names that are tables are named by their place."""
+    if path.endswith(".enc") and password is None:
+        raise ValueError("an encrypted mapping needs its password")
+    data = Path(path).read_bytes()
+    if path.endswith(".enc"):
+        data = _cipher(password).decrypt(data)
+    return json.dumps(json.loads(data), indent=2, sort_keys=True)
+
+
 def _private(path: str, data: bytes) -> None:
     with open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "wb") as f:
         f.write(data)

@@ -44,6 +44,13 @@ def test_password_and_tokens(spark):
     assert once.startswith("Authorization: Bearer SCRUBBED_BEARER_") and one(spark, bearer.apply, once) == [once]
 
 
+def test_private_keys_keep_their_names_and_stay_apart(spark):
+    gcp = next(e for e in E.CLOUD_ENTITIES if e.name == "gcp_key")
+    texts_ = [f'{{"private_key": "-----BEGIN PRIVATE KEY-----{k}-----END PRIVATE KEY-----", "x": 1}}' for k in ("abc", "def")]
+    got = one(spark, gcp.apply, *texts_)
+    assert all(re.fullmatch(r'\{"private_key": "SCRUBBED_GCPKEY_[0-9a-f]{12}", "x": 1\}', g) for g in got) and got[0] != got[1]
+
+
 def test_ldap(spark):
     got = one(spark, E.apply_ldap, "CN=Jane,ou=Sales,CN=users,cn=cn_1,OU=west-europe")[0]
     assert re.fullmatch(r"CN=cn_[0-9a-f]{12},ou=ou_[0-9a-f]{12},CN=users,cn=cn_1,OU=west-europe", got)

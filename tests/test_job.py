@@ -1,11 +1,12 @@
 """A whole run: inputs of all kinds, records, and reuse of a mapping."""
 
+import io
 import json
 import lzma
 
 import pytest
 
-from lethe import job
+from lethe import engine, job
 from lethe.sources import files as S
 from lethe.sources import sinks
 from lethe.sources.config import Config
@@ -65,5 +66,34 @@ def test_an_encrypted_mapping_needs_a_password(spark, tmp_path):
         job.scrub(spark, [], str(tmp_path), "T", Config(encrypt_mappings=True))
 
 
+def test_lines_are_piped_in_order(spark):
+    given = [f"line {i} nfs: server files{i % 3}y.corp.io at corp.io\n" for i in range(25)] + ["last without end"]
+    out = io.StringIO()
+    mapping = job.pipe(spark, iter(given), out, Config(), keywords=["last"], block_lines=10)
+    got = out.getvalue().splitlines(keepends=True)
+    assert len(got) == 26 and all(g.startswith(f"line {i} ") for i, g in enumerate(got[:25])) and got[25] == "keyword_1 without end"
+    assert "corp.io" not in out.getvalue() and set(mapping.names["hostname"]) == {"files0y", "files1y", "files2y"}
+    assert job.pipe(spark, [], out).names == {}
+
+
+def test_steps_are_timed(spark):
+    from pyspark.sql import functions as F
+
+    from lethe.functions import entities as E
+    from lethe.operators import report
+
+    files = spark.createDataFrame([("a", "mail ab@corp.io"), ("b", "none")], "path string, text string")
+    rows = report.timed_profile(files, [("email", E.EMAIL_ENTITY.apply(F.col("text"))), ("mac", E.MAC_ENTITY.apply(F.col("text")))])
+    assert {r["step"]: r["changed"] for r in rows} == {"email": 1, "mac": 0} and sum(r["share"] for r in rows) == pytest.approx(1)
+    assert rows[0]["seconds"] >= rows[1]["seconds"] > 0 and all(r["bytes"] > 0 and r["mb_per_second"] > 0 for r in rows)
+
+
+def test_a_mapping_can_be_shown(tmp_path):
+    path = sinks.save_mapping(engine.Mapping({"user": {"bob": "user_0"}}), str(tmp_path / "m.json"))
+    assert json.loads(sinks.show_mapping(path))["user"] == {"bob": "user_0"}
+    with pytest.raises(ValueError):
+        sinks.show_mapping(str(tmp_path / "m.json.enc"))
+
+
 def test_unreadable_inputs_are_named(spark, inputs):
     assert S.read_all(spark, str(inputs)).filter("text is null").count() == 2 and S.read(spark, str(inputs)).count() == 4

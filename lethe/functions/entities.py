@@ -84,7 +84,7 @@ class Entity:
         """The real values in a text, normalised, as often as they occur."""
         gate = self.may_hold(text)
         hits = find_all(text, self.pattern, self.groups)
-        found = F.transform(hits if gate is None else F.when(gate, hits), self.normal)
+        found = F.transform(hits if gate is None else F.when(gate, hits).otherwise(F.array().cast("array<string>")), self.normal)
         return F.filter(found, lambda v: ~self.keep(v)) if self.keep else found
 
     def hash_fake(self, value: Column) -> Column:

@@ -196,7 +196,8 @@ def rewritten(text: Column, path: Column, mapping: Mapping, config: Config | Non
 def apply(files: DataFrame, mapping: Mapping, config: Config | None = None, header: bool = False) -> DataFrame:
     """``files`` with ``text`` rewritten and ``changed``. A step that fails fails the run: no text leaves half done.
 
-    header: a banner before changed texts. Null texts stay null. Categories that
+    header: a banner before changed texts; of files in blocks, before the first
+    block if that has changed. Null texts stay null. Categories that
     are tables make it more than a narrow pass, and of no use to a stream.
     """
     out = files.withColumn("_before", F.col("text"))
@@ -204,7 +205,8 @@ def apply(files: DataFrame, mapping: Mapping, config: Config | None = None, head
         out = out.withColumn("text", step) if isinstance(step, Column) else rewrite.in_passes(out, step)
     out = out.withColumn("changed", F.coalesce(F.col("text") != F.col("_before"), F.lit(False)))
     if header:
-        out = out.withColumn("text", F.when(F.col("changed"), F.concat(F.lit(HEADER), "text")).otherwise(F.col("text")))
+        first = F.col("start") == 0 if "start" in out.columns else F.lit(True)
+        out = out.withColumn("text", F.when(F.col("changed") & first, F.concat(F.lit(HEADER), "text")).otherwise(F.col("text")))
     return out.drop("_before")
 
 

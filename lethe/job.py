@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import engine
 from .operators import discover, report, verify
 from .operators.rewrite import in_passes, serial_passes
+from .sources import blocks, sinks
 from .sources import files as readers
-from .sources import sinks
 from .sources.config import Config
 from .sources.naming import artifact_names, output_path, renamed
 from .sources.tables import materialize, shared_dir
@@ -59,7 +59,8 @@ def rewritten(files: DataFrame, mapping: engine.Mapping, config: Config, root: s
             done = in_passes(done, serial_passes(mapping.tables[category]), "name")
         else:
             done = done.withColumn("name", renamed(F.col("name"), mapping.category(category)))
-    return done.select(output_path(F.col("name")).alias("path"), F.col("path").alias("source"), F.concat("text", "tail").alias("text"), "changed")
+    place = ["start"] if "start" in done.columns else []
+    return done.select(output_path(F.col("name")).alias("path"), F.col("path").alias("source"), *place, F.concat("text", "tail").alias("text"), "changed")
 
 
 def pipe(spark: SparkSession, source: Iterable[str], target: TextIO, config: Config | None = None, known: engine.Mapping | None = None,
@@ -94,14 +95,18 @@ def pipe(spark: SparkSession, source: Iterable[str], target: TextIO, config: Con
 
 def scrub(spark: SparkSession, paths: list[str], folder: str, stamp: str, config: Config | None = None, root: str = "", records: str | None = None,
           known: engine.Mapping | None = None, seeds: MappingType[str, list[str]] | None = None, keywords: list[str] = (), from_text: bool | None = None,
-          header: bool = False, check: bool = True, password: str | None = None, host: str | None = None, operator: str = "") -> Outcome:
+          header: bool = False, check: bool = True, password: str | None = None, host: str | None = None, operator: str = "",
+          block: int | None = None) -> Outcome:
     """Rewrite ``paths`` (folders, files, archives) into ``folder``, which all executors must share.
 
     root: what output paths lose. records: the folder of the mapping, the audit
     record and the report, by default the configuration's. password: for an
-    encrypted mapping, needed where the configuration asks for one. Inputs that
-    can't be opened are named in the report. Two files of one output name are an
-    error, found before anything is written.
+    encrypted mapping, needed where the configuration asks for one. block: files
+    are read, rewritten and written in blocks of so many bytes, whatever their
+    size; names are then numbered by their place in a block, and the report gives
+    findings by ``path@start`` and the line there. Inputs that can't be opened
+    are named in the report. Two files of one output name are an error, found
+    before anything is written.
     """
     config, seconds = config or Config(), {}
     if config.encrypt_mappings and password is None:
@@ -114,28 +119,32 @@ def scrub(spark: SparkSession, paths: list[str], folder: str, stamp: str, config
         seconds[phase] = round(time.monotonic() - began, 3)
 
     with timed("read"):  # archives are unpacked once, though learning reads the texts several times
-        given = materialize(readers.read_all(spark, *paths), "inputs")
+        given = materialize(blocks.read(spark, *paths, block=block) if block else readers.read_all(spark, *paths), "inputs")
         files = given.filter(F.col("text").isNotNull())
+        if block:  # nothing of a file that breaks off is written
+            files = files.join(given.filter(F.col("text").isNull()).select("path").distinct(), "path", "left_anti")
         unreadable = [r.path for r in given.filter(F.col("text").isNull()).select("path").orderBy("path").toLocalIterator()]
     with timed("learn"):
         words = [*keywords, *(readers.read_keywords(spark, config.key_words_file) if config.use_key_words_file else ())]
         mapping = engine.learn(files, config, known, seeds, words, from_text)
     with timed("rewrite"):
         done = materialize(rewritten(files, mapping, config, root, header), "rewritten")
-        if twice := done.groupBy("path").count().filter("count > 1").first():
+        whole = done.filter("start = 0") if block else done
+        if twice := whole.groupBy("path").count().filter("count > 1").first():
             raise SameName(f"{twice['count']} files would be written as {twice['path']}")
     with timed("write"):
-        materialize(sinks.write_files(done.select("path", "text"), folder), "written")
+        materialize(sinks.write_blocks(done, folder) if block else sinks.write_files(done.select("path", "text"), folder), "written")
     with timed("verify"):
         pairs = materialize(engine.mapping_table(files, mapping, config), "pairs")
         findings = None
         if check:
             identity = verify.identity(files, discover.sections(files))
-            findings = materialize(verify.verify(done.select("path", "text"), pairs, identity, config.obfuscate_private_ip), "findings")
+            label = F.format_string("%s@%d", F.col("path"), F.col("start")).alias("path") if block else F.col("path")
+            findings = materialize(verify.verify(done.select(label, "text"), pairs, identity, config.obfuscate_private_ip), "findings")
     names = {k: str(Path(records or config.dataset_dir, v)) for k, v in artifact_names(stamp, host).items()}
     names["mappings"] = sinks.save_mapping(mapping, names["mappings"], password if config.encrypt_mappings else None)
     raw = lambda *p: report.sha256_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(p)))
     sinks.save_json(sinks.audit_record(raw(*paths), raw(folder), stamp, "batch", names["mappings"], operator), names["audit"])
     told = sinks.report(report.counts_by_category(pairs), findings, stamp)
-    sinks.save_json(told | {"unreadable": unreadable, "seconds": seconds, "changed": done.filter("changed").count(), "files": done.count()}, names["report"])
+    sinks.save_json(told | {"unreadable": unreadable, "seconds": seconds, "changed": done.filter("changed").select("path").distinct().count(), "files": whole.count()}, names["report"])
     return Outcome(mapping, 0 if findings is None or findings.isEmpty() else 3, names, unreadable, seconds)

@@ -78,13 +78,36 @@ def networks(found: DataFrame, private: bool = True) -> DataFrame:
     return first_seen(rows, "real_net", "prefixlen").withColumn("category", ipv4.category(F.col("real_net")))
 
 
+def headers_before(blocks: DataFrame) -> DataFrame:
+    """path, start, header_before, lines_before, is_last: what each block of a file takes over from the blocks before it.
+
+    The window holds one narrow row for each block, and no text.
+    """
+    marks = F.filter(F.transform(F.split("text", "\n"), lambda line: F.trim(line)), lambda line: line.startswith("#"))
+    own = blocks.select("path", "start", F.try_element_at(marks, F.lit(-1)).alias("mark"), F.regexp_count("text", F.lit("\n")).alias("ends"))
+    order = Window.partitionBy("path").orderBy("start")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return own.select("path", "start", F.last("mark", ignorenulls=True).over(before).alias("header_before"),
+                      F.coalesce(F.sum("ends").over(before), F.lit(0)).cast("int").alias("lines_before"), F.lead("start").over(order).isNull().alias("is_last"))
+
+
 def sections(files: DataFrame) -> DataFrame:
-    """path, header, line_no, line: lines below ``# /path`` headers; a section ends at the next line that begins with #."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """path, header, line_no, line: lines below ``# /path`` headers; a section ends at the next line that begins with #.
+
+    Files may come in blocks of whole lines (with the column ``start``): sections
+    go on from block to block, and lines are numbered in their file.
+    """
+    in_blocks = "start" in files.columns
+    keys = ["path", "start"] if in_blocks else ["path"]
+    last_no = [(F.size(F.split("text", "\n")) - 1).alias("last_no")] if in_blocks else []
+    lines = files.select(*keys, *last_no, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     marks = F.when(F.trim("line").rlike(r"^#"), F.struct("line_no", F.trim(F.col("line")).alias("header")))
-    below = Window.partitionBy("path").orderBy("line_no")
-    marked = lines.withColumn("mark", F.last(marks, ignorenulls=True).over(below))
-    return marked.filter(~F.trim("line").rlike("^#") & F.col("mark.header").rlike(r"^# ?/")).select("path", F.col("mark.header").alias("header"), "line_no", "line")
+    below = Window.partitionBy(*keys).orderBy("line_no")
+    marked = lines.withColumn("mark", F.last(marks, ignorenulls=True).over(below)).withColumn("header", F.col("mark.header"))
+    if in_blocks:  # what follows the last line end of a block is the next block's first line
+        marked = marked.join(headers_before(files), keys).filter(F.col("is_last") | (F.col("line_no") < F.col("last_no")))
+        marked = marked.withColumn("header", F.coalesce("header", "header_before")).withColumn("line_no", F.col("line_no") + F.col("lines_before"))
+    return marked.filter(~F.trim("line").rlike("^#") & F.col("header").rlike(r"^# ?/")).select("path", "header", "line_no", "line")
 
 
 def any_of(tests: Iterable[Column]) -> Column:

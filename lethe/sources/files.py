@@ -104,12 +104,15 @@ def from_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def first_line_only(files: DataFrame) -> DataFrame:
-    """head (what is to be rewritten) and tail of each text: for statistics reports (sarYYYYMMDD) only the first line is rewritten."""
+    """head (what is to be rewritten) and tail of each text: for statistics reports (sarYYYYMMDD) only the first line is rewritten, and of later blocks nothing."""
     sar = basename(F.col("path")).rlike(r"^sar\d{8}(\.xz)?$")
     cut = F.instr("text", "\n")
     head = F.when(sar & (cut > 0), F.substring(F.col("text"), F.lit(1), cut - 1)).otherwise(F.col("text"))
     tail = F.when(sar & (cut > 0), F.substring(F.col("text"), cut, F.char_length("text"))).otherwise("")
-    return files.select("path", head.alias("text"), tail.alias("tail"))
+    if "start" not in files.columns:
+        return files.select("path", head.alias("text"), tail.alias("tail"))
+    later = sar & (F.col("start") > 0)
+    return files.select("path", "start", F.when(later, "").otherwise(head).alias("text"), F.when(later, F.col("text")).otherwise(tail).alias("tail"))
 
 
 def read_keywords(spark: SparkSession, path: str) -> list[str]:

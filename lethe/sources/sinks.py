@@ -11,6 +11,7 @@ import json
 import lzma
 import os
 import tarfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -48,6 +49,54 @@ def write_files(files: DataFrame, folder: str, root: str = "") -> DataFrame:
     return files.mapInPandas(run, "path string, bytes long")
 
 
+#: Compressed as the name says, a block at a time.
+OPENERS = {".gz": lambda p: gzip.GzipFile(p, "wb", mtime=0), ".xz": lambda p: lzma.open(p, "wb"), ".bz2": lambda p: bz2.open(p, "wb")}
+
+
+def write_blocks(blocks: DataFrame, folder: str, root: str = "") -> DataFrame:
+    """write_files() for files in blocks (path, start, text): each is written in the order of its blocks by one task, which holds a few of them at a time.
+
+    A file appears under its name when it is whole: a task that ends early
+    leaves no part of it there, and one that runs again writes it anew.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target = part = out = None
+        done = []
+
+        def close():
+            if out is not None:
+                out.close()
+                os.replace(part, target)
+                done.append((str(target), os.path.getsize(target)))
+
+        current = None
+        try:
+            for batch in batches:
+                for path, text in zip(batch["path"], batch["text"]):
+                    if path != current:
+                        close()
+                        out, current = None, path
+                        target = Path(folder, path.removeprefix("file:").removeprefix(root).lstrip("/"))
+                        if not os.path.realpath(target).startswith(os.path.realpath(folder) + os.sep):
+                            raise ValueError(f"{path} leads out of {folder}")
+                        target.parent.mkdir(parents=True, exist_ok=True)
+                        part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+                        out = OPENERS.get(target.suffix.lower(), lambda p: open(p, "wb"))(part)
+                    out.write((text or "").encode())
+                yield pd.DataFrame(done, columns=["path", "bytes"])
+                done.clear()
+            close()
+            out = None
+            yield pd.DataFrame(done, columns=["path", "bytes"])
+        finally:
+            if out is not None:  # the task failed or was stopped inside this file
+                out.close()
+                Path(part).unlink(missing_ok=True)
+
+    ordered = blocks.select("path", "start", "text").repartition("path").sortWithinPartitions("path", "start")
+    return ordered.mapInPandas(run, "path string, bytes long")
+
+
 def pack(folder: str, archive: str) -> str:
     """Pack a folder as a .txz archive, in the order of names."""
     with tarfile.open(archive, "w:xz") as tar:

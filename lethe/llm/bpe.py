@@ -277,9 +277,9 @@ def codec(path: str) -> Codec:
 def encode_column(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", special: bool = True) -> DataFrame:
     """``docs`` and the column ``ids`` (array of int) of whole texts.
 
-    Null texts count as empty, and have no ids; equal texts get equal ids; an
-    empty table gives no rows; other columns pass through. ``ids`` must be a
-    new name.
+    Null texts count as empty, and have no ids; equal texts, and so ties and
+    repeated rows, get equal ids, a row for each; an empty table gives no rows;
+    other columns pass through, but one called ``ids`` gives way.
     """
     path = path or default_path()
     return append_columns(docs, [text], T.StructType([_ids_field(ids)]), lambda texts: [_encoded(path, texts, special)])

@@ -97,12 +97,15 @@ SLICE = 256
 def append_columns(df: DataFrame, inputs: list[str], fields: T.StructType, make: Callable[..., list[pa.Array]], without: tuple[str, ...] = ()) -> DataFrame:
     """``df`` (but for its columns ``without``) and the columns ``fields``, which ``make`` computes from Arrow arrays of the columns ``inputs``.
 
+    Columns of ``df`` with names of ``fields`` (in any case) give way to the new ones, as with withColumn.
+
     Works on ``SLICE`` rows at a time, so that the memory of a Python worker
     follows the longest rows and not the batch size. Workers live on between
     stages; what Arrow holds in reserve is let go when a partition is over.
     """
     at = [df.columns.index(c) for c in inputs]
-    passed = [k for k, c in enumerate(df.columns) if c not in without]
+    gone = {*without, *(f.name.lower() for f in fields)}
+    passed = [k for k, c in enumerate(df.columns) if c not in without and c.lower() not in gone]
     schema = T.StructType([*(df.schema.fields[k] for k in passed), *fields.fields])
     arrow = to_arrow_schema(schema)
 

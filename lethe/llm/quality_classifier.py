@@ -5,8 +5,10 @@ shapes, are scaled by class log-count ratios; a linear hinge-loss model is
 fitted on them by dual coordinate descent, and its margins become probabilities
 by a logistic curve over out-of-fold margins.
 
-Scale: the fit sees at most ``sample`` labelled rows, picked by hash; scoring is
-a narrow pass over Arrow batches with one array of weights.
+Scale: the fit sees at most ``sample`` labelled rows, picked by hash, and of these
+as many as have ``MOST_COLUMNS`` indicators in all, however often ids repeat and
+however long texts are; scoring is a narrow pass over Arrow batches with one
+array of weights.
 """
 
 from __future__ import annotations
@@ -17,15 +19,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WORD, append_columns, table
 from .linear import DIM, calibrate, columns_of, dual_descent, log_count_ratios, mix64, scaled, sigmoid
 
-#: Most labelled rows that the classifier is fitted on.
+#: Most labelled rows that the classifier is fitted on, and most indicators in all of them (64 MB).
 SAMPLE = 6_000
+MOST_COLUMNS = 1 << 24
 THRESHOLD = 0.3
 FOLDS = 3
 CACHE = 300_000
@@ -106,16 +109,27 @@ def fit(rows: list[np.ndarray], positive: np.ndarray) -> Model:
     return Model(whole.scale, whole.weights, whole.bias, slope, shift)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, make) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature columns and labels of at most ``sample`` labelled documents, picked by the hash of doc_id, in a fixed order."""
+def with_labels(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """doc_id, label, text of the documents of ``sample`` labels, picked by the hash of doc_id; null labels and ids don't count, repeated labels count once."""
     picked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    picked = picked.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
 
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, make, most: int = MOST_COLUMNS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature columns and labels of at most ``sample`` labelled documents with ``most`` columns in all, picked by the hash of doc_id, in a fixed order.
+
+    Documents of one doc_id are rows of their own. The window holds ``sample``
+    rows at most.
+    """
     def run(texts: pa.Array) -> list[pa.Array]:
         return [pa.array([make(t.as_py()) for t in texts], pa.list_(pa.int32()))]
 
-    found = append_columns(rows, ["text"], T.StructType([T.StructField("row", T.ArrayType(T.IntegerType()))]), run).drop("text").toPandas()
+    rows = append_columns(with_labels(docs, labels, label, sample), ["text"], T.StructType([T.StructField("row", T.ArrayType(T.IntegerType()))]), run)
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.size("row"), F.xxhash64("row")]
+    few = rows.select("doc_id", "label", "row").orderBy(*order).limit(sample)
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = few.withColumn("upto", F.sum(F.size("row")).over(upto)).filter(F.col("upto") <= most).drop("upto").toPandas()
     found["at"] = [xxhash.xxh64_intdigest(str(d)) for d in found["doc_id"]]
     found["length"] = found["row"].map(len)
     found = found.sort_values(["at", "label", "length"], kind="stable")
@@ -136,8 +150,9 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` and the column ``name``: the probability of label 1.
 
     Null and empty texts get the score of no indicators; whole texts are read,
-    however long; equal texts get equal scores; an empty table gives no rows;
-    other columns pass through. ``name`` must be new.
+    however long; equal texts, and so ties and repeated rows, get equal scores,
+    a row for each; an empty table gives no rows; other columns pass through,
+    but one called ``name`` gives way to the score.
     """
     def make(texts: pa.Array) -> list[pa.Array]:
         return [pa.array([model.score(features(t.as_py())) for t in texts], pa.float64())]

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import WORD, append_columns, free_name, table
+from .quality_classifier import with_labels
 
 #: Most labelled rows that a list is fitted on.
 SAMPLE = 20_000
@@ -190,19 +191,14 @@ def verdict(rules: Sequence[Sequence[Condition]], statistics: Column) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """At most ``sample`` labelled rows (doc_id, text, label), picked by the hash of doc_id; null labels don't count."""
-    picked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id"), F.col(label).cast("int").alias("label"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-
-
 def learn_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", reject: int = 0, sample: int = SAMPLE) -> list[list[Condition]]:
-    """A decision list for ``labels[label] == reject``; no rules where there are too few labels."""
-    rows = with_statistics(labelled_sample(docs, labels, label, sample)).select(
-        F.xxhash64("doc_id", "label").alias("at"), "label", *[F.col("statistics")[f].alias(f) for f in FEATURES]).toPandas()
-    rows = rows.sort_values(["at", *FEATURES], kind="stable")
+    """A decision list for ``labels[label] == reject``; no rules where there are too few labels.
+
+    At most ``sample`` rows of statistics reach the driver, however often ids repeat.
+    """
+    rows = with_statistics(with_labels(docs, labels, label, sample)).select(
+        F.xxhash64("doc_id", "label").alias("at"), "label", *[F.col("statistics")[f].alias(f) for f in FEATURES])
+    rows = rows.orderBy("at", *FEATURES).limit(sample).toPandas().sort_values(["at", *FEATURES], kind="stable")
     return fit_list(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy() == reject)
 
 

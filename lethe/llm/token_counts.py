@@ -117,7 +117,7 @@ class CountTree:
         return out, len(words)
 
     def split(self, first: int, stop: int, chars: list[int], tokens: list[int]) -> None:
-        """Leaves from ``first`` to before ``stop`` give way to one for each new pre-token; the sums above are added up anew."""
+        """Leaves from ``first`` to before ``stop`` give way to one for each new pre-token; the sums above are added up anew, in time that follows the leaves of the document."""
         old_chars, old_tokens = self.chars[self.size:], self.tokens[self.size:]
         chars = np.concatenate([old_chars[:first], np.array(chars, np.int32), old_chars[stop:]])
         tokens = np.concatenate([old_tokens[:first], np.array(tokens, np.int32), old_tokens[stop:]])
@@ -130,8 +130,9 @@ def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` and the columns tree_chars, tree_tokens (arrays of node sums) and n_tokens.
 
     Null texts count as empty, with a tree of one empty leaf; strings of added
-    tokens are ordinary text; equal texts get equal trees; an empty table gives
-    no rows; other columns pass through, but must not bear those names.
+    tokens are ordinary text; equal texts, and so ties and repeated rows, get
+    equal trees, a row for each; an empty table gives no rows; other columns
+    pass through, but those of these names give way.
     """
     path = path or default_path()
 

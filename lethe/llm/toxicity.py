@@ -1,9 +1,12 @@
 """Toxicity: a classifier chain over toxicity categories.
 
 The chain goes explicit -> severe -> toxic. ``toxic`` is the label given. The
-labels mark no finer categories, so the other two are derived from it and the
-text: terms that the labels tie to toxicity form a lexicon; a toxic document
-with any of them is explicit, one with a dense use of them is severe.  Each
+labels mark no finer categories, so the other two are read from the text alone,
+be it toxic or not: terms that the labels tie to toxicity form a lexicon; a text
+with any of them is explicit, one with a dense use of them is severe. A row's
+own label has no part in its categories: they are told by a lexicon of the other
+folds. So a quotation or a joke may be explicit and not toxic, and the last link
+learns how much an earlier probability says. Each
 link is a linear hinge-loss model on term and word-beginning indicators and on
 the probabilities of the categories before it; while training, those are
 out-of-fold predictions, so that a link sees them as they will be in use.
@@ -85,14 +88,13 @@ def _fit_link(rows: list[np.ndarray], earlier: np.ndarray, positive: np.ndarray)
     return Link(scale, w.astype(np.float32), u, 1.0, 0.0)
 
 
-def derive_categories(rows: list[np.ndarray], toxic: np.ndarray, least_ratio: float = 3.0, known: np.ndarray | None = None) -> np.ndarray:
-    """One column for each of CATEGORIES. known: the rows that the lexicon is drawn from, all unless given."""
-    known = np.ones(len(rows), bool) if known is None else known
+def derive_categories(rows: list[np.ndarray], toxic: np.ndarray, known: np.ndarray, least_ratio: float = 3.0) -> np.ndarray:
+    """One column for each of CATEGORIES, for all rows. known: the rows that the lexicon, and what counts as dense, are drawn from."""
     lexicon = log_count_ratios([r for r, k in zip(rows, known) if k], toxic[known], least=5) >= least_ratio
     hits = np.array([int(lexicon[r].sum()) for r in rows])
     share = hits / np.array([max(1, len(r)) for r in rows])
-    explicit = toxic & (hits > 0)
-    severe = explicit & (share >= (np.median(share[explicit]) if explicit.any() else 1.0))
+    explicit = hits > 0
+    severe = explicit & (share >= (np.median(share[explicit & known]) if (explicit & known).any() else 1.0))
     return np.stack([explicit, severe, toxic], axis=1)
 
 
@@ -131,16 +133,20 @@ def fit_chain(rows: list[np.ndarray], categories: np.ndarray, folds: int = FOLDS
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> list[Link]:
     rows, toxic = labelled_rows(docs, labels, label, sample, features)
+    if not rows:
+        return fit_chain([], np.zeros((0, len(CATEGORIES)), bool))
     fold = np.arange(len(rows)) % FOLDS
-    return fit_chain(rows, derive_categories(rows, toxic), FOLDS, [derive_categories(rows, toxic, known=fold != f) for f in range(FOLDS)])
+    of_fold = [derive_categories(rows, toxic, fold != f) for f in range(FOLDS)]
+    return fit_chain(rows, np.stack(of_fold)[fold, np.arange(len(rows))], FOLDS, of_fold)
 
 
 def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
     """``docs`` and a probability ``<category>_score`` for each of CATEGORIES.
 
     Null and empty texts get the scores of no indicators; whole texts are read,
-    however long; equal texts get equal scores; an empty table gives no rows;
-    other columns pass through, but must not bear those names.
+    however long; equal texts, and so ties and repeated rows, get equal scores,
+    a row for each; an empty table gives no rows; other columns pass through,
+    but those of these names give way.
     """
     def make(texts: pa.Array) -> list[pa.Array]:
         found = [probabilities(chain, features(t.as_py())) for t in texts]

@@ -237,8 +237,9 @@ def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFram
     """``docs`` and the binary column ``media``: each padded UTF-8 text as a transport stream.
 
     Null texts count as empty and give 64 bytes 0; whole texts are stored,
-    however long; equal texts give equal bytes; an empty table gives no rows;
-    other columns pass through. ``media`` must be a new name.
+    however long; equal texts, and so ties and repeated rows, give equal bytes,
+    a row for each; an empty table gives no rows; other columns pass through,
+    but one called ``media`` gives way.
     """
     def make(texts: pa.Array) -> list[pa.Array]:
         return [pa.array([mux(pad((t.as_py() or "").encode("utf-8", "surrogatepass"))) for t in texts], pa.binary())]

@@ -229,8 +229,9 @@ def hostname_passes(table: DataFrame, preserve: tuple[str, ...] = ()) -> list[Pa
              [("(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"), ("(?<![A-Za-z])", "(?![A-Za-z0-9])")], "", True)]
 
 
-def username_passes(table: DataFrame) -> list[Pass]:
-    return [(_entries(table, F.col("real"), F.col("fake")), [(r"\b", r"\b")], "(?U)", False)]
+def username_passes(table: DataFrame, boundaries: tuple[str, str] = (r"\b", r"\b")) -> list[Pass]:
+    """boundaries: before and after a name; by default those of words in any script."""
+    return [(_entries(table, F.col("real"), F.col("fake")), [boundaries], "(?U)", False)]
 
 
 def serial_passes(table: DataFrame) -> list[Pass]:

@@ -148,14 +148,12 @@ def by_mapping(files: DataFrame, entity: E.Entity, mapping: DataFrame, most: int
         m = lookup({r.real: r.fake for r in head})
         return files.withColumn("text", entity.apply(F.col("text"), lambda v: F.coalesce(F.try_element_at(m, v), v)))
     hits = F.regexp_extract_all("text", F.lit(entity.pattern), F.lit(0))
-    value = entity.normal(F.regexp_extract("hit", entity.inner, entity.groups))
     own = F.md5("text").alias("own")  # a path may occur twice; rows of one path and text are the same row
     each = files.filter(F.col("text").rlike(entity.pattern)).select("path", own, F.posexplode(hits).alias("i", "hit"))
-    each = each.withColumn("real", value)
+    each = each.withColumn("real", entity.value_of(F.col("hit")))
     if entity.keep:
         each = each.withColumn("real", F.when(~entity.keep(F.col("real")), F.col("real")))
-    before = F.regexp_extract("hit", entity.inner, 1) if entity.groups == 2 else F.lit("")
-    met = each.join(mapping.select("real", "fake"), "real", "left").withColumn("new", F.coalesce(F.concat(before, "fake"), "hit"))
+    met = each.join(mapping.select("real", "fake"), "real", "left").withColumn("new", F.coalesce(entity.replaced(F.col("hit"), F.col("fake")), "hit"))
     back = met.groupBy(F.col("path").alias("of_path"), "own").agg(F.array_sort(F.collect_set(F.struct("i", "new"))).alias("new"))
     gaps = F.split("text", entity.pattern, -1)
     joined = files.join(back, F.col("path").eqNullSafe(F.col("of_path")) & (F.md5("text") == F.col("own")), "left")

@@ -63,9 +63,9 @@ def _each(lines: DataFrame, pattern: str, gate: Column, category: str, group: in
     return _findings(rows, F.lit(category), F.col("value"))
 
 
-def unlisted_addresses(lines: DataFrame, private: bool = True) -> DataFrame:
-    """Addresses outside the safe networks. private: private ones are rewritten, so they are leaks too."""
-    found = _each(lines, ADDRESS, F.col("text").rlike(ipv4.MAY_HOLD), "unlisted IPv4")
+def unlisted_addresses(lines: DataFrame, private: bool = True, form: tuple[str, int] = (ADDRESS, 1)) -> DataFrame:
+    """Addresses outside the safe networks. private: private ones are rewritten, so they are leaks too. form: a pattern of addresses, and its group."""
+    found = _each(lines, form[0], F.col("text").rlike(ipv4.MAY_HOLD), "unlisted IPv4", form[1])
     safe = (*ipv4.SAFE, *ipv4.POOLS.values(), *(() if private else ipv4.PRIVATE.values()))
     return found.filter(~ipv4.within(ipv4.number(F.col("value")), *safe))
 
@@ -76,8 +76,8 @@ def unlisted_macs(lines: DataFrame) -> DataFrame:
     return found.filter(~(low.startswith(E.MAC_OUI.lower()) | low.isin(*E.SAFE_MACS)))
 
 
-def emails(lines: DataFrame) -> DataFrame:
-    found = _each(lines, E.EMAIL, F.col("text").contains("@"), "email address")
+def emails(lines: DataFrame, entity: E.Entity = E.EMAIL_ENTITY) -> DataFrame:
+    found = _each(lines, entity.pattern, F.col("text").contains("@"), "email address", entity.group)
     domain = F.lower(F.substring_index("value", "@", -1))
     unit = reduce(lambda a, s: a | F.col("value").endswith(s), E.UNIT_SUFFIXES, F.lit(False))
     return found.filter(~unit & ~domain.isin(*SAFE_MAIL) & ~F.substring_index(domain, ".", -1).isin(*LOCALE_ENDINGS))
@@ -103,21 +103,22 @@ def distinguished_names(lines: DataFrame) -> DataFrame:
     return found.filter(~stay).withColumn("value", F.substring("value", 1, 80))
 
 
-def mapping_leaks(lines: DataFrame, mapping: DataFrame) -> DataFrame:
+def mapping_leaks(lines: DataFrame, mapping: DataFrame, form: tuple[str, int] = (ADDRESS, 1)) -> DataFrame:
     """Real values of ``mapping`` (category, real, fake) that still stand in texts.
 
     Tokens are extracted from lines by category and joined; values that may stand
-    anywhere (keywords, serial numbers, IPv6) are found by their grams.
+    anywhere (keywords, serial numbers, IPv6) are found by their grams. form: of
+    IPv4 addresses, as in unlisted_addresses().
     """
     known = mapping.filter((F.char_length("real") >= LEAST_VALUE) & ~F.lower("real").isin(*SAFE_DOMAINS) & ~F.col("real").rlike(f"^{OWN_FAKE}"))
     known = known.join(mapping.select(F.col("fake").alias("real")).distinct(), "real", "left_anti")
     labels = {"ip": "IPv4 address", "mac": "MAC address", "domain": "domain", "hostname": "hostname", "user": "username",
               "ipv6": "IPv6 address", "keyword": "keyword", "serial": "serial/UUID"}
-    tokens = {"ip": ADDRESS, "mac": E.MAC, "domain": r"(?<![\w\-])([\w-]++(?:\.[\w-]++)++)", "hostname": r"(?<![\w-])([\w-]+)(?![\w-])", "user": r"\b(\w[\w.-]*\w)\b"}
+    tokens = {"ip": form[0], "mac": E.MAC, "domain": r"(?<![\w\-])([\w-]++(?:\.[\w-]++)++)", "hostname": r"(?<![\w-])([\w-]+)(?![\w-])", "user": r"\b(\w[\w.-]*\w)\b"}
     parts = []
     for category, pattern in tokens.items():
         reals = known.filter(F.col("category") == category).select("real").distinct()
-        found = _each(lines, pattern, F.lit(True), labels[category])
+        found = _each(lines, pattern, F.lit(True), labels[category], form[1] if category == "ip" else 1)
         if category == "domain":  # parents leak with what stands below them
             found = found.withColumn("value", F.explode(domains.parents(F.col("value"))))
         parts.append(found.join(reals, found["value"] == reals["real"], "left_semi"))

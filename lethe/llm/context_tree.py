@@ -46,8 +46,10 @@ from .common import discard, materialize, table
 
 #: Bytes of the longest context; at most 5, so that a gram and a place fit 64 bits.
 DEPTH = 4
-#: Bytes of texts that are counted together, and that are scored together; a longer text stands alone. Distinct grams grow far slower than these.
-COUNT_BYTES, SCORE_BYTES = 24 << 20, 4 << 20
+#: Bytes of texts whose counts leave a task together, and that are scored together; a longer text stands alone. Distinct grams grow far slower than these.
+COUNT_BYTES, SCORE_BYTES = 24 << 20, 1 << 20
+#: Bytes of texts that are read together for counting, and grams that are made at a time, be they of one text.
+READ_BYTES, WINDOW = 1 << 20, 1 << 20
 #: Grams and words that every task holds: 16 MB, and some 30 MB. All others are joined.
 HOT_GRAMS, HOT_WORDS = 1 << 20, 1 << 18
 #: The end mark, a byte that UTF-8 never holds.
@@ -63,18 +65,25 @@ COLD = T.StructType([
     T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.BinaryType()))])
 
 
-def grams_of(texts: list[bytes], depth: int) -> np.ndarray:
-    """The grams of texts, one for each byte and each end: the context of ``depth`` bytes, and the byte, as one number."""
+def gram_windows(texts: list[bytes], depth: int, size: int) -> Iterator[np.ndarray]:
+    """The grams of texts, one for each byte and each end: the context of ``depth`` bytes, and the byte, as one number; of up to so many places at a time."""
     pad = END * depth
     data = np.frombuffer(pad + (END + pad).join(texts) + END, np.uint8)
-    out = np.zeros(len(data) - depth, np.int64)
-    for k in range(depth + 1):
-        out <<= 8
-        out |= data[k:len(data) - depth + k]
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + depth + 1)[:-1] - depth
-    own = np.ones(len(out), bool)
-    own[(ends[:, None] + np.arange(depth)).ravel()] = False  # windows over two texts
-    return out[own]
+    over = (ends[:, None] + np.arange(depth)).ravel()  # windows over two texts
+    for start in range(0, len(data) - depth, size):
+        stop = min(start + size, len(data) - depth)
+        out = np.zeros(stop - start, np.int64)
+        for k in range(depth + 1):
+            out <<= 8
+            out |= data[start + k:stop + k]
+        a, b = np.searchsorted(over, [start, stop])
+        yield np.delete(out, over[a:b] - start) if b > a else out
+
+
+def grams_of(texts: list[bytes], depth: int) -> np.ndarray:
+    """All grams of texts."""
+    return np.concatenate(list(gram_windows(texts, depth, WINDOW)))
 
 
 def _pieces(grams: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -90,7 +99,13 @@ def _pieces(grams: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np
 
 def counted(grams: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams, ascending, and how often each occurs."""
-    found = [(keys, np.diff(np.r_[first, len(places)])) for _, keys, first, places in _pieces(grams, depth)]
+    return added([(keys, np.diff(np.r_[first, len(places)])) for _, keys, first, places in _pieces(grams, depth)])
+
+
+def added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, ascending, and their counts, from several such pairs."""
+    if len(found) == 1:
+        return found[0]
     keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
     return keys, np.bincount(at, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
 
@@ -130,24 +145,44 @@ def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tu
 
 def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """gram, n of ``texts`` (text)."""
+    def batch_of(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _stretches(batches, COUNT_BYTES):
-            grams = grams_of([t for t, in rows], depth)
-            keys, n = counted(grams, depth)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["gram", "n"])
+        held, read = [], 0
+        for rows in _stretches(batches, READ_BYTES):
+            for grams in gram_windows([t for t, in rows], depth, WINDOW):
+                held.append(counted(grams, depth))
+                read += len(grams)
+                if len(held) == 8 or read >= COUNT_BYTES:
+                    held = [added(held)]
+                if read >= COUNT_BYTES:
+                    yield batch_of(*held[0])
+                    held, read = [], 0
+        if held:
+            yield batch_of(*added(held))
 
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (bytes), n of ``texts`` (text); every text has one END_WORD."""
+    def batch_of(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _stretches(batches, COUNT_BYTES):
-            n: Counter = Counter()
+        n: Counter = Counter()
+        read = 0
+        for rows in _stretches(batches, READ_BYTES):
             for text, in rows:
                 n.update(text.split())
+                read += len(text) + 1
             n[END_WORD] += len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+            if read >= COUNT_BYTES:
+                yield batch_of(n)
+                n, read = Counter(), 0
+        if n:
+            yield batch_of(n)
 
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

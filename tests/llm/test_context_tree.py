@@ -116,6 +116,34 @@ def test_pieces_change_nothing():
     assert (values == np.where(held, grams * 2.0, 0)).all() and missing.tolist() == np.flatnonzero(~held).tolist()
 
 
+def test_windows_are_bounded_and_leave_nothing_out():
+    texts = [b"abcabc", b"", b"x", b"the end of a text " * 9, b"ab"]
+    expected = [int.from_bytes((C.END * 4 + t + C.END)[i:i + 5], "big") for t in texts for i in range(len(t) + 1)]
+    for size in (1, 3, 7, 1000):
+        windows = list(C.gram_windows(texts, 4, size))
+        assert max(map(len, windows)) <= size and np.concatenate(windows).tolist() == expected
+    assert C.grams_of(texts, 4).tolist() == expected
+
+
+def test_counts_of_many_megabytes_take_few(monkeypatch):
+    import tracemalloc
+
+    class Docs:  # stands for a DataFrame, and keeps the function of its tasks
+        def __getattr__(self, name):
+            return lambda *a, **k: (setattr(self, "run", a[0]) if name == "mapInArrow" else None, self)[1]
+
+    monkeypatch.setattr(C, "F", Docs())
+    docs = Docs()
+    C.gram_counts(docs)
+    batches = [C.pa.record_batch([C.pa.array([f"some words {k} {i} " * 6_000 for i in range(5)])], ["text"]) for k in range(16)]
+    tracemalloc.start()
+    total = sum(sum(b.column(1).to_pylist()) for b in docs.run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == sum(len(t) + 1 for b in batches for t in b.column(0).to_pylist()) and total > 7 << 20
+    assert peak < 70 << 20
+
+
 @pytest.mark.parametrize("grams,words", [(1, 1), (40, 5)])
 def test_what_is_joined_adds_up_as_what_is_held(spark, monkeypatch, grams, words):
     docs = frame(spark)

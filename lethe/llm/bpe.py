@@ -240,7 +240,8 @@ class Codec:
 
     def counts(self, words: list[str]) -> list[int]:
         """Numbers of tokens of pre-tokens."""
-        return [len(ids) // 4 for ids in map(self.look_up(set(words)).__getitem__, words)]
+        known = self.known if all(map(self.known.__contains__, words)) else self.look_up(set(words))
+        return [len(ids) // 4 for ids in map(known.__getitem__, words)]
 
     def encode_texts(self, texts: Iterable[str], special: bool = True) -> Iterator[bytes]:
         """The ids of each text, as bytes of 32-bit numbers."""

@@ -17,7 +17,7 @@ narrow passes over Arrow batches, one document at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Codec, codec, default_path
+from .bpe import TOGETHER, Codec, codec, default_path
 from .common import append_columns, table
 
 #: Characters past its end that a match of the pre-token pattern depends on.
@@ -58,8 +58,26 @@ class CountTree:
 
     @classmethod
     def build(cls, text: str, c: Codec) -> CountTree:
-        words = c.split.findall(text)
-        return cls(_levels(np.fromiter(map(len, words), np.int32, len(words))), _levels(np.array(c.counts(words), np.int32)))
+        return next(cls.build_all([text], c))
+
+    @classmethod
+    def build_all(cls, texts: Iterable[str], c: Codec) -> Iterator[CountTree]:
+        """The trees of texts; the pre-tokens of some are looked up together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(c.split.findall(text))
+            size += len(text)
+            if size >= TOGETHER:
+                yield from cls._joined(held, c)
+                held, size = [], 0
+        yield from cls._joined(held, c)
+
+    @classmethod
+    def _joined(cls, held: list[list[str]], c: Codec) -> Iterator[CountTree]:
+        ids = c.look_up(set().union(*held))
+        for words in held:
+            tokens = np.fromiter(map(len, map(ids.__getitem__, words)), np.int32, len(words)) // 4
+            yield cls(_levels(np.fromiter(map(len, words), np.int32, len(words))), _levels(tokens))
 
     @property
     def total(self) -> int:
@@ -138,7 +156,7 @@ def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def make(texts: pa.Array) -> list[pa.Array]:
         c = codec(path)
-        trees = [CountTree.build(t.as_py() or "", c) for t in texts]
+        trees = list(CountTree.build_all((t.as_py() or "" for t in texts), c))
         return [pa.array([t.chars for t in trees], pa.list_(pa.int32())), pa.array([t.tokens for t in trees], pa.list_(pa.int32())),
                 pa.array([t.total for t in trees], pa.int64())]
 

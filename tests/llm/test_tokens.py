@@ -126,3 +126,16 @@ def test_cache_generations_keep_ids(monkeypatch):
     monkeypatch.setattr(bpe, "TOGETHER", 150)
     assert [list(np.frombuffer(x, np.int32)) for x in c.encode_texts(texts)] == whole
     assert c.counts(["x" * 90, "other"]) == [len(c.encode("x" * 90)), len(c.encode("other"))]
+
+
+def test_trees_of_many_texts_look_up_pretokens_together(monkeypatch):
+    c = bpe.Codec(bpe.default_path())
+    many = [*texts(300, 60, 6)]
+    alone = [token_counts.CountTree.build(t, c) for t in many]
+    calls, look_up = [], c.look_up
+    monkeypatch.setattr(c, "look_up", lambda words: (calls.append(len(words)), look_up(words))[1])
+    together = list(token_counts.CountTree.build_all(many, c))
+    assert len(calls) == 1 and len(together) == len(many)
+    monkeypatch.setattr(token_counts, "TOGETHER", 100)
+    for trees in (together, list(token_counts.CountTree.build_all(many, c))):
+        assert all((a.chars == b.chars).all() and (a.tokens == b.tokens).all() for a, b in zip(alone, trees, strict=True))

@@ -49,6 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Let go what nothing refers to any more, on the driver, in Python and in the JVM, which gives back what its heap then doesn't need."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str, options: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back. options: of the writer.
 
@@ -58,8 +64,7 @@ def materialize(df: DataFrame, label: str, options: Mapping[str, str] = MappingP
     the garbage that refers to them.
     """
     spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

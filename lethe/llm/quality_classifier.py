@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, append_columns, table
+from .common import WORD, append_columns, release, table
 from .linear import DIM, calibrate, columns_of, dual_descent, log_count_ratios, mix64, scaled, sigmoid
 
 #: Most labelled rows that the classifier is fitted on, and most indicators in all of them (64 MB).
@@ -129,7 +129,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, m
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.size("row"), F.xxhash64("row")]
     few = rows.select("doc_id", "label", "row").orderBy(*order).limit(sample)
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    release(docs.sparkSession)  # models of earlier runs
     found = few.withColumn("upto", F.sum(F.size("row")).over(upto)).filter(F.col("upto") <= most).drop("upto").toPandas()
+    release(docs.sparkSession)  # the JVM's copies of these rows
     found["at"] = [xxhash.xxh64_intdigest(str(d)) for d in found["doc_id"]]
     found["length"] = found["row"].map(len)
     found = found.sort_values(["at", "label", "length"], kind="stable")

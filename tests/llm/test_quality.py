@@ -214,3 +214,12 @@ def test_new_columns_replace_those_of_their_names(spark):
                             (B.recode_column(docs), "decoded", "string"), (K.build_trees(docs), "n_tokens", "bigint"), (S.store(docs), "media", "binary")):
         assert [c.lower() for c in out.columns].count(name) == 1 and "row" in out.columns and out.count() == len(ROWS)
         assert {c.lower(): t for c, t in out.dtypes}[name] == kind
+
+
+def test_rows_that_came_to_the_driver_are_let_go_before_the_fit(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(C, "release", lambda s: calls.append(s))
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    rows, y = C.labelled_rows(docs, labels, "quality", 10, C.features)
+    assert len(calls) == 2 and len(rows) == 2 and sorted(y) == [False, True]

@@ -43,3 +43,11 @@ def test_a_joined_mapping_keeps_the_characters_beside_a_value(spark, tables):
 def test_the_chain_finds_both_of_two_addresses(spark):
     got = spark.createDataFrame([("one@a.org two@b.org",)], "t string").select(E.EMAIL_ENTITY.apply(catalogue.F.col("t"))).first()[0]
     assert "one@" not in got and "two@" not in got
+
+
+@pytest.mark.parametrize("name", ["bearer_discover", "bearer_scrub", "counts_by_category", "coverage_first_seen", "topk_docs_by_hits"])
+def test_tokens_beside_letters_that_fold_to_ascii(spark, tmp_path, name):
+    long = "Ab9" * 15
+    texts = [f"Bearer {long}\u017f", f"Bearer {long}\u212a/x", f"to\u212aen: {long}", f"Bearer\x0b{long}", f"x-auth-token\n{long}", f"token =\t\"{long}\u0130", long, "token", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert assert_matches(catalogue.QUERIES[name](spark, str(tmp_path)), str(tmp_path), catalogue.ORACLE_SQL[name])

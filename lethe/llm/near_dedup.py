@@ -14,7 +14,9 @@ then on.  A band's bucket is compared against one centre at a time, never pair
 by pair: what fails against the centre stays for a second round with a new
 centre.  All members of buckets that hold more than one class after that, linked
 ones too, go through an exact prefix-filter join, which finds every pair of
-different classes that is similar enough.  Classes come from alternating large-
+different classes that is similar enough.  Before it, shingles with many nodes of
+several classes are compared with one centre at a time as well, so that a large
+group of near copies needs no pairs of all its members.  Classes come from alternating large-
 and small-star steps.  Every step is an aggregation or an equi-join; each round
 is cut into the shared folder; nothing is collected.
 """
@@ -43,6 +45,11 @@ CENTRE_ROUNDS = 2
 RANK_BITS = 16
 #: Bounds are loosened by this much, so that rounding loses no pair.
 SLACK = 1e-6
+#: Bits of the sketch that bounds, inside the joins, how far two texts differ; in words of 64.
+SKETCH = 512
+#: Nodes of other roots than the first from which a shingle's nodes are compared with one of them before the exact join,
+#: and rounds of that; each round looks at one pair for each row at most.
+LARGE, SETTLING_ROUNDS = 64, 4
 CACHE = 150_000
 
 _word = re.compile(WORD)
@@ -172,10 +179,8 @@ def find_roots(docs: DataFrame, nodes: DataFrame, similarity: float, width: int)
     roots = close_links(done)
     undecided = materialize(mixed_members(first, roots), "dedup-undecided")
     if not undecided.isEmpty():
-        pairs = prefix_pairs(texts, undecided, similarity, width)
-        more = materialize(compare(pairs, texts, similarity, width).filter("linked").select("centre", "node"), "dedup-links")
-        if not more.isEmpty():
-            roots = close_links(done.union(more))
+        more = link_undecided(texts, undecided, done, similarity, width)
+        roots = roots if more is None else more
     return roots
 
 
@@ -218,44 +223,111 @@ def rarest_first(text: str | None, ranks: np.ndarray, width: int) -> np.ndarray:
     return np.sort((ranks[_part(found)] << low) | (found & np.uint64((1 << (64 - RANK_BITS)) - 1)))
 
 
-def prefix_pairs(texts: DataFrame, undecided: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Pairs (centre, node) of ``undecided`` nodes of different roots, all those of the similarity among them.
+def sketch(elements: np.ndarray) -> list[int]:
+    """SKETCH bits: which of as many classes of shingles a set has an odd number of.
 
-    An exact prefix-filter join: two sets that are similar enough share one of
-    their first n - ceil(similarity n) + 1 shingles in any order, here by rarity.
-    Sizes and positions are compared inside the join. Of each shingle, the root
-    that most nodes have is only met from the other roots' side, so that the
-    pairs looked at are at most twice those of different roots.
+    Two sets differ in at least as many shingles as their sketches differ in bits.
     """
-    own = texts.join(undecided, "node").select("node", "root", "text")
-    own = materialize(own.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"), "text"), "dedup-undecided-texts")
+    odd = np.bincount((elements & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+_BITS = [f"s{k}" for k in range(SKETCH // 64)]
+
+
+def prefix_rows(texts: DataFrame, undecided: DataFrame, similarity: float, width: int) -> DataFrame:
+    """id, n (shingles), the sketch, pos and shingle for each shingle of the prefixes of ``undecided`` nodes; a table of its own."""
+    own = texts.join(undecided, "node").select(F.xxhash64("node").alias("id"), "text")
+    own = materialize(own, "dedup-undecided-texts")
     ranks = rarity_ranks(own, width)
 
     def make(column: pa.Array) -> list[pa.Array]:
-        sizes, prefixes = [], []
+        sizes, prefixes, sketches = [], [], []
         for t in column:
             ordered = rarest_first(t.as_py(), ranks, width)
             sizes.append(n := len(ordered))
             prefixes.append(ordered[:n - math.ceil(n * similarity - SLACK) + 1].astype(np.int64))
-        return [pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-
-    fields = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    rows = append_columns(own, ["text"], fields, make).select("id", "root", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    rows = materialize(rows, "dedup-prefixes")
-    held = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(
-        F.max_by("root", "m").alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("shingle", "most")
-    shared = materialize(rows.join(held, "shingle"), "dedup-shared")
+            sketches.append(sketch(ordered))
+        return [pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+
+    longs = T.ArrayType(T.LongType())
+    fields = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("prefix", longs), T.StructField("sketch", longs)])
+    bits = [F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(_BITS)]
+    rows = append_columns(own, ["text"], fields, make).select("id", "n", *bits, F.posexplode("prefix").alias("pos", "shingle"))
+    return materialize(rows, "dedup-prefixes")
+
+
+def shared_rows(rows: DataFrame, undecided: DataFrame) -> DataFrame:
+    """``rows`` whose shingle several roots have, with root, most (the root that most nodes of the shingle have) and off (its nodes of others)."""
+    rooted = rows.join(undecided.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root")), "id")
+    held = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(
+        F.max_by("root", "m").alias("most"), F.count(F.lit(1)).alias("roots"), (F.sum("m") - F.max("m")).alias("off")).filter("roots > 1").drop("roots")
+    return materialize(rooted.join(held, "shingle"), "dedup-shared")
+
+
+def _apart(a: str, b: str, similarity: float) -> F.Column:
+    """Whether sizes and sketches of two sets (aliases a and b) leave room for the similarity."""
+    an, bn = F.col(f"{a}.n"), F.col(f"{b}.n")
+    bits = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _BITS[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    return ((F.least(an, bn) >= F.greatest(an, bn) * similarity - SLACK)
+            & (bits <= (an + bn) * ((1 - similarity) / (1 + similarity)) + 2 * SLACK))
+
+
+def centre_pairs(shared: DataFrame, similarity: float, turn: int = 0, large: int = LARGE) -> DataFrame:
+    """Pairs (a, b) of ids: the nodes of a shingle with ``large`` nodes of other roots or more, and one of them, another for each shingle and turn."""
+    hot = shared.filter(F.col("off") >= large)
+    one = hot.groupBy("shingle").agg(F.min_by(F.struct("id", "root", "n", *_BITS), F.xxhash64(F.lit(turn), "shingle", "id")).alias("c")).select("shingle", "c.*")
+    met = hot.alias("a").join(one.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & _apart("a", "b", similarity))
+    return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
+def prefix_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ids of nodes of different roots, all those of the similarity among them.
+
+    An exact prefix-filter join: two sets that are similar enough share one of
+    their first n - ceil(similarity n) + 1 shingles in any order, here by rarity.
+    Sizes, positions and sketches are compared inside the join. Of each shingle, the root
+    that most nodes have is only met from the other roots' side, so that the
+    pairs looked at are at most twice those of different roots.
+    """
     a, b = shared.filter("root <> most").alias("a"), shared.alias("b")
     an, bn = F.col("a.n"), F.col("b.n")
     once = (F.col("b.root") == F.col("b.most")) | (F.col("a.id") < F.col("b.id"))
     needed = (an + bn) * (similarity / (1 + similarity)) - SLACK
     joined = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & once
-                    & (F.least(an, bn) >= F.greatest(an, bn) * similarity - SLACK)
-                    & (F.least(an - F.col("a.pos"), bn - F.col("b.pos")) >= needed))
-    pairs = materialize(joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "dedup-pairs")
+                    & (F.least(an - F.col("a.pos"), bn - F.col("b.pos")) >= needed) & _apart("a", "b", similarity))
+    return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def link_undecided(texts: DataFrame, undecided: DataFrame, done: DataFrame, similarity: float, width: int) -> DataFrame | None:
+    """Roots as of find_roots(), with the links among ``undecided`` (node, root) added to ``done``; None if there are no more links.
+
+    Nodes of a large group of near copies need one link each: those of much
+    shared shingles are compared with one node of the shingle at a time, for
+    a few rounds, and only what then has different roots goes through the exact join.
+    """
+    rows = prefix_rows(texts, undecided, similarity, width)
     ids = undecided.select("node", F.xxhash64("node").alias("id"))
-    return pairs.join(ids.select(F.col("id").alias("a"), F.col("node").alias("centre")), "a").join(
-        ids.select(F.col("id").alias("b"), "node"), "b").select("centre", "node")
+    roots = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "dedup-pairs")
+        named = pairs.join(ids.select(F.col("id").alias("a"), F.col("node").alias("centre")), "a").join(ids.select(F.col("id").alias("b"), "node"), "b")
+        return materialize(compare(named.select("centre", "node"), texts, similarity, width).filter("linked").select("centre", "node"), "dedup-links")
+
+    for turn in range(SETTLING_ROUNDS + 1):
+        shared = shared_rows(rows, undecided)
+        if turn < SETTLING_ROUNDS and not shared.filter(F.col("off") >= LARGE).isEmpty():
+            more = linked(centre_pairs(shared, similarity, turn))
+        else:
+            more = None
+        if more is None or more.isEmpty():
+            more = linked(prefix_pairs(shared, similarity))
+            return roots if more.isEmpty() else close_links(done.union(more))
+        done = done.union(more)
+        roots = close_links(done)
+        undecided = materialize(undecided.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-undecided")
+    raise AssertionError("the last turn returns")
 
 
 def close_links(links: DataFrame) -> DataFrame:

@@ -142,3 +142,46 @@ def test_several_groups_of_near_copies_in_one_bucket(spark):
     want = brute([(r[0], r[1]) for r in rows])
     assert all((root_of[i] == root_of[j]) == (want[i] == want[j]) for i in want for j in want)
     assert len(set(want.values())) == 6
+
+
+def test_sketches_bound_how_far_sets_differ():
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 400):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[n // 8:], rng.integers(0, 2**63, n // 6).astype(np.uint64)])
+        bits = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(N.sketch(a), N.sketch(b)))
+        assert bits <= len(np.setxor1d(a, b)) and len(N.sketch(a)) == N.SKETCH // 64
+
+
+def test_pairs_of_a_large_group_follow_its_size(spark):
+    rng = random.Random(8)
+    words, count = [f"g{i}" for i in range(150)], 240
+    rows = []
+    for i in range(count):  # most pairs have a similarity of 0.81 or 0.87, those with two words changed in both 0.76
+        copy = list(words)
+        for at in rng.sample(range(150), rng.choice((1, 2))):
+            copy[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(copy), "en", "s", 1))
+    docs = frame(spark, rows)
+    keyed = N.signatures(docs).select("node", F.col("doc_id").alias("rep_id"), F.array(F.lit(1).cast("long")).alias("keys"))
+    nodes = N.materialize(keyed, "test-nodes")
+    texts = docs.select(N.node_of("text").alias("node"), "text")
+    undecided = nodes.select("node", F.col("node").alias("root"))
+    shared = N.shared_rows(N.prefix_rows(texts, undecided, 0.8, 5), undecided)
+    assert N.prefix_pairs(shared, 0.8).count() > 10 * count  # without rounds before it, and for true links alone
+    done = undecided.select(F.col("node").alias("centre"), "node").limit(0)
+    made = []
+    whole = N.prefix_pairs
+    N.prefix_pairs = lambda *a: made.append(whole(*a).count()) or whole(*a)
+    try:
+        roots = {r.node: r.root for r in N.link_undecided(texts, undecided, done, 0.8, 5).collect()}
+    finally:
+        N.prefix_pairs = whole
+    by_node = {r.node: r.rep_id for r in nodes.collect()}
+    got, want = {}, {}
+    for node, i in by_node.items():
+        got.setdefault(roots.get(node, node), set()).add(i)
+    for i, c in brute([(r[0], r[1]) for r in rows]).items():
+        want.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert made[0] < 5 * count

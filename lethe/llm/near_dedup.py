@@ -317,13 +317,12 @@ def link_undecided(texts: DataFrame, undecided: DataFrame, done: DataFrame, simi
 
     for turn in range(SETTLING_ROUNDS + 1):
         shared = shared_rows(rows, undecided)
-        if turn < SETTLING_ROUNDS and not shared.filter(F.col("off") >= LARGE).isEmpty():
-            more = linked(centre_pairs(shared, similarity, turn))
-        else:
-            more = None
-        if more is None or more.isEmpty():
-            more = linked(prefix_pairs(shared, similarity))
-            return roots if more.isEmpty() else close_links(done.union(more))
+        few = turn == SETTLING_ROUNDS or shared.filter(F.col("off") >= LARGE).isEmpty()
+        more = None if few else linked(centre_pairs(shared, similarity, turn))
+        if few or more.count() < LARGE:  # another round would save little
+            last = linked(prefix_pairs(shared, similarity))
+            last = last if few else last.union(more)
+            return roots if last.isEmpty() else close_links(done.union(last))
         done = done.union(more)
         roots = close_links(done)
         undecided = materialize(undecided.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-undecided")

@@ -13,9 +13,9 @@ represented by its first line, so that a line in a third of all documents enters
 the join once.
 
 A line goes for one earlier match, so a group of near copies needs no pairs of
-all its lines.  Before the join, lines that share a key (their least word
-under some hash) with many others are verified against the earliest of
-these; those that match are settled.  Settled lines stay in the join as the
+all its lines.  Before the join, lines that share a key (two of their least words
+under some hashes) with many others are verified against the earliest of
+these of each size; those that match are settled.  Settled lines stay in the join as the
 earlier side, for what is open, but are never met with each other, so the join's
 work follows the open lines.  This only saves work: the join decides for every
 open line, exactly.
@@ -49,7 +49,10 @@ WIDE = 64
 #: Lines of one key from which the rounds before the join compare them with the earliest; lines settled by one
 #: earliest line from which another round follows. A copy escapes a round about once in 20 times and meets its whole
 #: group in the join, so that below AGAIN some AGAIN / 20 pairs for each line of a group are left.
-LARGE, AGAIN = 32, 1_000
+LARGE, AGAIN = 8, 1_000
+#: Sizes of sets are told apart in so many steps of their logarithm an octave, to choose earliest lines of each. Lines that share a passage
+#: are alike if what they add to it is short, so that the earliest of all, which may add much, is like few of them.
+SIZE_STEPS = 14
 #: Most rows that are broadcast; a join with more shuffles.
 MOST_BROADCAST = 200_000
 #: Most hashes in sets that are broadcast, 32 MB.
@@ -97,10 +100,14 @@ def word_keys(hashes: Column, levels: list[int]) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.shiftleft(F.coalesce(F.get(mask, _bucket(h)), F.lit(0).cast("long")), 56))))
 
 
-def marks(hashes: str) -> Column:
-    """Three words of a line, each the least (one: the greatest) under some order of hashes; similar lines share most of them."""
-    low = F.transform(hashes, lambda h: F.shiftleft(h, 21))
-    return F.array(F.array_min(hashes), F.array_max(hashes), F.array_min(low))
+def marks(keys: str) -> Column:
+    """Three words of the rarer three quarters of a line, each the least (one: the greatest) under some order of hashes; similar lines share most of them.
+
+    Frequent words would bring lines together that share little else.
+    """
+    rare = F.slice(keys, F.lit(1), F.floor((3 * F.size(keys) + 3) / 4).cast("int"))
+    low, lower = F.transform(rare, lambda k: F.shiftleft(k, 8)), F.transform(rare, lambda k: F.shiftleft(k, 29))
+    return F.array(F.array_min(low), F.array_max(low), F.array_min(lower))
 
 
 def eligible(line: Column, min_words: int = MIN_WORDS) -> Column:
@@ -141,11 +148,11 @@ def representatives(docs: DataFrame, levels: list[int], threshold: Fraction, min
     """
     lines = _tagged(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     hashed = lines.filter(eligible(F.col("line"), min_words)).select(*_PLACE, word_hashes(F.col("line")).alias("hashes"))
-    keyed = hashed.select(*_PLACE, marks("hashes").alias("marks"), word_keys(F.col("hashes"), levels).alias("keys"))
+    keyed = hashed.select(*_PLACE, word_keys(F.col("hashes"), levels).alias("keys"))
     n = F.size("keys")
     rows = keyed.select(F.xxhash64("keys").alias("set"), F.hash("keys", F.lit(1)).alias("set2"), F.struct(*_PLACE).alias("place"),
                         n.alias("n"), parity("keys").alias("parity"), F.when(n > WIDE, parity("keys", True)).alias("half"),
-                        "marks", F.slice("keys", F.lit(1), n - _ceil(n, threshold) + 1).alias("prefix"))
+                        marks("keys").alias("marks"), F.slice("keys", F.lit(1), n - _ceil(n, threshold) + 1).alias("prefix"))
     first = rows.groupBy("set", "set2").agg(F.min(F.struct("place", "n", "parity", "half", "marks", "prefix")).alias("m"))
     return materialize(first.select(F.monotonically_increasing_id().alias("id"), "m.place.*", "m.n", "m.parity", "m.half", "m.marks", "m.prefix"), "lines-first")
 
@@ -168,9 +175,10 @@ def _least_key(words: str, number: int) -> Column:
 
 
 def settle_large_groups(docs: DataFrame, reps: DataFrame, threshold: Fraction, large: int = LARGE) -> DataFrame | None:
-    """Places of lines that share a key with ``large`` open lines or more and match the earliest of these; None if there are none.
+    """Places of lines that share a key with ``large`` open lines or more and match the earliest of these of some size; None if there are none.
 
-    Lines meet by any two of their three marks. Later rounds look at the lines
+    Lines meet by any two of their three marks. A key has at most SIZE_STEPS earliest lines for an octave of sizes, and a line
+    meets those of a size that leaves room for the threshold, so that the pairs follow the lines. Later rounds look at the lines
     that are open after the one before, by marks of their prefixes under other hashes.
     """
     settled, turn = None, 0
@@ -186,12 +194,13 @@ def settle_large_groups(docs: DataFrame, reps: DataFrame, threshold: Fraction, l
         if not many:
             return settled
         shared = materialize(keyed.join(F.broadcast(hot) if many <= MOST_BROADCAST else hot, "key"), "lines-shared")
-        first = shared.groupBy("key").agg(F.min(F.struct(*_PLACE, "id", "n", "parity", "half")).alias("b")).select("key", "b.id", "b.n", "b.parity", "b.half")
-        a, b = shared.alias("a"), (F.broadcast(first) if many <= MOST_BROADCAST else first).alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id"))
+        first = shared.groupBy("key", _size_step(F.col("n")).alias("step")).agg(F.min(F.struct(*_PLACE, "id", "n", "parity", "half")).alias("b"))
+        first = materialize(first.select("key", "b.*"), "lines-earliest")
+        a, b = shared.alias("a"), (F.broadcast(first) if first.count() <= MOST_BROADCAST else first).alias("b")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.struct(*[F.col(f"b.{c}") for c in _PLACE]) < F.struct(*[F.col(f"a.{c}") for c in _PLACE]))
                      & _apart("a", "b", F.col("a.n"), F.col("b.n"), threshold))
         pairs = materialize(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "lines-met")
-        discard(hot, shared)
+        discard(hot, shared, first)
         similar = similar_pairs(docs, reps, pairs, threshold)
         largest = similar.groupBy("b").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
         if largest:
@@ -202,6 +211,10 @@ def settle_large_groups(docs: DataFrame, reps: DataFrame, threshold: Fraction, l
         turn += 1
 
 
+def _size_step(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double")) * SIZE_STEPS).cast("int")
+
+
 def _pairs_of(marks: str) -> Column:
     """A key for each two of three marks."""
     m = [F.get(marks, F.lit(k)) for k in range(3)]

@@ -89,6 +89,17 @@ def test_settling_and_broadcasting_change_no_result(spark, monkeypatch):
         assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows), large=large).collect()} == want
 
 
+def test_lines_around_one_passage_meet_the_earliest_of_each_size(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join(passage + [f"e{rng.randrange(3000)}" for _ in range(20 if i < 5 else rng.randrange(21))]), "en", "s", 1) for i in range(400)]
+    docs = frame(spark, rows)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == brute([(r[0], r[1]) for r in rows])
+    reps = line_dedup.representatives(docs, line_dedup.rarity_levels(docs), Fraction(4, 5), 1)
+    settled = line_dedup.settle_large_groups(docs, reps, Fraction(4, 5))
+    assert settled.count() > 130  # of 188 that go; 66 by the earliest of all alone
+
+
 def test_rows_without_an_id_and_clashing_names(spark):
     rows = [(None, "one two three\nfour five", "en", "s", 1), (None, "four five\nsix seven", "en", "s", 2), (1, "six seven\r\none\ttwo  three", "en", "s", 3)]
     docs = frame(spark, rows).withColumn("tag_id", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("line_no", F.lit(3)).withColumn("a.b", F.lit(4))

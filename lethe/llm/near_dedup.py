@@ -258,11 +258,15 @@ def prefix_rows(texts: DataFrame, undecided: DataFrame, similarity: float, width
 
 
 def shared_rows(rows: DataFrame, undecided: DataFrame) -> DataFrame:
-    """``rows`` whose shingle several roots have, with root, most (the root that most nodes of the shingle have) and off (its nodes of others)."""
-    rooted = rows.join(undecided.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root")), "id")
+    """``rows`` whose shingle several roots have, with root, most (the root that most nodes of the shingle have) and off (its nodes of others).
+
+    Sizes and sketches, most of a row, join what is found, once for each node.
+    """
+    rooted = rows.select("id", "pos", "shingle").join(undecided.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root")), "id")
     held = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(
         F.max_by("root", "m").alias("most"), F.count(F.lit(1)).alias("roots"), (F.sum("m") - F.max("m")).alias("off")).filter("roots > 1").drop("roots")
-    return materialize(rooted.join(held, "shingle"), "dedup-shared")
+    sets = rows.filter("pos = 0").select("id", "n", *_BITS)
+    return materialize(rooted.join(held, "shingle").join(sets, "id"), "dedup-shared")
 
 
 def _apart(a: str, b: str, similarity: float) -> F.Column:
